@@ -1,4 +1,6 @@
 """Named queries over the test tables, each beside equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import checks  # noqa: F401  registers its queries
+from .layers import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
