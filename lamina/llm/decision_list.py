@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import LABELLED, RATES, labelled, remainder, with_rates
+from .frames import without
+from .text_stats import LABELLED, RATES, STATS, labelled, with_rates
 
 MAX_RULES, MAX_TERMS, THRESHOLDS = 12, 3, 64
 #: A rule must be right on so many of the pruning rows that it covers, and cover so many.
@@ -138,9 +139,6 @@ def apply_rules(df: DataFrame, rules: DecisionList, text: str = "text") -> DataF
     Null and empty texts have no words and fail. Columns of ``df`` that share a
     name with a statistic give way to it.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *RATES, "base_failed", "kept"} - {text}
-    stats = with_rates(df.drop(*made), text)
+    stats = with_rates(without(df, {*STATS, *RATES, "base_failed", "kept"} - {text}), text)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.verdict())
 
-
-__all__ = ["DecisionList", "Term", "apply_rules", "base_failed", "fit", "learn", "remainder"]

@@ -7,6 +7,7 @@ one Spark column expression.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import cut
 from .decision_list import Term
-from .text_stats import LABELLED, RATES, labelled, with_rates
+from .frames import without
+from .text_stats import LABELLED, RATES, STATS, labelled, with_rates
 
 TREES, DEPTH, SEED = 16, 3, 7
 LASSO, ROUNDS = 0.001, 60
@@ -71,9 +73,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", limit: int = L
     if len(seen) < 2 or min(seen.values()) < 4:
         total, ones = sum(seen.values()), seen.get(1.0, 0)
         share = min(max(ones / total, 0.01), 0.99) if total else 0.5
-        from math import log
-
-        return RuleEnsemble(log(share / (1 - share)))
+        return RuleEnsemble(math.log(share / (1 - share)))
     vectors = VectorAssembler(inputCols=list(RATES), outputCol="stats").transform(sample)
     forest = RandomForestClassifier(featuresCol="stats", labelCol="label", numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, minInstancesPerNode=2).fit(vectors)
     paths = tree_paths(forest.toDebugString)
@@ -88,6 +88,5 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", limit: int = L
 
 def apply_ensemble(df: DataFrame, ensemble: RuleEnsemble, text: str = "text") -> DataFrame:
     """Add the statistics, ``score`` and ``predicted``; null texts score as empty ones."""
-    made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *RATES, "score", "predicted"} - {text}
-    scored = with_rates(df.drop(*made), text).withColumn("score", ensemble.score())
+    scored = with_rates(without(df, {*STATS, *RATES, "score", "predicted"} - {text}), text).withColumn("score", ensemble.score())
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

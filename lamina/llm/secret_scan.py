@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import without
+
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -107,30 +109,32 @@ def entropy_spans(text: Column, window: int = WINDOW, classes: dict = CLASSES, a
     return F.filter(candidates, secret)
 
 
-def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple = ALLOWED) -> DataFrame:
-    """Add ``spans``: array of (start, kind, end), by start and then kind (0 assign, 1 access, 2 hex, 3 entropy).
+def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple = ALLOWED, out: str = "spans") -> DataFrame:
+    """Add ``out``: array of (start, kind, end), by start and then kind (0 assign, 1 access, 2 hex, 3 entropy).
 
     Base kinds are never suppressed; entropy spans are added where no base span
     covers them. Offsets are code points, ends exclusive. Null and empty texts
-    have no spans. Whole texts are scanned; rows are independent of each other.
+    have no spans. Whole texts are scanned; rows are independent of each other. A
+    column named like ``out`` is replaced, others are kept.
     """
+    df = without(df, [out])
     plain = F.coalesce(F.col(text), F.lit(""))
     columns = df.columns
     found = df.select(
         "*",
-        F.filter(matches(plain, ASSIGN, 2), lambda x: F.char_length(x["value"]) >= 6).alias("_assign"),
-        matches(plain, ACCESS).alias("_access"),
-        matches(plain, HEX).alias("_hex"),
-        entropy_spans(plain, window, allowed=allowed).alias("_entropy"),
+        F.filter(matches(plain, ASSIGN, 2), lambda x: F.char_length(x["value"]) >= 6).alias("__assign"),
+        matches(plain, ACCESS).alias("__access"),
+        matches(plain, HEX).alias("__hex"),
+        entropy_spans(plain, window, allowed=allowed).alias("__entropy"),
     )
 
     def of(name: str, kind: int) -> Column:
         return F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
-    base = F.concat(of("_assign", 0), of("_access", 1), of("_hex", 2))
-    found = found.select(*columns, base.alias("_base"), of("_entropy", 3).alias("_more"))
-    apart = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    return found.select(*columns, F.array_sort(F.concat("_base", apart)).alias("spans"))
+    base = F.concat(of("__assign", 0), of("__access", 1), of("__hex", 2))
+    found = found.select(*columns, base.alias("__base"), of("__entropy", 3).alias("__more"))
+    apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
+    return found.select(*columns, F.array_sort(F.concat("__base", apart)).alias(out))
 
 
 def spelled(spans: Column) -> Column:
@@ -149,6 +153,6 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **options)
         out = F.when(fresh, F.concat(state["out"], kept, F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    tail = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col(text), s["at"] + 1, F.greatest(F.lit(0), F.char_length(text) - s["at"]))))
-    scanned = scan(df, text, **options)
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, tail).otherwise(F.col(text))).select(*df.columns)
+    tail = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col(text), s["at"] + 1, F.greatest(F.lit(0), F.char_length(text) - s["at"]))))
+    scanned = scan(df, text, out="__spans", **options)
+    return scanned.withColumn(text, F.when(F.size("__spans") > 0, tail).otherwise(F.col(text))).select(*df.columns)

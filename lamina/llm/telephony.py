@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import small_batches
+from .frames import without
 
 RATE = 8000
 #: Payload unit in bytes; the query pads texts to a positive multiple of it.
@@ -127,7 +128,8 @@ def expand(tag: int, payload: bytes) -> np.ndarray:
 
 def store_texts(df: DataFrame, text: str = "text", law: str = "mulaw", unit: int = UNIT, rate: int = RATE) -> DataFrame:
     """Add ``n_bytes`` and ``media``: the text's UTF-8 bytes, padded with 255 to a positive multiple of
-    ``unit``, as the samples of a mu-law or A-law WAV file. Null texts count as empty."""
+    ``unit``, as the samples of a mu-law or A-law WAV file. Null texts count as empty; rows are independent,
+    equal texts give equal media, and columns named like the added ones are replaced."""
     small_batches(df.sparkSession)
     tag = {"mulaw": MULAW_TAG, "alaw": ALAW_TAG}[law]
 
@@ -140,7 +142,8 @@ def store_texts(df: DataFrame, text: str = "text", law: str = "mulaw", unit: int
         return pa.array((made(x.as_py() or b"") for x in texts), pa.binary())
 
     plain = F.coalesce(F.col(text), F.lit(""))
-    return df.select("*", F.octet_length(plain).cast("long").alias("n_bytes"), media(plain.cast("binary")).alias("media"))
+    kept = without(df, {"n_bytes", "media"} - {text}).columns
+    return df.select(*kept, F.octet_length(plain).cast("long").alias("n_bytes"), media(plain.cast("binary")).alias("media"))
 
 
 def pcm(media: Column, target_rate: int = 16000) -> Column:

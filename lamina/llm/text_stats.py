@@ -15,6 +15,7 @@ WINDOW = 5
 #: Labelled rows that a model is fitted on, at most: those first in a hash order of their ids.
 LABELLED = 20_000
 
+STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 RATES = ("n_words", "mean_word", "symbol_rate", "upper_rate", "mark_rate", "digit_rate", "distinct_rate", "repeat_rate", "dup_line_rate")
 
 
@@ -51,17 +52,17 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def with_base_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """Add word and line counts of the whole text; a null text has none of anything."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    split = df.withColumn("_plain", plain).withColumn("_words", F.array_remove(F.split("_plain", SPACE), "")).withColumn("_lines", F.filter(F.split("_plain", "\n"), lambda x: _without(x, SPACES) > 0))
+    split = df.withColumn("__plain", plain).withColumn("__words", F.array_remove(F.split("__plain", SPACE), "")).withColumn("__lines", F.filter(F.split("__plain", "\n"), lambda x: _without(x, SPACES) > 0))
     return split.select(
         *df.columns,
-        "_plain",
-        "_words",
-        F.size("_words").cast("long").alias("n_words"),
-        _without(F.col("_plain"), SPACES).cast("long").alias("word_chars"),
-        (F.char_length("_plain") - _without(F.col("_plain"), SYMBOLS)).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        "__plain",
+        "__words",
+        F.size("__words").cast("long").alias("n_words"),
+        _without(F.col("__plain"), SPACES).cast("long").alias("word_chars"),
+        (F.char_length("__plain") - _without(F.col("__plain"), SYMBOLS)).cast("long").alias("n_symbols"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("__words")).alias("n_repeat_words"),
     )
 
 
@@ -69,15 +70,15 @@ def with_rates(df: DataFrame, text: str = "text") -> DataFrame:
     """:func:`with_base_stats` and the rates of ``RATES``, 0 where there is nothing to divide by."""
     stats = with_base_stats(df, text)
     per = lambda x, n: F.when(F.col(n) > 0, x / F.col(n)).otherwise(F.lit(0.0)).cast("double")
-    count = lambda chars: F.char_length("_plain") - _without(F.col("_plain"), chars)
+    count = lambda chars: F.char_length("__plain") - _without(F.col("__plain"), chars)
     return stats.select(
-        *[c for c in stats.columns if c not in ("_plain", "_words")],
+        *[c for c in stats.columns if c not in ("__plain", "__words")],
         per(F.col("word_chars"), "n_words").alias("mean_word"),
         per(F.col("n_symbols"), "n_words").alias("symbol_rate"),
         per(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "word_chars").alias("upper_rate"),
         per(count("!?"), "n_words").alias("mark_rate"),
         per(count("0123456789"), "word_chars").alias("digit_rate"),
-        per(F.size(F.array_distinct("_words")), "n_words").alias("distinct_rate"),
+        per(F.size(F.array_distinct("__words")), "n_words").alias("distinct_rate"),
         per(F.col("n_repeat_words"), "n_words").alias("repeat_rate"),
         per(F.col("n_dup_lines"), "n_lines").alias("dup_line_rate"),
     )
@@ -99,5 +100,5 @@ def labelled(df: DataFrame, labels: DataFrame, label: str, where: Column | None
         marks = marks.where(where)
     marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("_labelled"), "label")
-    joined = df.join(F.broadcast(picked), F.col(doc_id) == F.col("_labelled"))
-    return joined.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "label")
+    documents = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return documents.join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "label")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut, small_batches
+from .frames import without
 from .text_stats import labelled
 
 #: Labelled rows used, at most, and lexicon entries learned from them, at most.
@@ -259,6 +260,15 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", where: Column |
     return Model(lexicon, float(w[0]), [float(v) for v in w[1:]])
 
 
+def _with_score(df: DataFrame, model: Model, text: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    read = df.withColumn("__features", clause_features(F.col(text), model.lexicon))
+    total = F.lit(model.intercept)
+    for k, w in enumerate(model.weights):
+        total = total + F.col("__features")[k] * w
+    return read.withColumn("__score", 1.0 / (1.0 + F.exp(-total)))
+
+
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1, higher: likelier toxic) and ``predicted`` to every row of ``df``.
 
@@ -266,11 +276,10 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Columns named score or predicted are replaced, others kept; rows are
     independent, so copies score alike and an empty table gives no rows.
     """
-    small_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
-    read = df.select(*kept, clause_features(F.col(text), model.lexicon).alias("_x"))
-    total = F.lit(model.intercept)
-    for k, w in enumerate(model.weights):
-        total = total + F.col("_x")[k] * w
-    scored = read.withColumn("score", 1.0 / (1.0 + F.exp(-total))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    return scored.select(*kept, "score", "predicted")
+    kept = without(df, ["score", "predicted"]).columns
+    return _with_score(df, model, text).select(*kept, F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that aren't predicted toxic, with its columns."""
+    return _with_score(df, model, text).where("__score < 0.5").select(*df.columns)

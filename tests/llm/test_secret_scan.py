@@ -1,0 +1,83 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+
+from hypothesis import given
+from hypothesis import settings as hyp
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lamina.llm import queries, secret_scan
+
+PIECES = ["token", "=", ":", " ", '"', "'", "secret", "abcdef", "Api_Key", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef01234567", "é", "🙂", "x", "\n", "password", "PASSWD", "aB3dE6gH9jK2mN5pQ8sT1vW4", "123e4567-e89b-12d3-a456-426614174000"]
+
+
+def brute_base(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def brute_entropy(value, window=20):
+    def bits(part):
+        return -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part))
+
+    return max((bits(value[k : k + window]) for k in range(len(value) - window + 1)), default=0.0)
+
+
+def brute_spans(text):
+    base, more = brute_base(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        limit = 3.1 if re.fullmatch("[0-9a-fA-F]+", m[0]) else 3.9
+        listed = any(re.search(p, m[0]) for p in secret_scan.ALLOWED)
+        if not listed and brute_entropy(m[0]) >= limit - 1e-9 and not any(b[0] <= m.start() and b[2] >= m.end() for b in base):
+            more.append((m.start(), 3, m.end()))
+    return sorted(base + more)
+
+
+def check(df):
+    for r in secret_scan.scan(df).select("text", "spans").collect():
+        assert [tuple(s) for s in r.spans] == brute_spans(r.text or ""), r.text
+
+
+def test_documents(documents):
+    check(documents)
+
+
+def test_messy_rows_and_clashing_columns(messy, clashing, empty):
+    check(messy)
+    check(clashing)
+    assert secret_scan.scan(empty).collect() == []
+    assert secret_scan.redact(clashing).columns == clashing.columns
+
+
+@hyp(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14), min_size=40, max_size=40))
+def test_made_up_texts(spark, texts):
+    check(spark.createDataFrame([("".join(t),) for t in texts], "text string"))
+
+
+def test_window_entropy(spark):
+    values = ["aB3dE6gH9jK2mN5pQ8sT1vW4", "ff00aa11bb22cc33dd44ee55", "a" * 30, "short", "", "ab" * 40 + "0123456789abcdefghij"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for r in df.select("v", secret_scan.window_entropy(F.col("v")).alias("h")).collect():
+        assert abs(r.h - brute_entropy(r.v)) < 1e-9
+
+
+def test_redaction(spark):
+    text = 'é🙂 token = "abcdef0123" and aB3dE6gH9jK2mN5pQ8sT1vW4 end'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "clean")], "doc_id long, text string")
+    assert [r.text for r in secret_scan.redact(df).collect()] == ['é🙂 [SECRET]" and [SECRET] end', None, "clean"]
+
+
+def test_query_digests(spark, sf, documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in queries.op6_secret_scan(spark, sf).collect():
+        base = brute_base(texts[r.doc_id])
+        spelled = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(spelled.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
