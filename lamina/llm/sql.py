@@ -1,7 +1,46 @@
 """DuckDB SQL of the corpus queries that SQL can express.
 
 The others are held against brute-force versions in tests/llm: tokenizers,
-checksums, hashes, markup, fitted models and raking have no SQL form here.
+fingerprint hashes, media digests, markup, fitted models and raking have no
+SQL form here.
 """
 
-ORACLE: dict[str, str] = {}
+from .secret_scan import ALLOWED, CLASSES, WINDOW
+from .sharding import SEED, SHARDS
+
+#: The base patterns, as in secret_scan.
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: int, pattern: str, wanted: str = "TRUE", group: int = 0) -> str:
+    """Spans of a pattern: lengths of the matches and of the text between them give the positions."""
+    return f"""SELECT doc_id, {kind} AS kind, coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS s, length(hit[i]) AS size, val[i] AS val
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hit, string_split_regex(t, '{pattern}') AS gap, regexp_extract_all(t, '{pattern}', {group}) AS val FROM docs) m, unnest(range(1, len(hit) + 1)) u(i) WHERE {wanted}"""
+
+
+LISTED = " OR ".join(f"regexp_matches(val, '{p}')" for p in ALLOWED)
+
+SECRETS = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED ({_spans(0, ASSIGN, "length(val[i]) >= 6", 2)} UNION ALL {_spans(1, "AKIA[A-Z0-9]{16,}")} UNION ALL {_spans(2, "[0-9a-f]{24,}")}),
+candidate AS MATERIALIZED (SELECT * FROM ({_spans(3, f"[A-Za-z0-9+/_=-]{{{WINDOW},}}")}) c WHERE NOT ({LISTED})),
+counted AS (SELECT doc_id, s, val, k, substr(val, k + j, 1) AS ch, count(*) AS n FROM candidate, unnest(range(1, length(val) - {WINDOW - 2})) w(k), unnest(range(0, {WINDOW})) p(j) GROUP BY ALL),
+bits AS (SELECT doc_id, s, val, k, sum(-n / {WINDOW}.0 * log2(n / {WINDOW}.0)) AS h FROM counted GROUP BY ALL),
+entropy AS (SELECT doc_id, 3 AS kind, s, length(val) AS size, val FROM bits GROUP BY doc_id, s, val HAVING max(h) >= CASE WHEN regexp_full_match(val, '[0-9a-fA-F]+') THEN {CLASSES["hex"][1]} ELSE {CLASSES["base64"][1]} END),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM entropy e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.s <= e.s AND b.s + b.size >= e.s + e.size)),
+spelled AS (SELECT doc_id, kind, (CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END) || ':' || s || ':' || (s + size) AS span, s FROM every)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans
+FROM docs d LEFT JOIN spelled p ON d.doc_id = p.doc_id GROUP BY d.r, d.doc_id"""
+
+#: CRC-32 one byte at a time over the hexadecimal text of the bytes; the table comes from its rule.
+CRC_TABLE = "(SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
+
+SHARDING = f"""WITH sized AS MATERIALIZED (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS bytes, substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS draw FROM documents),
+summed AS MATERIALIZED (SELECT doc_id, source, CAST(size AS BIGINT) AS size, draw,
+xor(list_reduce([4294967295] || list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || bytes[i:i + 1] AS BIGINT)), lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32 FROM sized, {CRC_TABLE}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id NULLS LAST, size, text_crc32) AS rank, count(*) OVER (PARTITION BY source) AS n FROM summed),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * n), source NULLS LAST, draw, doc_id NULLS LAST, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, pos * {SHARDS} // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM cut"""
+
+ORACLE: dict[str, str] = {"op6_secret_scan": SECRETS, "op7_stratified_sharding": SHARDING}
