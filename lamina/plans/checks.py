@@ -499,7 +499,7 @@ def regression_metrics(r: Roles) -> DataFrame:
     return model.regression_metrics(r.table("lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1000).alias("yhat")), "y", "yhat")
 
 
-# models: rows only; the reference engine's numbers can't be matched bit for bit
+# models: rows only; tree libraries differ in their bins, so no SQL or golden value fits
 
 SMALL = {"gbt": lambda y: model.gbt_regressor(y, trees=3, maxDepth=2, maxBins=16), "rf": lambda y: model.rf_regressor(y, trees=5, maxDepth=3, maxBins=16)}
 USED = ["AGE", "SEX", "RACE", "LAB_click_MEAN", "LAB_click_count"]
