@@ -27,9 +27,13 @@ def map_dm(subjects: DataFrame, study: str = STUDY) -> DataFrame:
 
 
 def map_sv(visits: DataFrame, study: str = STUDY) -> DataFrame:
-    """Visits, numbered per subject by start and id."""
-    numbered = number_visits(visits, "patient_id", "start_ts", "encounter_id")
-    return _domain(numbered, study, "SV", "VISITNUM", F.col("encounter_class").alias("VISIT"), iso_text(F.col("start_ts")).alias("SVSTDTC"), iso_text(F.col("stop_ts")).alias("SVENDTC"))
+    """Visits, numbered per subject by start and id.
+
+    Numbers are dealt by the mapped subject id, so that later windows over it need no further shuffle.
+    """
+    named = visits.withColumn("USUBJID", subject_id(F.col("patient_id")))
+    numbered = number_visits(named, "USUBJID", "start_ts", "encounter_id")
+    return numbered.select(F.lit(study).alias("STUDYID"), F.lit("SV").alias("DOMAIN"), "USUBJID", "VISITNUM", F.col("encounter_class").alias("VISIT"), iso_text(F.col("start_ts")).alias("SVSTDTC"), iso_text(F.col("stop_ts")).alias("SVENDTC"))
 
 
 def _map_event(events: DataFrame, study: str, domain: str, term: str, label) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,18 +59,23 @@ def history_by_category(visits: DataFrame, categories: Sequence[str] | None = No
     """Per category, number, mean and maximum of earlier stays, 0 where there are none, in one aggregate.
 
     Every subject with a stay has a row; the totals over all categories stay NULL without history, their count is 0.
+    The window that finds the last stay and the aggregate share the subject's partitioning, so rows are shuffled once.
     """
     timed = visits.where(F.col("LOS").isNotNull())
     cats = list(categories) if categories is not None else distinct_values(timed, "VISIT")
-    prev, cells = history(visits), []
+    before = timed.withColumn("_prev", F.when(F.col("SEQ") < F.max("SEQ").over(Window.partitionBy("USUBJID")), F.col("LOS")))
+    quartiles = F.percentile("_prev", F.array(F.lit(0.25), F.lit(0.75)))
+    cells = [
+        F.count("_prev").alias("N_VISITS_PREV"),
+        F.round(F.avg("_prev"), 6).alias("LOS_MEAN_PREV"),
+        F.round(F.max("_prev"), 6).alias("LOS_MAX_PREV"),
+        F.round(quartiles[1] - quartiles[0], 6).alias("LOS_IQR_PREV"),
+    ]
     for c in cats:
-        mine, name = F.when(F.col("VISIT") == c, F.col("LOS")), safe_name(c)
+        mine, name = F.when(F.col("VISIT") == c, F.col("_prev")), safe_name(c)
         cells += [F.count(mine).alias(f"N_VISITS_PREV_{name}"), F.round(F.avg(mine), 6).alias(f"LOS_MEAN_PREV_{name}"), F.round(F.max(mine), 6).alias(f"LOS_MAX_PREV_{name}")]
-    total = [F.count("*").alias("N_VISITS_PREV"), F.round(F.avg("LOS"), 6).alias("LOS_MEAN_PREV"), F.round(F.max("LOS"), 6).alias("LOS_MAX_PREV")]
-    made = prev.groupBy("USUBJID").agg(*total, *cells)
-    out = timed.select("USUBJID").distinct().join(made, "USUBJID", "left").join(history_iqr(visits), "USUBJID", "left")
-    zero = [c for c in out.columns if c.startswith(("N_VISITS_PREV", "LOS_MEAN_PREV_", "LOS_MAX_PREV_"))]
-    return out.fillna(0, subset=zero)
+    out = before.groupBy("USUBJID").agg(*cells)
+    return out.fillna(0, subset=[c for c in out.columns if c.startswith(("LOS_MEAN_PREV_", "LOS_MAX_PREV_"))])
 
 
 def top_codes(findings: DataFrame, code: str = "LBTESTCD", label: str = "LBTEST", value: str = "LBSTRESN", n: int = 25) -> DataFrame:
