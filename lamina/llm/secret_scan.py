@@ -22,6 +22,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits per character that the fullest window must reach, by character class.
 CLASSES = {"hex": (r"[0-9a-fA-F]", 3.1), "base64": (r"[A-Za-z0-9+/_=-]", 3.9)}
+#: Candidates of one class within a joined run, which may hold a key, a path or placeholders besides the secret.
+PARTS = (r"[0-9a-fA-F]", r"[A-Za-z0-9+/_-]", r"[A-Za-z0-9]")
 #: Strings that look random but aren't secrets: UUIDs, paths and addresses, words in one case, placeholders, data URIs' heads.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
@@ -92,8 +94,12 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.when(F.char_length(value) >= window, math.log2(window) - low / window).otherwise(F.lit(0.0))
 
 
-def entropy_spans(text: Column, window: int = WINDOW, classes: dict = CLASSES, allowed: tuple = ALLOWED) -> Column:
-    """Spans of candidate strings whose entropy reaches their class's limit, unless allow-listed."""
+def entropy_spans(text: Column, window: int = WINDOW, classes: dict = CLASSES, allowed: tuple = ALLOWED, parts: bool = False) -> Column:
+    """Spans of candidate strings whose entropy reaches their class's limit, unless allow-listed.
+
+    Candidates are runs of the widest alphabet. With ``parts``, the runs of each
+    of ``PARTS`` within them are candidates too, with their own limit and their own look at the allow-list.
+    """
     alphabet = classes["base64"][0]
     candidates = matches(text, f"{alphabet}{{{window},}}")
 
@@ -106,14 +112,23 @@ def entropy_spans(text: Column, window: int = WINDOW, classes: dict = CLASSES, a
             listed = listed | v.rlike(pattern)
         return F.when(listed, F.lit(False)).otherwise(window_entropy(v, window) >= limit)
 
+    def within(x):
+        found = F.array(x)
+        for part in PARTS:
+            shifted = F.transform(matches(x["value"], f"{part}{{{window},}}"), lambda m: F.struct((x["start"] + m["start"]).alias("start"), (x["start"] + m["end"]).alias("end"), m["value"].alias("value")))
+            found = F.concat(found, shifted)
+        return F.array_distinct(found)
+
+    if parts:
+        candidates = F.flatten(F.transform(candidates, within))
     return F.filter(candidates, secret)
 
 
-def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple = ALLOWED, out: str = "spans") -> DataFrame:
+def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple = ALLOWED, out: str = "spans", parts: bool = False) -> DataFrame:
     """Add ``out``: array of (start, kind, end), by start and then kind (0 assign, 1 access, 2 hex, 3 entropy).
 
     Base kinds are never suppressed; entropy spans are added where no base span
-    covers them. Offsets are code points, ends exclusive. Null and empty texts
+    covers them, by whole joined runs or, with ``parts``, also by the runs of one class in them. Offsets are code points, ends exclusive. Null and empty texts
     have no spans. Whole texts are scanned; rows are independent of each other. A
     column named like ``out`` is replaced, others are kept.
     """
@@ -125,7 +140,7 @@ def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple
         F.filter(matches(plain, ASSIGN, 2), lambda x: F.char_length(x["value"]) >= 6).alias("__assign"),
         matches(plain, ACCESS).alias("__access"),
         matches(plain, HEX).alias("__hex"),
-        entropy_spans(plain, window, allowed=allowed).alias("__entropy"),
+        entropy_spans(plain, window, allowed=allowed, parts=parts).alias("__entropy"),
     )
 
     def of(name: str, kind: int) -> Column:
@@ -144,7 +159,10 @@ def spelled(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """``df`` with each span of its text replaced by ``mark``; overlapping spans are one. Columns stay the same."""
+    """``df`` with each span of its text replaced by ``mark``; overlapping spans are one. Columns stay the same.
+
+    Secrets that are glued to a key, a path or a placeholder are looked for unless ``parts=False`` is given.
+    """
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, s):
@@ -154,5 +172,5 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **options)
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     tail = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col(text), s["at"] + 1, F.greatest(F.lit(0), F.char_length(text) - s["at"]))))
-    scanned = scan(df, text, out="__spans", **options)
+    scanned = scan(df, text, out="__spans", **{"parts": True} | options)
     return scanned.withColumn(text, F.when(F.size("__spans") > 0, tail).otherwise(F.col(text))).select(*df.columns)

@@ -81,3 +81,15 @@ def test_query_digests(spark, sf, documents):
         spelled = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
         assert r.base_sha256 == hashlib.sha256(spelled.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
+
+
+def test_redaction_finds_secrets_glued_to_other_text(spark):
+    upper, mixed = "9F86D081884C7D659A2FEAA0C55AD015", "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    heads = ["", "sid=", "KEY_", "path/", "example=", "example/", "your_", "12345678/", "xxxx-"]
+    rows = [(h, s) for h in heads for s in (upper, mixed)]
+    df = spark.createDataFrame([(k, f"see {h}{s} there") for k, (h, s) in enumerate(rows)], "doc_id long, text string")
+    for r in secret_scan.redact(df).collect():
+        assert rows[r.doc_id][1] not in r.text and r.text.endswith("[SECRET] there"), r.text
+    plain = ["see path/with-many/example/words/in_it", "id 123e4567-e89b-12d3-a456-426614174000", "12345678901234567890123"]
+    clean = spark.createDataFrame([(t,) for t in plain], "text string")
+    assert [r.text for r in secret_scan.redact(clean).collect()] == plain
