@@ -26,12 +26,15 @@ END_ID = 2
 CHUNK = 20_000
 #: Fixed value: the pre-tokenization pattern of the vocabulary, with possessive repeats.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: The added tokens of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 
 
 def load_encoder(path: str | None = None):
     """The byte-level BPE of ``byte_bpe_50k``, from its ranks file; ids equal those of byte_bpe_50k.json.
 
-    Special-token strings in a text are ordinary text.
+    ``encode_ordinary`` takes the strings of ``ADDED`` for ordinary text; ``encode``
+    with ``allowed_special="all"`` gives them their ids, as that file does.
     """
     import base64
 
@@ -43,7 +46,7 @@ def load_encoder(path: str | None = None):
         path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -54,11 +57,12 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` for each piece of each document.
 
     A document is the ids of its text and then ``end_id``. Null and empty texts
-    have the end id alone. ``tokenizer`` is the path of a ranks file.
+    have the end id alone. ``tokenizer`` is the path of a ranks file. With ``added``
+    the strings of ``ADDED`` in a text are one token each, as in byte_bpe_50k.json; else they are text.
     """
     small_batches(df.sparkSession)
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -68,7 +72,8 @@ def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(tokenizer).encode_ordinary
+        encoder = load_encoder(tokenizer)
+        encode = (lambda x: encoder.encode(x, allowed_special="all")) if added else encoder.encode_ordinary
         for batch in batches:
             owner, rows = [], []
             for at, value in enumerate(batch.column("text")):
@@ -166,11 +171,11 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataF
     return placed.select(*cuts.columns, (F.col("base") + F.expr("(rank - lo) div k")).alias("sequence_id"), (F.col("off") + F.pmod(nth, F.col("k")) * F.col("length")).alias("offset"))
 
 
-def pack_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, added: bool = False) -> DataFrame:
     """Tokenize, cut and pack: one row per piece with its place in a sequence.
 
     Every text is tokenized once; the pieces (no texts, no ids) are kept in the
     shared scratch folder, from which counting and placing read. Nulls, empty
     texts, repeated rows and extra columns as in :func:`pieces` and :func:`pack`.
     """
-    return pack(cut(pieces(df, text, doc_id, capacity, end_id, tokenizer)), capacity)
+    return pack(cut(pieces(df, text, doc_id, capacity, end_id, tokenizer, added=added)), capacity)

@@ -10,7 +10,7 @@ from hypothesis import settings as hyp
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lamina.llm import packing
+from lamina.llm import packing, queries
 
 
 def brute_pieces(text):
@@ -61,6 +61,15 @@ def test_special_token_strings_are_text(spark):
     assert 50256 not in row.ids and row.ids[-1] == 2
 
 
+def test_added_tokens_as_in_the_json(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "  <|endoftext|>  ", "<|endoftext|", "plain", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in queries.op1_best_fit_packing(spark, str(tmp_path)).collect():
+        ids = [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[r.doc_id]
+
+
 @hyp(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=12))
 def test_plan_uses_each_piece_once_and_never_overfills(histogram):
