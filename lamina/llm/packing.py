@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,18 @@ def load_encoder(path: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+def token_count(text: Column) -> Column:
+    """Number of the vocabulary's tokens of each text, added tokens included and the end id not; 0 for null."""
+
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = load_encoder().encode
+        for texts in batches:
+            yield pa.array([len(encode(x.as_py() or "", allowed_special="all")) for x in texts], pa.int64())
+
+    return count(text.cast("string"))
+
+
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; only the first may be shorter than the capacity."""
     if n <= capacity:
