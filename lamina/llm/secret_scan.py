@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and sliding-window entropy of long strings, as Spark expressions.
 
-Candidate strings of one character class are scored by the Shannon entropy of
-a sliding window. The entropy sum is updated from one window to the next by
-the counts of the character that leaves and the one that enters.
+Candidate strings are the runs of each character class. A candidate is scored
+by the Shannon entropy of a sliding window, whose character counts and entropy
+sum are kept and updated by the character that leaves and the one that enters.
+All steps take time in proportion to the text, and no pattern repeats a group
+that may backtrack, so long unbroken runs are safe.
 """
 
 from __future__ import annotations
@@ -20,20 +22,26 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Bits per character that the fullest window must reach, by character class.
-CLASSES = {"hex": (r"[0-9a-fA-F]", 3.1), "base64": (r"[A-Za-z0-9+/_=-]", 3.9)}
-#: Candidates of one class within a joined run, which may hold a key, a path or placeholders besides the secret.
-PARTS = (r"[0-9a-fA-F]", r"[A-Za-z0-9+/_-]", r"[A-Za-z0-9]")
-#: Strings that look random but aren't secrets: UUIDs, paths and addresses, words in one case, placeholders, data URIs' heads.
+#: Characters of a class, and the bits per character that the fullest window of a run must reach.
+CLASSES = {"hex": ("0-9a-fA-F", 3.1), "alnum": ("A-Za-z0-9", 3.9), "base64": ("A-Za-z0-9+/", 3.9), "url": ("A-Za-z0-9_-", 3.9)}
+#: The characters of all classes.
+ALPHABET = "A-Za-z0-9+/_-"
+#: Candidates that look random but aren't secrets: UUIDs, paths and hyphened names, words in one case or camel case,
+#: numbers, and those that begin or end with a whole placeholder word.
+WORDS = "example|placeholder|dummy|changeme|your|x{4,}|abcdefgh|0123456789|12345678"
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^/?([A-Za-z_-]+[/-])+[A-Za-z_-]*$",
-    r"^[a-z]+$",
-    r"^[A-Z]+$",
-    r"^[A-Z]?[a-z]+([A-Z][a-z]+)*$",
-    r"^[0-9+=/_-]+$",
-    r"(?i)(example|placeholder|dummy|xxxx|changeme|your_?|abcdefgh|0123456789|12345678)",
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^[A-Za-z_]*+[/-][A-Za-z_/-]*+$",
+    r"^[a-z]++$",
+    r"^[A-Z]++$",
+    r"^[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+$",
+    r"^[0-9+/_-]++$",
+    rf"(?i)^(?:{WORDS})(?:[^A-Za-z]|$)",
+    rf"(?i)(?:^|[^A-Za-z])(?:{WORDS})$",
 )
+#: Items of an array that are run through at once, and code points of a block of text.
+BLOCK, STRETCH = 256, 4096
+SPAN = "struct<start:int,end:int,value:string>"
 
 
 def let(value: Column, body) -> Column:
@@ -41,6 +49,29 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def running(items: Column, start: Column, step, kind: str, block: int = BLOCK) -> Column:
+    """The states (of SQL type ``kind``) after each item, ``step(state, item)`` making the next one.
+
+    Arrays grow by copying, so items are run through in blocks, which keeps the work near linear.
+    """
+    first = F.struct(start.cast(kind).alias("at"), _none(kind).alias("out"))
+    blocks = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int")), lambda b: F.slice(items, b * block + 1, block)))
+
+    def within(state, item):
+        return let(step(state["at"], item).cast(kind), lambda t: F.struct(t.alias("at"), F.concat(state["out"], F.array(t)).alias("out")))
+
+    def over(state, part):
+        inner = F.aggregate(part, F.struct(state["at"].alias("at"), _none(kind).alias("out")), within)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+
+    begin = F.struct(first["at"].alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+    return F.coalesce(F.aggregate(blocks, begin, over, lambda s: F.flatten(s["out"])), _none(kind))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, value), in code points, end exclusive.
 
@@ -48,19 +79,14 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    zipped = F.arrays_zip(F.transform(found, F.char_length).alias("size"), F.transform(between, F.char_length).alias("gap"), values.alias("value"))
+    whole = F.filter(zipped, lambda x: x["size"].isNotNull())
 
-    def step(state, item):
-        begin = state["at"] + F.char_length(item["gap"])
-        end = begin + F.char_length(item["all"])
-        span = F.struct(begin.alias("start"), end.alias("end"), item["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def placed(items):
+        ends = running(items, F.lit(0), lambda at, x: at + x["gap"] + x["size"], "int")
+        return F.zip_with(items, ends, lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end"), x["value"].alias("value")))
 
-    zipped = F.arrays_zip(found.alias("all"), between.alias("gap"), values.alias("value"))
-    whole = F.filter(zipped, lambda x: x["all"].isNotNull())
-    spans = F.aggregate(whole, start, step, lambda s: s["out"])
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(pattern), let(whole, placed)).otherwise(_none(SPAN))
 
 
 def _weight(n: Column) -> Column:
@@ -68,68 +94,85 @@ def _weight(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _count(text: Column, char: Column) -> Column:
-    return F.char_length(text) - F.char_length(F.replace(text, char, F.lit("")))
-
-
-def window_entropy(value: Column, window: int = WINDOW) -> Column:
+def window_entropy(value: Column, window: int = WINDOW, enough: Column | None = None) -> Column:
     """Largest Shannon entropy, in bits per character, of a window of ``value``; 0 for shorter strings.
 
-    H = log2 W - S / W with S the sum of n log2 n over character counts. When the
-    window moves, S changes only for the leaving and the entering character,
-    whose counts are taken in what the two windows share.
+    H = log2 W - S / W with S the sum of n log2 n over character counts. The state
+    holds the counts of the window's characters and S; a move takes one character out and
+    one in, which changes S by those two only. With ``enough``, the search ends at the
+    first window that reaches it, and that window's entropy is given.
     """
-    first = F.substring(value, 1, window)
-    sum_first = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + _weight(_count(first, c)))
-
-    def step(state, at):
-        core = F.substr(value, at + 1, F.lit(window - 1))
-        gone, come = F.substr(value, at, F.lit(1)), F.substr(value, at + window, F.lit(1))
-        m, n = _count(core, gone), _count(core, come)
-        total = state["s"] + _weight(m) - _weight(m + 1) + _weight(n + 1) - _weight(n)
-        return F.struct(total.alias("s"), F.least(state["low"], total).alias("low"))
-
-    moves = F.when(F.char_length(value) > window, F.sequence(F.lit(1), F.char_length(value) - window)).otherwise(F.expr("cast(array() as array<int>)"))
-    low = let(sum_first, lambda s: F.aggregate(moves, F.struct(s.alias("s"), s.alias("low")), step, lambda x: x["low"]))
+    bound = F.lit(-math.inf) if enough is None else (F.lit(math.log2(window)) - enough) * window
+
+    def moved(counts, char, by):
+        """The counts after ``char`` enters or leaves, and the change of S."""
+        had = F.coalesce(F.try_element_at(counts, char), F.lit(0))
+        return let(had, lambda n: F.struct(F.map_concat(F.map_filter(counts, lambda k, v: k != char), F.when(n + by > 0, F.create_map(char, n + by)).otherwise(F.expr("cast(map() as map<string,int>)"))).alias("counts"), (_weight(n + by) - _weight(n)).alias("change")))
+
+    def best(chars):
+        start = F.struct(F.expr("cast(map() as map<string,int>)").alias("counts"), F.lit(0.0).alias("s"), F.lit(math.inf).alias("low"))
+
+        def step(state, i):
+            out = F.when(i < window, F.struct(state["counts"].alias("counts"), F.lit(0.0).alias("change"))).otherwise(moved(state["counts"], F.get(chars, i - window), -1))
+
+            def enter(left):
+                return let(moved(left["counts"], F.get(chars, i), 1), lambda now: let(state["s"] + left["change"] + now["change"], lambda s: F.struct(now["counts"].alias("counts"), s.alias("s"), F.when(i >= window - 1, F.least(state["low"], s)).otherwise(state["low"]).alias("low"))))
+
+            return F.when(state["low"] <= bound, state).otherwise(let(out, enter))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda s: s["low"])
+
+    low = let(F.split(value, ""), best)
     return F.when(F.char_length(value) >= window, math.log2(window) - low / window).otherwise(F.lit(0.0))
 
 
-def entropy_spans(text: Column, window: int = WINDOW, classes: dict = CLASSES, allowed: tuple = ALLOWED, parts: bool = False) -> Column:
-    """Spans of candidate strings whose entropy reaches their class's limit, unless allow-listed.
+def entropy_spans(text: Column, window: int = WINDOW, classes: dict = CLASSES, allowed: tuple = ALLOWED) -> Column:
+    """Spans of the runs of each class that reach the class's limit, unless the run itself is allow-listed.
 
-    Candidates are runs of the widest alphabet. With ``parts``, the runs of each
-    of ``PARTS`` within them are candidates too, with their own limit and their own look at the allow-list.
+    Runs of all classes' characters are cut out first; the classes' own runs lie within
+    them. A run of several classes is judged once, by the least of their limits.
     """
-    alphabet = classes["base64"][0]
-    candidates = matches(text, f"{alphabet}{{{window},}}")
+    joined = matches(text, f"[{ALPHABET}]{{{window},}}")
+
+    def candidates(x):
+        found = []
+        for characters, limit in classes.values():
+            runs = matches(x["value"], f"[{characters}]{{{window},}}")
+            found.append(F.transform(runs, lambda m: F.struct((x["start"] + m["start"]).alias("start"), (-x["start"] - m["end"]).alias("back"), F.lit(limit).alias("limit"), m["value"].alias("value"))))  # noqa: B023
+        return F.array_sort(F.concat(*found))
+
+    def first(items):
+        same = lambda x, y: (x["start"] == y["start"]) & (x["back"] == y["back"])
+        return F.filter(items, lambda x, i: (i == 0) | ~same(x, F.get(items, i - 1)))
 
     def secret(x):
-        v = x["value"]
-        pure = v.rlike(f"^{classes['hex'][0]}+$")
-        limit = F.when(pure, F.lit(classes["hex"][1])).otherwise(F.lit(classes["base64"][1]))
         listed = F.lit(False)
         for pattern in allowed:
-            listed = listed | v.rlike(pattern)
-        return F.when(listed, F.lit(False)).otherwise(window_entropy(v, window) >= limit)
+            listed = listed | x["value"].rlike(pattern)
+        return F.when(listed, F.lit(False)).otherwise(window_entropy(x["value"], window, x["limit"]) >= x["limit"])
+
+    every = F.flatten(F.transform(joined, lambda x: let(candidates(x), first)))
+    return F.transform(F.filter(every, secret), lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end")))
 
-    def within(x):
-        found = F.array(x)
-        for part in PARTS:
-            shifted = F.transform(matches(x["value"], f"{part}{{{window},}}"), lambda m: F.struct((x["start"] + m["start"]).alias("start"), (x["start"] + m["end"]).alias("end"), m["value"].alias("value")))
-            found = F.concat(found, shifted)
-        return F.array_distinct(found)
 
-    if parts:
-        candidates = F.flatten(F.transform(candidates, within))
-    return F.filter(candidates, secret)
+def _outermost(spans: Column) -> Column:
+    """``spans`` less the entropy spans that lie within another span."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
 
+    def kept(items):
+        reach = running(items, F.lit(-1), lambda at, x: F.greatest(at, -x["back"]), "int")
+        return let(reach, lambda r: F.filter(items, lambda x, i: (x["kind"] < 3) | (F.coalesce(F.get(r, i - 1), F.lit(-1)) < -x["back"])))
 
-def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple = ALLOWED, out: str = "spans", parts: bool = False) -> DataFrame:
+    return F.transform(let(order, kept), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["back"]).alias("end")))
+
+
+def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple = ALLOWED, out: str = "spans") -> DataFrame:
     """Add ``out``: array of (start, kind, end), by start and then kind (0 assign, 1 access, 2 hex, 3 entropy).
 
-    Base kinds are never suppressed; entropy spans are added where no base span
-    covers them, by whole joined runs or, with ``parts``, also by the runs of one class in them. Offsets are code points, ends exclusive. Null and empty texts
-    have no spans. Whole texts are scanned; rows are independent of each other. A
+    Base kinds are never suppressed; entropy spans are those that lie in no base
+    span and in no longer entropy span. Offsets are code points, ends exclusive. Null and empty texts
+    have no spans. Whole texts are scanned; rows are independent of each other, so repeated rows
+    and ties have equal spans and an empty table gives no rows. A
     column named like ``out`` is replaced, others are kept.
     """
     df = without(df, [out])
@@ -140,16 +183,15 @@ def scan(df: DataFrame, text: str = "text", window: int = WINDOW, allowed: tuple
         F.filter(matches(plain, ASSIGN, 2), lambda x: F.char_length(x["value"]) >= 6).alias("__assign"),
         matches(plain, ACCESS).alias("__access"),
         matches(plain, HEX).alias("__hex"),
-        entropy_spans(plain, window, allowed=allowed, parts=parts).alias("__entropy"),
+        entropy_spans(plain, window, allowed=allowed).alias("__entropy"),
     )
 
     def of(name: str, kind: int) -> Column:
         return F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
-    base = F.concat(of("__assign", 0), of("__access", 1), of("__hex", 2))
-    found = found.select(*columns, base.alias("__base"), of("__entropy", 3).alias("__more"))
-    apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    return found.select(*columns, F.array_sort(F.concat("__base", apart)).alias(out))
+    every = F.concat(of("__assign", 0), of("__access", 1), of("__hex", 2), of("__entropy", 3))
+    found = found.select(*[F.col(f"`{c}`") for c in columns], every.alias("__every"))
+    return found.select(*[F.col(f"`{c}`") for c in columns], F.when(F.size("__every") > 0, F.array_sort(_outermost(F.col("__every")))).otherwise(F.col("__every")).alias(out))
 
 
 def spelled(spans: Column) -> Column:
@@ -158,19 +200,34 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text in blocks of ``STRETCH``: only the blocks between are touched."""
+    i, j = (start / STRETCH).cast("int"), (end / STRETCH).cast("int")
+    head, tail = F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, j), F.lit(""))
+    from_, to = start % STRETCH, end % STRETCH
+    middle = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    return F.when(i == j, F.substr(head, from_ + 1, to - from_)).otherwise(F.concat(F.substr(head, from_ + 1, F.lit(STRETCH)), middle, F.substr(tail, F.lit(1), to)))
+
+
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``df`` with each span of its text replaced by ``mark``; overlapping spans are one. Columns stay the same.
 
-    Secrets that are glued to a key, a path or a placeholder are looked for unless ``parts=False`` is given.
+    Null and empty texts and texts without secrets stay as they are; so does an empty table.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state, s):
-        begin, fresh = F.greatest(state["at"], s["start"]), s["start"] >= state["at"]
-        kept = F.substr(F.col(text), state["at"] + 1, begin - state["at"])
-        out = F.when(fresh, F.concat(state["out"], kept, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def replaced(spans, blocks):
+        reach = running(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]), "int")
+
+        def written(ends):
+            # a span that begins within what came before adds nothing
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            parts = F.transform(spans, lambda x, i: F.when((i == 0) | (x["start"] >= before(i)), F.concat(_part(blocks, before(i), x["start"]), F.lit(mark))).otherwise(F.lit("")))
+            rest = _part(blocks, F.array_max(ends), F.char_length(text))
+            return F.concat(F.array_join(parts, ""), rest)
+
+        return let(reach, written)
 
-    tail = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col(text), s["at"] + 1, F.greatest(F.lit(0), F.char_length(text) - s["at"]))))
-    scanned = scan(df, text, out="__spans", **{"parts": True} | options)
-    return scanned.withColumn(text, F.when(F.size("__spans") > 0, tail).otherwise(F.col(text))).select(*df.columns)
+    scanned = scan(df, text, out="__spans", **options)
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    clean = let(blocks, lambda b: replaced(F.col("__spans"), b))
+    return scanned.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -5,32 +5,47 @@ fingerprint hashes, media digests, markup, fitted models and raking have no
 SQL form here.
 """
 
-from .secret_scan import ALLOWED, CLASSES, WINDOW
 from .sharding import SEED, SHARDS
 
-#: The base patterns, as in secret_scan.
+#: The base patterns, classes and allow-list, written out again so that an error in the operator's shows.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-
-
-def _spans(kind: int, pattern: str, wanted: str = "TRUE", group: int = 0) -> str:
+RUNS = (("[0-9a-fA-F]{20,}", 3.1), ("[A-Za-z0-9]{20,}", 3.9), ("[A-Za-z0-9+/]{20,}", 3.9), ("[A-Za-z0-9_-]{20,}", 3.9))
+PLACEHOLDER = "(?:example|placeholder|dummy|changeme|your|x{4,}|abcdefgh|0123456789|12345678)"
+LISTED = " OR ".join(
+    f"regexp_matches(val, '{p}')"
+    for p in (
+        "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+        "^[A-Za-z_/-]*[/-][A-Za-z_/-]*$",
+        "^[a-z]+$",
+        "^[A-Z]+$",
+        "^[A-Z]?[a-z]+([A-Z][a-z]+)*$",
+        "^[0-9+/_-]+$",
+        f"(?i)^{PLACEHOLDER}([^A-Za-z]|$)",
+        f"(?i)(^|[^A-Za-z]){PLACEHOLDER}$",
+    )
+)
+
+
+def _spans(kind: int, pattern: str, wanted: str = "TRUE", group: int = 0, extra: str = "") -> str:
     """Spans of a pattern: lengths of the matches and of the text between them give the positions."""
-    return f"""SELECT doc_id, {kind} AS kind, coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS s, length(hit[i]) AS size, val[i] AS val
-    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hit, string_split_regex(t, '{pattern}') AS gap, regexp_extract_all(t, '{pattern}', {group}) AS val FROM docs) m, unnest(range(1, len(hit) + 1)) u(i) WHERE {wanted}"""
-
+    before = "coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0)"
+    cuts = f"regexp_extract_all(t, '{pattern}') AS hit, string_split_regex(t, '{pattern}') AS gap, regexp_extract_all(t, '{pattern}', {group}) AS val"
+    return f"SELECT r, {kind} AS kind, {before} AS s, length(hit[i]) AS size, val[i] AS val{extra} FROM (SELECT r, {cuts} FROM docs) m, unnest(range(1, len(hit) + 1)) u(i) WHERE {wanted}"
 
-LISTED = " OR ".join(f"regexp_matches(val, '{p}')" for p in ALLOWED)
 
 SECRETS = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS MATERIALIZED ({_spans(0, ASSIGN, "length(val[i]) >= 6", 2)} UNION ALL {_spans(1, "AKIA[A-Z0-9]{16,}")} UNION ALL {_spans(2, "[0-9a-f]{24,}")}),
-candidate AS MATERIALIZED (SELECT * FROM ({_spans(3, f"[A-Za-z0-9+/_=-]{{{WINDOW},}}")}) c WHERE NOT ({LISTED})),
-counted AS (SELECT doc_id, s, val, k, substr(val, k + j, 1) AS ch, count(*) AS n FROM candidate, unnest(range(1, length(val) - {WINDOW - 2})) w(k), unnest(range(0, {WINDOW})) p(j) GROUP BY ALL),
-bits AS (SELECT doc_id, s, val, k, sum(-n / {WINDOW}.0 * log2(n / {WINDOW}.0)) AS h FROM counted GROUP BY ALL),
-entropy AS (SELECT doc_id, 3 AS kind, s, length(val) AS size, val FROM bits GROUP BY doc_id, s, val HAVING max(h) >= CASE WHEN regexp_full_match(val, '[0-9a-fA-F]+') THEN {CLASSES["hex"][1]} ELSE {CLASSES["base64"][1]} END),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM entropy e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.s <= e.s AND b.s + b.size >= e.s + e.size)),
-spelled AS (SELECT doc_id, kind, (CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END) || ':' || s || ':' || (s + size) AS span, s FROM every)
+run AS ({" UNION ALL ".join(_spans(3, p, extra=f", {limit} AS least") for p, limit in RUNS)}),
+candidate AS MATERIALIZED (SELECT r, s, size, val, min(least) AS least FROM run WHERE NOT ({LISTED}) GROUP BY ALL),
+counted AS (SELECT r, s, size, least, k, substr(val, k + j, 1) AS ch, count(*) AS n FROM candidate, unnest(range(1, length(val) - 18)) w(k), unnest(range(0, 20)) p(j) GROUP BY ALL),
+bits AS (SELECT r, s, size, least, k, sum(-n / 20.0 * log2(n / 20.0)) AS h FROM counted GROUP BY ALL),
+entropy AS MATERIALIZED (SELECT r, 3 AS kind, s, size FROM bits GROUP BY r, s, size, least HAVING max(h) >= least),
+found AS MATERIALIZED (SELECT r, kind, s, size FROM base UNION ALL SELECT * FROM entropy),
+every AS (SELECT r, kind, s, size FROM base UNION ALL SELECT * FROM entropy e WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.r = e.r AND b.s <= e.s AND b.s + b.size >= e.s + e.size AND (b.kind < 3 OR b.size > e.size))),
+spelled AS (SELECT r, kind, (CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END) || ':' || s || ':' || (s + size) AS span, s FROM every)
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
 sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans
-FROM docs d LEFT JOIN spelled p ON d.doc_id = p.doc_id GROUP BY d.r, d.doc_id"""
+FROM docs d LEFT JOIN spelled p ON d.r = p.r GROUP BY d.r, d.doc_id"""
 
 #: CRC-32 one byte at a time over the hexadecimal text of the bytes; the table comes from its rule.
 CRC_TABLE = "(SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
