@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import domains, quarantine, visits
-from ..scratch import shared_dir
+from ..scratch import fresh_path
 from ..sources import tables as S
 from .roles import Roles, sql
 
@@ -30,7 +30,7 @@ def query(oracle: str | None = None):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, name)
 
 
 # sources and sinks
