@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, drop
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     before = _print_of(edges)
     if before[0]:
         for _ in range(max_rounds):
-            edges = cut(_small_star(_large_star(edges)))
+            last, edges = edges, cut(_small_star(_large_star(edges)))
+            drop(last)
             now = _print_of(edges)
             if now == before:
                 break

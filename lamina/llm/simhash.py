@@ -121,15 +121,3 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = linked.join(smallest, "root").select("fp", "component_id")
     return printed.join(labels, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns.
-
-    Rows that repeat an id count as one document. A row with a null id cannot be
-    named as a member of a group and is kept.
-    """
-    groups = near_duplicates(df, text, doc_id)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named, unnamed = df.where(F.col(doc_id).isNotNull()), df.where(F.col(doc_id).isNull())
-    return named.join(keep, doc_id, "left_semi").dropDuplicates([doc_id]).select(*df.columns).union(unnamed)

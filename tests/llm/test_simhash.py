@@ -62,7 +62,6 @@ def test_messy_rows_and_clashing_columns(messy, clashing):
 
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).collect() == []
-    assert simhash.keep_first(empty).collect() == []
 
 
 def chains(spark):
@@ -112,11 +111,3 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (1, 0)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(found.values()) == {0, 100} and len(found) == 41 + 60
-
-
-def test_keep_first_keeps_one_document_of_each_group(messy):
-    kept = simhash.keep_first(messy)
-    assert kept.columns == messy.columns
-    ids = [r.doc_id for r in kept.collect()]
-    # 3, 4 and 5 have no words and are one group; 2 repeats 1
-    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 8, 9, 10] and ids.count(None) == 1
