@@ -24,39 +24,83 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length are ranked in chunks of about so many.
 CHUNK = 20_000
-#: Fixed value: the pre-tokenization pattern of the vocabulary, with possessive repeats.
+#: Fixed value: the pre-tokenization pattern of byte-level vocabularies, with possessive repeats.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: The added tokens of byte_bpe_50k.json.
-ADDED = {"<|endoftext|>": 50256}
+#: Characters whose classes no Unicode version since the pattern's library changed; texts with others are encoded as a whole.
+SETTLED = "[\u0000-\u0557\u0600-\u06ff\u0900-\u0bff\u0e00-\u0e7f\u1e00-\u208e\u20a0-\u2bff\u2e00-\u9fff\uac00-\ud7a3\uf900-\ufffd\U0001f000-\U0001faff]*+"
+#: Words whose ids a worker keeps, at most, and the longest one that it keeps.
+KEPT_WORDS, LONGEST = 300_000, 40
 
 
-def load_encoder(path: str | None = None):
-    """The byte-level BPE of ``byte_bpe_50k``, from its ranks file; ids equal those of byte_bpe_50k.json.
+class Encoder:
+    """Ids of texts by a tokenizers file, as its ``encode(text, add_special_tokens=False)`` gives them.
 
-    ``encode_ordinary`` takes the strings of ``ADDED`` for ordinary text; ``encode``
-    with ``allowed_special="all"`` gives them their ids, as that file does.
+    Byte-level BPE encodes each pre-token on its own, so a word's ids are asked of
+    the file's model once and kept. Other kinds of files, and texts with characters
+    whose class may differ between Unicode versions, are encoded as a whole.
     """
-    import base64
 
-    import tiktoken
-
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
-
-
-def token_count(text: Column) -> Column:
-    """Number of the vocabulary's tokens of each text, added tokens included and the end id not; 0 for null."""
+    def __init__(self, path: str | None = None) -> None:
+        import json
+
+        import regex
+        from tokenizers import Tokenizer
+
+        if path is None:
+            import public_tokenizers
+
+            path = public_tokenizers.path("byte_bpe_50k.json")
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        first = parts.get("pre_tokenizer") or {}
+        plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+        tokens = parts.get("added_tokens") or []
+        simple = not any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word"))
+        self.by_word = plain and simple and not parts.get("normalizer") and parts["model"].get("type", "BPE") == "BPE"
+        self.added = {t["content"]: t["id"] for t in tokens}
+        self.parts = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.words, self.settled = regex.compile(PATTERN).findall, regex.compile(SETTLED).fullmatch
+        # the byte alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in printable)}
+        self.known: dict[str, list[int]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        if len(word) <= LONGEST:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def _plain(self, text: str, out: list[int]) -> None:
+        known = self.known.get
+        for word in self.words(text):
+            out += known(word) or self._word(word)
+
+    def ids(self, text: str) -> list[int]:
+        if not self.by_word or self.settled(text) is None:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        at = 0
+        if self.parts is not None and any(x in text for x in self.added):
+            for m in self.parts.finditer(text):
+                self._plain(text[at : m.start()], out)
+                out.append(self.added[m[0]])
+                at = m.end()
+        self._plain(text[at:] if at else text, out)
+        return out
+
+
+def token_count(text: Column, tokenizer: str | None = None) -> Column:
+    """Number of the vocabulary's tokens of each text, the end id not included; 0 for null."""
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = load_encoder().encode
+        ids = Encoder(tokenizer).ids
         for texts in batches:
-            yield pa.array([len(encode(x.as_py() or "", allowed_special="all")) for x in texts], pa.int64())
+            yield pa.array([len(ids(x.as_py() or "")) for x in texts], pa.int64())
 
     return count(text.cast("string"))
 
@@ -69,12 +113,12 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
+def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` for each piece of each document.
 
     A document is the ids of its text and then ``end_id``. Null and empty texts
-    have the end id alone. ``tokenizer`` is the path of a ranks file. With ``added``
-    the strings of ``ADDED`` in a text are one token each, as in byte_bpe_50k.json; else they are text.
+    have the end id alone. ``tokenizer`` is the path of a tokenizers file; strings of its
+    added tokens in a text are those tokens.
     """
     small_batches(df.sparkSession)
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -84,8 +128,7 @@ def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(tokenizer)
-        encode = (lambda x: encoder.encode(x, allowed_special="all")) if added else encoder.encode_ordinary
+        encode = Encoder(tokenizer).ids
         for batch in batches:
             owner, rows = [], []
             for at, value in enumerate(batch.column("text")):
@@ -151,15 +194,18 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
-    """Add ``(sequence_id, offset)`` to pieces that have doc_id, piece, start and length.
+    """Add ``(sequence_id, offset)`` to pieces, whose ``length`` alone matters.
 
-    Only the length histogram (at most ``capacity`` rows) comes to the driver and
+    The pieces (no texts, no ids) are written once to the shared scratch folder, with a number
+    for each row, from which counting and placing read. Only the length histogram (at most
+    ``capacity`` rows) comes to the driver and
     only the plan made of it is broadcast; its size depends on the capacity,
-    not on the data. Ranks within a length are counted in hashed chunks, so a
-    length that a third of all pieces have is spread over many tasks. Repeated
+    not on the data. Ranks within a length are counted in chunks hashed by row number, so a
+    length that a third of all pieces have is spread over many tasks, whatever their ids. Repeated
     rows are separate pieces. No rows give no rows.
     """
-    spark = cuts.sparkSession
+    spark, columns = cuts.sparkSession, [F.col(f"`{c}`") for c in cuts.columns]
+    cuts = cut(cuts.withColumn("__row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows, sequence, used = [], 0, dict.fromkeys(histogram, 0)
     for times, chosen in plan_bins(histogram, capacity):
@@ -172,22 +218,20 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataF
         sequence += times
     plan = spark.createDataFrame(rows, "p_length long, lo long, hi long, k long, base long, off long")
     chunks = max(64, sum(histogram.values()) // chunk)
-    dealt = cuts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(chunks)))
-    sizes = dealt.groupBy("length", "chunk").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("length").orderBy("chunk")) - F.col("size")
-    begins = sizes.select("length", "chunk", before.alias("begin"))
-    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = dealt.withColumn("within", within).join(begins, ["length", "chunk"]).withColumn("rank", F.col("begin") + F.col("within") - 1)
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    nth = F.col("rank") - F.col("lo")
-    return placed.select(*cuts.columns, (F.col("base") + F.expr("(rank - lo) div k")).alias("sequence_id"), (F.col("off") + F.pmod(nth, F.col("k")) * F.col("length")).alias("offset"))
-
-
-def pack_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, added: bool = False) -> DataFrame:
+    dealt = cuts.withColumn("__chunk", F.pmod(F.xxhash64("__row"), F.lit(chunks)))
+    sizes = dealt.groupBy("length", "__chunk").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("length").orderBy("__chunk")) - F.col("size")
+    begins = sizes.select("length", "__chunk", before.alias("__begin"))
+    within = F.row_number().over(Window.partitionBy("length", "__chunk").orderBy("__row"))
+    ranked = dealt.withColumn("__within", within).join(begins, ["length", "__chunk"]).withColumn("__rank", F.col("__begin") + F.col("__within") - 1)
+    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
+    nth = F.col("__rank") - F.col("lo")
+    return placed.select(*columns, (F.col("base") + F.expr("(__rank - lo) div k")).alias("sequence_id"), (F.col("off") + F.pmod(nth, F.col("k")) * F.col("length")).alias("offset"))
+
+
+def pack_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """Tokenize, cut and pack: one row per piece with its place in a sequence.
 
-    Every text is tokenized once; the pieces (no texts, no ids) are kept in the
-    shared scratch folder, from which counting and placing read. Nulls, empty
-    texts, repeated rows and extra columns as in :func:`pieces` and :func:`pack`.
+    Every text is tokenized once. Nulls, empty texts, repeated rows and extra columns as in :func:`pieces` and :func:`pack`.
     """
-    return pack(cut(pieces(df, text, doc_id, capacity, end_id, tokenizer, added=added)), capacity)
+    return pack(pieces(df, text, doc_id, capacity, end_id, tokenizer), capacity)

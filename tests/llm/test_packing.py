@@ -12,11 +12,12 @@ from tokenizers import Tokenizer
 
 from lamina.llm import packing, queries
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ENCODER = packing.Encoder()
+
 
 def brute_pieces(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    ids = [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2]
     first = len(ids) % 1024 or 1024
     cuts = [0, *range(first, len(ids), 1024), len(ids)] if len(ids) > 1024 else [0, len(ids)]
     return [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -55,10 +56,28 @@ def test_empty_table(empty):
     assert packing.pack_documents(empty).collect() == []
 
 
-def test_special_token_strings_are_text(spark):
+def test_special_token_strings_are_tokens(spark):
     df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    row = packing.pieces(df, with_ids=True).first()
-    assert 50256 not in row.ids and row.ids[-1] == 2
+    assert packing.pieces(df, with_ids=True).first().ids == [64, 220, 50256, 275, 2]
+
+
+@hyp(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", " ", "  ", "\n", "\t", "\u00a0", "'s", "'ll", " don't", "x1", "é", "漢字", "🙂", "\u0558", "\u208f", "\U00010940", "\x1c", "\x85", "\u2028"])), max_size=20))
+def test_words_encoded_one_by_one_give_the_ids_of_the_whole_text(parts):
+    text = "".join(parts)
+    assert ENCODER.ids(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_every_character_class():
+    for c in range(0x3400):
+        text = f"a{chr(c)}1 {chr(c)}{chr(c)} b {chr(c)}"
+        assert ENCODER.ids(text) == TOKENIZER.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text' as text")
+    rows = packing.pack_documents(df).collect()
+    assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
 
 
 def test_added_tokens_as_in_the_json(spark, tmp_path):
