@@ -11,56 +11,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .frames import sized
 
 SHARDS = 24
 SEED = 17
 #: Rows are ranked in order-preserving buckets of about so many.
 BUCKET = 5_000
+KEY = ("doc_id", "source", "size", "text_crc32")
 
 
-def _global_rank(df: DataFrame, by: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
-    """1-based rank by ``order`` within ``by``; ``bucket`` is non-decreasing in the order.
+def _number(text: Column) -> Column:
+    """The first 52 bits of a digest of ``text``, as a number in [0, 1)."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
 
-    A bucket is ranked on its own and begins after the sizes of the buckets
+
+def _sum_before(df: DataFrame, by: list[str], bucket: Column, order: list[Column], weight: str, out: str) -> DataFrame:
+    """Sum of ``weight`` over the rows before each in ``order`` within ``by``; ``bucket`` is non-decreasing in the order.
+
+    A bucket is summed on its own and begins after the sums of the buckets
     before it, so no task holds all rows of a group.
     """
     keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_size")
-    begins = sizes.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_b_bucket"), before.alias("_begin"))
-    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    sums = keyed.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_sum")
+    begins = sums.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_b_bucket"), before.alias("_begin"))
+    up_to = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     on = F.col("_bucket") == F.col("_b_bucket")
     for c in by:
         on &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    ranked = keyed.withColumn("_within", within).join(begins, on)
-    return ranked.select(*df.columns, (F.col("_begin") + F.col("_within")).cast("long").alias(out))
+    summed = keyed.withColumn("_within", F.sum(weight).over(up_to) - F.col(weight)).join(begins, on)
+    return summed.select(*df.columns, (F.col("_begin") + F.col("_within")).cast("long").alias(out))
 
 
 def stratified_shards(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET) -> DataFrame:
     """``(doc_id, source, size, text_crc32, shard, slot)`` for every row of ``df``.
 
     Shard sizes in rows differ by one at most, and each source is spread over
-    the shards in proportion. ``size`` is the text's UTF-8 bytes plus 8, 8 for a
+    the shards in proportion: row ``rank`` of ``n`` stands at ``(rank - u) / n``, u in [0, 1) drawn for
+    the source, so that sources of few rows are spread as well. ``size`` is the text's UTF-8 bytes plus 8, 8 for a
     null text, whose CRC is that of no bytes. Null sources form a source of
-    their own. Ties (repeated ids) are ordered by size and CRC; rows equal in
-    those are interchangeable. No rows give no rows.
+    their own. Ties of the shuffle are ordered by id (null last), size and CRC; rows equal in
+    those are counted, ranked as one row with a weight, and spread out again. No rows give no rows.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
-    # the seeded shuffle: the first 52 bits of a digest, as text, order the rows of a source
-    draw = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))), 1, 13)
-    rows = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (F.octet_length(plain) + 8).cast("long").alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32"), draw.alias("draw")))
-    total = rows.count()
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (F.octet_length(plain) + 8).cast("long").alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32"))
+    # the seeded shuffle
+    draw = _number(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    keys = cut(rows.groupBy(*KEY).agg(F.count("*").alias("copies")).withColumn("draw", draw))
+    total = keys.agg(F.sum("copies")).first()[0] or 0
     buckets = max(64, total // bucket_rows)
-    # 32 bits of the digest, scaled, keep the order of the digest
-    lot = F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") * F.lit(buckets / 2**32)).cast("int")
+
+    def at(place: Column) -> Column:
+        return F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("int")
+
     order = [F.col(c).asc_nulls_last() for c in ("draw", "doc_id", "size", "text_crc32")]
-    ranked = _global_rank(rows, ["source"], lot, order, "rank")
-    counts = rows.groupBy(F.col("source").alias("c_source")).agg(F.count("*").alias("n"))
-    placed = ranked.join(F.broadcast(counts) if counts.limit(100_001).count() <= 100_000 else counts, F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source")
-    placed = placed.withColumn("part", (2 * F.col("rank") - 1) / (2 * F.col("n")))
-    spread = F.least(F.floor(F.col("part") * buckets), F.lit(buckets - 1)).cast("int")
-    line = _global_rank(placed.withColumn("_all", F.lit(0)), ["_all"], spread, [F.col("part"), F.col("source").asc_nulls_last(), *order], "place")
-    index = F.col("place") - 1
-    shard = F.expr(f"((place - 1) * {shards}) div {max(total, 1)}")
-    first = F.expr(f"(shard * {max(total, 1)} + {shards - 1}) div {shards}")
-    return line.withColumn("shard", shard.cast("int")).withColumn("slot", (index - first).cast("long")).select("doc_id", "source", "size", "text_crc32", "shard", "slot")
+    ranked = _sum_before(keys, ["source"], at(F.col("draw")), order, "copies", "before")
+    # copies come out in parts of a bucket's size, which a shuffle spreads if there are such
+    parts = ranked.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {bucket_rows}"))))
+    if not keys.where(F.col("copies") > bucket_rows).isEmpty():
+        parts = parts.repartition("doc_id", "text_crc32", "part")
+    copy = F.explode(F.sequence(F.col("part") * bucket_rows, F.least((F.col("part") + 1) * bucket_rows, F.col("copies")) - 1))
+    each = parts.withColumn("copy", copy).withColumn("rank", F.col("before") + F.col("copy") + 1)
+    counts = cut(keys.groupBy(F.col("source").alias("c_source")).agg(F.sum("copies").alias("n")))
+    offset = _number(F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("s:"), F.col("c_source").cast("string")), F.lit("n"))))
+    placed = each.join(sized(counts.withColumn("u", offset)), F.col("source").eqNullSafe(F.col("c_source")))
+    placed = placed.select(*KEY, "draw", "rank", ((F.col("rank") - F.col("u")) / F.col("n")).alias("place"), F.lit(1).cast("long").alias("one"), F.lit(0).alias("all"))
+    line = _sum_before(placed, ["all"], at(F.col("place")), [F.col("place"), F.col("source").asc_nulls_last(), *order, F.col("rank")], "one", "index")
+    whole = max(total, 1)
+    shard = F.expr(f"(index * {shards}) div {whole}")
+    first = F.expr(f"(shard * {whole} + {shards - 1}) div {shards}")
+    return line.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("index") - first).cast("long")).select("doc_id", "source", "size", "text_crc32", "shard", "slot")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -8,10 +9,13 @@ from pyspark.sql import functions as F
 from lamina.llm import sharding
 
 
+def offset(source, seed):
+    name = "n" if source is None else f"s:{source}"
+    return int(hashlib.md5(f"{seed}/{name}".encode()).hexdigest()[:13], 16) / 16**13
+
+
 def brute(rows, shards=24, seed=17):
     """Plain sorting of all rows in one place."""
-    import hashlib
-
     keyed = []
     for r in rows:
         raw = (r.text or "").encode()
@@ -23,7 +27,7 @@ def brute(rows, shards=24, seed=17):
     counts, seen, line = Counter(k[0] for k in keyed), Counter(), []
     for k in keyed:
         seen[k[0]] += 1
-        line.append(((2 * seen[k[0]] - 1) / (2 * counts[k[0]]), name(k[0]), k[1], last(k[2]), k[3], k[4], k))
+        line.append(((seen[k[0]] - offset(k[0], seed)) / counts[k[0]], name(k[0]), k[1], last(k[2]), k[3], k[4], k))
     line.sort(key=lambda x: x[:6])
     n = len(line)
     out = []
@@ -61,4 +65,19 @@ def test_each_shard_matches_the_mixture(documents):
     whole, n = Counter(r.source for r in rows), len(rows)
     for s in range(4):
         part = Counter(r.source for r in rows if r.shard == s)
-        assert all(abs(part[k] - whole[k] / 4) <= 1.5 for k in whole), (s, n)
+        assert all(abs(part[k] - whole[k] / 4) <= 2 for k in whole), (s, n)
+
+
+def test_sources_of_one_row_are_spread(spark):
+    rows = [(k, f"text {k}", "big" if k % 2 else f"small {k}") for k in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(df, bucket_rows=50)
+    small = Counter(r.shard for r in sharding.stratified_shards(df).collect() if r.source != "big")
+    assert len(small) == 24 and min(small.values()) >= 25 and max(small.values()) <= 80
+
+
+def test_many_rows_without_an_id_and_with_equal_texts(spark):
+    rows = [(None, "the same", "a")] * 500 + [(None, f"text {k % 7}", "b") for k in range(300)] + [(5, "copies", None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(df, bucket_rows=16)
+    check(df)
