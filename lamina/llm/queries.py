@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decision_list, mixing, packing, pagediff, rulefit, secret_scan, sharding, simhash, telephony, toxicity
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(divisor: int, rest: int) -> Column:
+    """Whether a row's labels are kept from fitting; a null id has no label, so false."""
+    return F.coalesce(remainder(F.col("doc_id"), divisor) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -61,14 +66,14 @@ def op8_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(documents, labels, where=remainder(F.col("doc_id"), 5) != 0)
     scored = toxicity.score(documents, model)
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ensemble = rulefit.fit(documents, labels, where=remainder(F.col("doc_id"), 3) != 1)
     scored = rulefit.apply_ensemble(documents, ensemble)
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

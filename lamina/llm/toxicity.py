@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols by a lexicon (insult, threat, target, negation, reported
-speech). Small transducers that mark negated, reported and directed insults
-are composed into one machine, which reads each clause that holds an insult or
-a threat. Sums of the marked weights, not single words, are what a logistic
+Words become symbols by a lexicon, which gives insults their weight. Five
+weighted transducers mark insults, threats, negation, reported speech and
+targets; they are composed into one machine, whose arcs carry the sums of
+theirs, and which reads each clause that holds an insult or a verb of harm. A
+verb of harm alone is no threat: it takes an intention or a target. Sums of the
+weights of marked outputs, not single words, are what a logistic
 curve scores. Insult words and stems are learned from labelled documents;
 the other word lists are fixed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,65 +28,140 @@ from ..scratch import cut, small_batches
 from .frames import without
 from .text_stats import labelled
 
-#: Labelled rows used, at most, and lexicon entries learned from them, at most.
-LABELLED, LEXICON = 12_000, 600
+#: Labelled rows used, at most.
+LABELLED = 12_000
 STEMS = (4, 5, 6, 7, 8)
-#: Seed words by symbol.
+#: Seed words by symbol: insult, harm, target, first person, intention, negation, reported speech.
 SEEDS = {
     "I": "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting imbecile cretin bastard dumb dummkopf arschloch trottel connard imbécile pendejo estúpido",
     "H": "kill murder strangle shoot stab lynch umbringen erschießen tuer égorger matar matarte",
     "T": "you your yours yourself u he she they them him her du dich dir dein ihr euch tu toi vous ton ta usted tú ti ustedes vosotros",
+    "F": "i we ich wir je nous yo nosotros",
+    "W": "will gonna going shall i'll we'll werde werden vais allons voy vamos",
     "N": "not no never nor isn't aren't don't wasn't nicht kein keine nie pas jamais aucun nunca jamás tampoco",
     "R": "said says called calls quoted quotes wrote claimed reported alleged sagte sagt nannte schrieb behauptete dit disait écrit appelé dijo dice llamó escribió",
 }
+SYMBOLS = (*SEEDS, "O")
 CLAUSE = re.compile(r"[^.!?;:\n\r,()\[\]\"“”«»]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-#: Words after a negation that it reaches.
+#: Words over which a negation, a verb of harm or an insult waits for what it belongs to.
 REACH = 3
 FEATURES = ("plain", "directed", "negated", "reported", "threat", "clause")
-CAP = 12.0
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic transducer; a symbol without a move goes to ``idle`` of the state and passes through."""
+    """Deterministic weighted transducer: a move gives the next state, an output and a weight.
+
+    A symbol without a move goes to ``idle`` of the state and passes through at weight 0.
+    """
 
     moves: dict
     idle: dict
     start: object = 0
 
     def step(self, state, symbol: str):
-        return self.moves.get((state, symbol), (self.idle.get(state, state), symbol))
+        return self.moves.get((state, symbol)) or (self.idle.get(state, state), symbol, 0.0)
 
 
 def compose(first: Transducer, second: Transducer, alphabet: Iterable[str]) -> Transducer:
-    """The transducer that feeds ``first``'s output to ``second``, over what is reachable from the starts."""
+    """The transducer that feeds ``first``'s output to ``second`` and adds their weights, over what is reachable from the starts."""
     start = (first.start, second.start)
     moves, todo, seen = {}, [start], {start}
     alphabet = tuple(alphabet)
     while todo:
         a, b = state = todo.pop()
         for symbol in alphabet:
-            a2, middle = first.step(a, symbol)
-            b2, out = second.step(b, middle)
-            moves[state, symbol] = ((a2, b2), out)
+            a2, middle, w1 = first.step(a, symbol)
+            b2, out, w2 = second.step(b, middle)
+            moves[state, symbol] = ((a2, b2), out, w1 + w2)
             if (a2, b2) not in seen:
                 seen.add((a2, b2))
                 todo.append((a2, b2))
     return Transducer(moves, {}, start)
 
 
+def insults() -> Transducer:
+    """Insults pass; one right after another weighs more."""
+    return Transducer({(0, "I"): (1, "I", 0.0), (1, "I"): (1, "I", 0.5)}, {1: 0})
+
+
+def threats() -> Transducer:
+    """``H!`` is a verb of harm with an intention before it; ``T!`` is a target that one with or without intention meets soon.
+
+    States: none, (intention, word by word), (harm with intention, words left) and (harm without, words left).
+    """
+    moves: dict = {}
+    idle: dict = {}
+    meant = [("meant", k) for k in range(REACH + 1)]
+    for state in (0, *meant):
+        moves[state, "F"], moves[state, "W"] = (meant[REACH], "F", 0.0), (meant[REACH], "W", 0.0)
+    for state in meant:
+        idle[state] = meant[state[1] - 1] if state[1] else 0
+        moves[state, "H"] = (("sure", REACH), "H!", 1.0)
+    moves[0, "H"] = (("bare", REACH), "H", 0.0)
+    for kind, weight in (("sure", 2.0), ("bare", 1.5)):
+        for k in range(1, REACH + 1):
+            state = (kind, k)
+            idle[state] = (kind, k - 1) if k > 1 else 0
+            moves[state, "T"] = (0, "T!", weight)
+            moves[state, "H"] = ((kind, REACH), "H!", 1.0) if kind == "sure" else ((kind, REACH), "H", 0.0)
+    return Transducer(moves, idle)
+
+
+#: Outputs of the first two machines that say something toxic.
+MARKS = ("I", "H!", "T!")
+
+
+def negations() -> Transducer:
+    """Marks within reach of a negation get ``-`` and weigh less."""
+    moves = {(k, x): (k - 1, f"{x}-", -0.5) for k in range(1, REACH + 1) for x in MARKS}
+    moves |= {(k, "N"): (REACH, "N", 0.0) for k in range(REACH + 1)}
+    return Transducer(moves, {k: k - 1 for k in range(1, REACH + 1)})
+
+
+def reports() -> Transducer:
+    """Marks after a verb of speech get ``r`` and weigh less."""
+    marks = [f"{x}{n}" for x in MARKS for n in ("", "-")]
+    return Transducer({(1, m): (1, f"{m}r", -0.5) for m in marks} | {(0, "R"): (1, "R", 0.0)}, {})
+
+
+def targets() -> Transducer:
+    """Insults after a target get ``+``; a target soon after an insult without one becomes ``T+``."""
+    said = [f"I{n}{r}" for n in ("", "-") for r in ("", "r")]
+    moves: dict = {("aimed", m): ("aimed", f"{m}+", 0.5) for m in said}
+    for x in ("T", "T!", "T!-", "T!r", "T!-r"):
+        moves[0, x] = ("aimed", x, 0.0)
+    for m in said:
+        moves[0, m] = ((m, REACH), m, 0.0)
+        for other in said:
+            for k in range(1, REACH + 1):
+                moves[(other, k), m] = ((m, REACH), m, 0.0)
+    idle: dict = {}
+    for m in said:
+        for k in range(1, REACH + 1):
+            idle[m, k] = (m, k - 1) if k > 1 else 0
+            moves[(m, k), "T"] = ("aimed", f"T{m[1:]}+", 0.5)
+    return Transducer(moves, idle)
+
+
+MACHINES = (insults, threats, negations, reports, targets)
+
+
+@cache
 def grammar() -> Transducer:
-    """Negation, then reported speech, then target. Outputs extend I and H by ``-``, ``r`` and ``+``."""
-    negation = {(k, x): (k - 1, f"{x}-") for k in range(1, REACH + 1) for x in "IH"}
-    negation |= {(k, "N"): (REACH, "N") for k in range(REACH + 1)}
-    marks = [f"{x}{n}" for x in "IH" for n in ("", "-")]
-    reported = {(1, m): (1, f"{m}r") for m in marks} | {(0, "R"): (1, "R")}
-    both = [f"{m}{r}" for m in marks for r in ("", "r")]
-    target = {(1, m): (1, f"{m}+") for m in both} | {(0, "T"): (1, "T")}
-    symbols = ("I", "H", "T", "N", "R", "O")
-    first = compose(Transducer(negation, {k: k - 1 for k in range(1, REACH + 1)}), Transducer(reported, {}), symbols)
-    return compose(first, Transducer(target, {}), symbols)
+    """The five machines, composed in order."""
+    whole = MACHINES[0]()
+    for make in MACHINES[1:]:
+        whole = compose(whole, make(), SYMBOLS)
+    return whole
+
+
+def kind_of(out: str) -> str | None:
+    """The feature that an output of the grammar counts for."""
+    if out[0] != "I" and not out.endswith("+") and "!" not in out:
+        return None
+    return "negated" if "-" in out else "reported" if "r" in out else "threat" if "!" in out else "directed" if "+" in out else "plain"
 
 
 @dataclass
@@ -137,17 +216,18 @@ class Reader:
                 k = bisect_left(hits, m.start())
                 if k < len(hits) and hits[k] < m.end():
                     sums["clause"] = max(sums["clause"], self._clause(m[0], sums))
-        return [min(sums[k], CAP) for k in FEATURES]
+        return [math.log1p(max(sums[k], 0.0)) for k in FEATURES]
 
     def _clause(self, clause: str, sums: dict[str, float]) -> float:
         state, total = self.machine.start, 0.0
         for word in WORD.findall(clause):
-            symbol, weight = self.lexicon.look(word)
-            state, out = self.machine.step(state, symbol)
-            if out[0] in "IH":
-                where = "negated" if "-" in out else "reported" if "r" in out else "threat" if out[0] == "H" else "directed" if "+" in out else "plain"
-                sums[where] += weight
-                total += weight * (0.5 if where in ("negated", "reported") else 1.5 if "+" in out else 1.0)
+            symbol, own = self.lexicon.look(word)
+            state, out, weight = self.machine.step(state, symbol)
+            if kind := kind_of(out):
+                # an insult weighs what the lexicon says, the rest what the arcs say
+                value = weight + (own if symbol == "I" else 0.0)
+                sums[kind] += value
+                total += value * (0.5 if kind in ("negated", "reported") else 1.0)
         return total
 
 
@@ -159,7 +239,7 @@ class Model:
 
 
 def clause_features(text: Column, lexicon: Lexicon) -> Column:
-    """Array of the sums in ``FEATURES``; a null text counts as empty."""
+    """Array of log(1 + sum) for the sums in ``FEATURES``; a null text counts as empty."""
 
     @F.arrow_udf("array<double>")
     def read(texts: pa.Array) -> pa.Array:
@@ -188,39 +268,61 @@ def _prefixes(words: Column, size: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.char_length(w) > size), lambda w: F.substring(w, 1, size))
 
 
-def learn_lexicon(sample: DataFrame, limit: int = LEXICON) -> Lexicon:
+def seed_lexicon() -> Lexicon:
+    """The seed words alone; insults among them weigh 2."""
+    return Lexicon({w: (s, 2.0 if s == "I" else 0.0) for s, words in SEEDS.items() for w in words.split()})
+
+
+def _bound(histogram: dict[int, int], base: float) -> float:
+    """The log-likelihood ratio a term must pass, given how many terms are in how many documents.
+
+    It grows with the log of the number of terms tried. Terms so rare that they couldn't
+    pass it if all their documents were toxic aren't tries.
+    """
+    tried, best = sum(histogram.values()), math.inf
+    for n in sorted(histogram):
+        bound = math.log(max(tried, 2)) + 2.0
+        best = min(best, bound)
+        if n * math.log(1 / base) >= bound:
+            break
+        tried -= histogram[n]
+    return best
+
+
+def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Seeds, and words and stems that appear in toxic documents far beyond chance.
 
     Terms are judged by a log-likelihood ratio against a bound that allows for
     the number of terms tried, over documents that aren't near copies of each
-    other. A seed that clean documents use as much loses its place.
+    other. A seed that clean documents use as much loses its place. What is
+    learned is bounded by the words of the sample.
     """
     documents = cut(_apart(sample))
     totals = documents.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0
-    lexicon = Lexicon({w: (s, 2.0) for s, words in SEEDS.items() for w in words.split()})
+    lexicon = seed_lexicon()
     if not 0 < toxic < n:
         return lexicon
     word = F.transform(F.filter("words", lambda w: F.char_length(w).between(3, 30)), lambda w: F.concat(w, F.lit("$")))
     stems = [_prefixes(F.col("words"), k) for k in STEMS]
     seen = documents.select("label", F.explode(F.array_distinct(F.concat(word, *stems))).alias("term"))
-    counts = cut(seen.groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).where("n > 2"))
+    counts = cut(seen.groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n")))
     base = toxic / n
-    terms = counts.count()
+    bound = _bound({r["n"]: r["count"] for r in counts.groupBy("n").count().collect()}, base)
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     part = lambda x, share: F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0)
     evidence = part(pos, base) + part(neg, 1 - base)
     odds = F.log((pos + 0.5) / (toxic - pos + 0.5)) - F.log((neg + 0.5) / (n - toxic - neg + 0.5))
     seeds = [f"{w}$" for w in SEEDS["I"].split() + SEEDS["H"].split()]
-    strong = (evidence > float(np.log(max(terms, 2)) + 2.0)) & (odds > F.when(F.col("term").endswith("$"), 2.0).otherwise(1.2))
+    strong = (evidence > bound) & (odds > F.when(F.col("term").endswith("$"), 2.0).otherwise(1.2))
     found = counts.select("term", "pos", "n", evidence.alias("evidence"), odds.alias("odds"))
-    rows = found.where(strong).orderBy(F.desc("evidence"), "term").limit(limit).collect()
+    rows = found.where(strong).orderBy(F.desc("evidence"), "term").collect()
     for r in found.where(F.col("term").isin(seeds) & (F.col("n") >= 20) & (F.col("odds") < 1.0)).collect():
         lexicon.words.pop(r["term"][:-1], None)
     words = {r["term"][:-1]: r for r in rows if r["term"].endswith("$")}
     for word, r in words.items():
-        if lexicon.words.get(word, ("I",))[0] in "IH":
-            lexicon.words[word] = (lexicon.words.get(word, ("I",))[0], float(min(max(r["odds"], 0.5), 6.0)))
+        if lexicon.words.get(word, ("I",))[0] == "I":
+            lexicon.words[word] = ("I", float(min(max(r["odds"], 0.5), 6.0)))
     # a stem stands for many words: one word must not make most of it; of nested stems the most telling is taken, the longest of equals
     for r in sorted((r for r in rows if not r["term"].endswith("$")), key=lambda r: (-r["evidence"], -len(r["term"]))):
         stem = r["term"]
@@ -255,7 +357,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", where: Column |
     rows = sample.select("label", clause_features(F.col("text"), lexicon).alias("x")).collect()
     y = np.array([r["label"] for r in rows], float)
     if not len(y) or y.min() == y.max():
-        return Model(lexicon, -3.0, [1.5, 2.0, 0.5, 0.5, 2.0, 0.5])
+        return Model(lexicon, -3.0, [2.0, 3.0, 0.5, 0.5, 3.0, 0.5])
     w = _logistic(np.array([r["x"] for r in rows], float), y)
     return Model(lexicon, float(w[0]), [float(v) for v in w[1:]])
 

@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lamina.llm import decision_list, queries, rulefit, toxicity
@@ -105,26 +107,58 @@ def test_tree_paths():
 def marks(*symbols):
     machine, state, out = toxicity.grammar(), toxicity.grammar().start, []
     for s in symbols:
-        state, o = machine.step(state, s)
+        state, o, _ = machine.step(state, s)
         out.append(o)
     return out
 
 
 def test_grammar_marks_negation_target_and_report():
     assert marks("T", "O", "I") == ["T", "O", "I+"]
+    assert marks("O", "I", "T", "O") == ["O", "I", "T+", "O"]
     assert marks("N", "O", "I") == ["N", "O", "I-"]
     assert marks("N", "O", "O", "O", "I")[-1] == "I"
-    assert marks("R", "T", "H")[-1] == "Hr+"
+    assert marks("R", "T", "I")[-1] == "Ir+"
     assert marks("T", "R", "N", "I")[-1] == "I-r+"
 
 
+def test_a_threat_takes_an_intention_or_a_target():
+    assert marks("F", "W", "H", "T") == ["F", "W", "H!", "T!"]
+    assert marks("T", "H", "O", "O") == ["T", "H", "O", "O"]
+    assert marks("H", "T") == ["H", "T!"] and marks("H", "O", "O", "O", "T")[-1] == "T"
+    assert marks("R", "F", "W", "H", "T")[3:] == ["H!r", "T!r"] and marks("F", "W", "N", "H")[-1] == "H!-"
+    reader = toxicity.Reader(toxicity.seed_lexicon())
+    score = lambda text: dict(zip(toxicity.FEATURES, reader.features(text), strict=True))["threat"]
+    assert score("You kill the process and restart it") == 0.0
+    assert score("I will kill you") > score("kill you") > 0.0
+
+
+@given(st.lists(st.sampled_from(toxicity.SYMBOLS), max_size=12))
+def test_the_composed_machine_is_the_five_one_after_another(symbols):
+    stages = [make() for make in toxicity.MACHINES]
+    states = [m.start for m in stages]
+    machine, state = toxicity.grammar(), toxicity.grammar().start
+    for symbol in symbols:
+        out, total = symbol, 0.0
+        for k, m in enumerate(stages):
+            states[k], out, weight = m.step(states[k], out)
+            total += weight
+        state, mine, weight = machine.step(state, symbol)
+        assert (mine, weight) == (out, total)
+
+
 def test_clauses_are_scored_not_words():
-    reader = toxicity.Reader(toxicity.Lexicon({"fool": ("I", 2.0), "you": ("T", 2.0), "not": ("N", 2.0), "said": ("R", 2.0)}, {"blarg": ("I", 3.0)}))
-    at = dict(zip(toxicity.FEATURES, reader.features("You fool. Not a fool; he said fool! foolish blargun"), strict=True))
-    assert (at["directed"], at["negated"], at["reported"], at["plain"]) == (2.0, 2.0, 2.0, 3.0)
+    reader = toxicity.Reader(toxicity.Lexicon({"fool": ("I", 2.0), "you": ("T", 0.0), "not": ("N", 0.0), "said": ("R", 0.0)}, {"blarg": ("I", 3.0)}))
+    at = dict(zip(toxicity.FEATURES, reader.features("You fool. Not a fool; he said fool! foolish blargun. A fool you are"), strict=True))
+    assert [round(np.expm1(at[k]), 9) for k in ("directed", "negated", "reported", "plain")] == [2.5 + 0.5, 1.5, 1.5, 3.0 + 2.0]
     assert reader.features("nothing here") == [0.0] * len(toxicity.FEATURES)
 
 
+def test_more_insults_always_count_more():
+    reader = toxicity.Reader(toxicity.Lexicon({"fool": ("I", 2.0)}))
+    sums = [reader.features("a fool. " * n)[0] for n in (1, 3, 50, 5000)]
+    assert sums == sorted(set(sums))
+
+
 def test_stems_are_learned_from_many_words(spark, labels):
     rows = [(k, f"vor mal {'zurbo' + 'abcdefghijklmnopqrstuvwxyz'[k % 26] * 2 if k % 8 == 0 else 'haus'} w{chr(97 + k % 17)}{chr(97 + k % 11)}x zeile {' '.join(chr(97 + (k * j) % 26) * 4 for j in range(3, 12))}") for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
