@@ -15,9 +15,8 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +147,6 @@ def targets() -> Transducer:
 MACHINES = (insults, threats, negations, reports, targets)
 
 
-@cache
 def grammar() -> Transducer:
     """The five machines, composed in order."""
     whole = MACHINES[0]()
@@ -242,9 +240,10 @@ def clause_features(text: Column, lexicon: Lexicon) -> Column:
     """Array of log(1 + sum) for the sums in ``FEATURES``; a null text counts as empty."""
 
     @F.arrow_udf("array<double>")
-    def read(texts: pa.Array) -> pa.Array:
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(lexicon)
-        return pa.array([reader.features(x.as_py() or "") for x in texts], pa.list_(pa.float64()))
+        for texts in batches:
+            yield pa.array([reader.features(x.as_py() or "") for x in texts], pa.list_(pa.float64()))
 
     return read(text.cast("string"))
 
