@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .frames import without
 from .text_stats import LABELLED, RATES, STATS, labelled, with_rates
 
@@ -124,7 +125,9 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray) -> DecisionList:
 def fit(df: DataFrame, labels: DataFrame, label: str = "quality", limit: int = LABELLED, text: str = "text", doc_id: str = "doc_id", where: Column | None = None) -> DecisionList:
     """Learn from at most ``limit`` labelled documents (label 0: bad), whose statistics alone reach the driver."""
     stats = with_rates(labelled(df, labels, label, where, limit, text, doc_id), "text")
-    rows = stats.select("doc_id", "label", *RATES).orderBy(F.xxhash64("doc_id"), "doc_id", *RATES).collect()
+    # written once, or sorting and collecting would each compute the statistics
+    kept = cut(stats.select(F.md5(F.col("doc_id").cast("string")).alias("lot"), "label", *RATES))
+    rows = sorted(kept.collect())
     data = {k: np.array([r[k] for r in rows], float) for k in RATES}
     return learn(data, np.array([r["label"] == 0 for r in rows], bool))
 

@@ -23,6 +23,8 @@ from .text_stats import LABELLED, RATES, STATS, labelled, with_rates
 
 TREES, DEPTH, SEED = 16, 3, 7
 LASSO, ROUNDS = 0.001, 60
+#: Labelled rows of a partition, about.
+ROWS = 5_000
 SPLIT = re.compile(r"^(\s*)(If|Else) \(feature (\d+) (<=|>) ([-+0-9.eE]+|NaN|Infinity)\)")
 
 
@@ -68,7 +70,8 @@ def tree_paths(description: str, stats: tuple[str, ...] = RATES) -> list[tuple[T
 def fit(df: DataFrame, labels: DataFrame, label: str = "quality", limit: int = LABELLED, text: str = "text", doc_id: str = "doc_id", where: Column | None = None) -> RuleEnsemble:
     """Fit on at most ``limit`` labelled documents. Without both classes the score is the share of label 1 (0.5 without rows)."""
     stats = with_rates(labelled(df, labels, label, where, limit, text, doc_id), "text").select(F.col("label").cast("double").alias("label"), *RATES)
-    sample = cut(stats.repartition(4).sortWithinPartitions(*RATES))
+    # few, sorted partitions: the sample is bounded, and forests of equal samples are equal
+    sample = cut(stats.repartition(max(1, limit // ROWS)).sortWithinPartitions(*RATES))
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(seen) < 2 or min(seen.values()) < 4:
         total, ones = sum(seen.values()), seen.get(1.0, 0)

@@ -34,6 +34,68 @@ def test_statistics(request, frame):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_stats(r.text or "")
 
 
+def brute_rates(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars, symbols, dup, repeat = brute_stats(text)
+    count = lambda p: len(re.findall(p, text))
+    per = lambda x, y: x / y if y else 0.0
+    return {
+        "n_words": n, "mean_word": per(chars, n), "symbol_rate": per(symbols, n), "upper_rate": per(count("[A-Z]"), chars), "mark_rate": per(count("[!?]"), n),
+        "digit_rate": per(count("[0-9]"), chars), "distinct_rate": per(len(set(words)), n), "repeat_rate": per(repeat, n), "dup_line_rate": per(dup, len(lines)),
+    }
+
+
+def holds(rule, rates):
+    return all(rates[t.stat] > t.limit if t.above else rates[t.stat] <= t.limit for t in rule)
+
+
+@pytest.fixture(scope="module")
+def some(spark):
+    """The documents and labels of a larger table."""
+    return tuple(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+
+
+def test_decision_list_row_by_row_and_on_held_out_rows(some):
+    documents, labels = some
+    rules = decision_list.fit(documents, labels, where=remainder(F.col("doc_id"), 5) != 0)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    beyond = []
+    for r in decision_list.apply_rules(documents, rules).collect():
+        rates = brute_rates(r.text or "")
+        failed = rates["n_words"] < 10 or rates["repeat_rate"] > 0.2
+        rejected = any(holds(rule, rates) for rule in rules.rules)
+        assert (r.base_failed, r.kept) == (failed, not failed and not rejected)
+        if not failed and r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0:
+            beyond.append((truth[r.doc_id], r.kept))
+    bad, good = [kept for q, kept in beyond if q == 0], [kept for q, kept in beyond if q == 1]
+    # beyond the base rule, bad documents go and good ones stay
+    assert len(bad) >= 3 and bad.count(False) >= 0.7 * len(bad)
+    assert good.count(True) >= 0.9 * len(good)
+
+
+def test_rule_ensemble_row_by_row(some):
+    documents, labels = some
+    ensemble = rulefit.fit(documents, labels, where=remainder(F.col("doc_id"), 3) != 1)
+    assert len(ensemble.rules) > 2
+    for r in rulefit.apply_ensemble(documents, ensemble).collect():
+        rates = brute_rates(r.text or "")
+        total = ensemble.intercept + sum(w for rule, w in ensemble.rules if holds(rule, rates))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+def test_long_unbroken_runs_in_all_models(spark, labels, documents):
+    size = 1_000_000
+    texts = ["a" * size, "a/" * (size // 2), "idiot" * (size // 5), "you idiot " * (size // 10), "x " * (size // 2), "\n" * size, "!" * size]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules, ensemble, model = decision_list.fit(documents, labels), rulefit.fit(documents, labels), toxicity.fit(documents, labels)
+    kept = {r.doc_id: r for r in decision_list.apply_rules(df, rules).select("doc_id", "n_words", "n_repeat_words", "kept").collect()}
+    assert kept[4].n_words == kept[4].n_repeat_words == size // 2 and not any(r.kept for r in kept.values())
+    assert rulefit.apply_ensemble(df, ensemble).where("score between 0 and 1").count() == len(texts)
+    scores = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert scores[3] > 0.5 > scores[0]
+
+
 def accuracy(rows, labels, name):
     truth = {r.doc_id: r[name] for r in labels.collect()}
     held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
