@@ -2,7 +2,7 @@
 
 Mu-law and A-law bytes expand through 256-entry lookup tables, IMA ADPCM blocks
 are decoded with numpy one sample position at a time across all blocks of a
-batch, and PCM is resampled by linear interpolation.
+batch, and PCM is resampled by linear interpolation and stored as WAV again.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ ADPCM_BLOCK = 72
 #: Payload bytes whose ADPCM blocks are decoded at once.
 TOGETHER = 1 << 20
 #: WAV format tags (fixed values).
-PCM_TAG, ALAW_TAG, MULAW_TAG = 1, 6, 7
+PCM_TAG, ALAW_TAG, MULAW_TAG, ADPCM_TAG = 1, 6, 7, 17
 #: IMA ADPCM index moves by code (fixed values).
 INDEX_MOVE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 
@@ -94,36 +95,66 @@ def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
     return (a + ((b - a) * rest) // target).astype(np.int16)
 
 
-def wav_bytes(payload: bytes, tag: int, rate: int, bits: int) -> bytes:
-    """A mono RIFF/WAVE file around ``payload``."""
-    width = bits // 8
-    fmt = struct.pack("<HHIIHH", tag, 1, rate, rate * width, width, bits)
+@dataclass(frozen=True)
+class Wave:
+    """What a mono RIFF/WAVE file holds: format tag, rate, bytes of a block, payload."""
+
+    tag: int
+    rate: int
+    block: int
+    payload: bytes
+
+
+def wav_bytes(payload: bytes, tag: int, rate: int, bits: int, block: int | None = None) -> bytes:
+    """A mono RIFF/WAVE file around ``payload``; ``block`` is given for ADPCM, whose blocks hold many samples."""
+    width = block or bits // 8
+    samples = (width - 4) * 2 + 1 if tag == ADPCM_TAG else 1
+    fmt = struct.pack("<HHIIHH", tag, 1, rate, rate * width // samples, width, bits)
+    if tag == ADPCM_TAG:
+        fmt += struct.pack("<HH", 2, samples)
     body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(payload)) + payload
     return b"RIFF" + struct.pack("<I", len(body) + len(payload) % 2) + body + b"\0" * (len(payload) % 2)
 
 
-def wav_read(media: bytes) -> tuple[int, int, bytes]:
-    """(format tag, rate, payload) of a RIFF/WAVE file; raises ValueError on anything else."""
+def wav_read(media: bytes) -> Wave:
+    """The contents of a RIFF/WAVE file; raises ValueError on anything else."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    at, tag, rate = 12, None, None
+    at, head = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt ":
-            tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
+        if at + 8 + size > len(media):
+            raise ValueError("damaged WAVE file")
+        if name == b"fmt " and size >= 16:
+            head = struct.unpack_from("<HHIIH", media, at + 8)
         elif name == b"data":
-            if tag is None or at + 8 + size > len(media):
-                raise ValueError("damaged WAVE file")
-            return tag, rate, media[at + 8 : at + 8 + size]
+            if head is None:
+                raise ValueError("no format chunk")
+            return Wave(head[0], head[2], head[4], media[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
-def expand(tag: int, payload: bytes) -> np.ndarray:
-    """int16 samples of a payload in mu-law, A-law or little-endian PCM."""
-    if tag == PCM_TAG:
-        return np.frombuffer(payload, "<i2")
-    return {MULAW_TAG: mulaw_table, ALAW_TAG: alaw_table}[tag]()[np.frombuffer(payload, np.uint8)]
+def law_tables() -> dict[int, np.ndarray]:
+    return {MULAW_TAG: mulaw_table(), ALAW_TAG: alaw_table()}
+
+
+def expand(wave: Wave, tables: dict[int, np.ndarray]) -> np.ndarray:
+    """int16 samples of a file in mu-law, A-law, IMA ADPCM (whole blocks) or little-endian PCM; ValueError for other formats."""
+    if wave.tag == PCM_TAG:
+        return np.frombuffer(wave.payload[: len(wave.payload) // 2 * 2], "<i2")
+    if wave.tag == ADPCM_TAG:
+        if wave.block <= 4:
+            raise ValueError("no samples in a block")
+        return decode_together([wave.payload], wave.block)[0].reshape(-1)
+    if wave.tag not in tables:
+        raise ValueError(f"format {wave.tag}")
+    return tables[wave.tag][np.frombuffer(wave.payload, np.uint8)]
+
+
+def resampled(wave: Wave, samples: np.ndarray, target_rate: int) -> bytes:
+    """A 16-bit PCM file of the samples at another rate."""
+    return wav_bytes(resample(samples, wave.rate, target_rate).astype("<i2").tobytes(), PCM_TAG, target_rate, 16)
 
 
 def store_texts(df: DataFrame, text: str = "text", law: str = "mulaw", unit: int = UNIT, rate: int = RATE) -> DataFrame:
@@ -143,21 +174,21 @@ def store_texts(df: DataFrame, text: str = "text", law: str = "mulaw", unit: int
 
     plain = F.coalesce(F.col(text), F.lit(""))
     kept = without(df, {"n_bytes", "media"} - {text}).columns
-    return df.select(*kept, F.octet_length(plain).cast("long").alias("n_bytes"), media(plain.cast("binary")).alias("media"))
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.octet_length(plain).cast("long").alias("n_bytes"), media(plain.cast("binary")).alias("media"))
 
 
 def pcm(media: Column, target_rate: int = 16000) -> Column:
-    """Resampled 16-bit PCM WAV of a G.711 or PCM WAV column; null for null or damaged media."""
+    """Resampled 16-bit PCM WAV of a G.711, ADPCM or PCM WAV column; null for null or damaged media."""
+    tables = law_tables()
 
     @F.arrow_udf("binary")
     def decoded(files: pa.Array) -> pa.Array:
         def made(media: bytes | None) -> bytes | None:
             try:
-                tag, rate, payload = wav_read(media or b"")
-                samples = expand(tag, payload)
-            except (ValueError, KeyError):
+                wave = wav_read(media or b"")
+                return resampled(wave, expand(wave, tables), target_rate)
+            except ValueError:
                 return None
-            return wav_bytes(resample(samples, rate, target_rate).astype("<i2").tobytes(), PCM_TAG, target_rate, 16)
 
         return pa.array((made(x.as_py()) for x in files), pa.binary())
 
@@ -172,22 +203,21 @@ READ_BACK = T.StructType(
         T.StructField("media_bytes", T.LongType()),
         T.StructField("media_sha256", T.StringType()),
         T.StructField("feature", T.StringType()),
+        T.StructField("pcm", T.BinaryType()),
     ]
 )
 
 
-def sound_features(payload: bytes, tag: int, rate: int, target_rate: int, adpcm: np.ndarray) -> str:
-    """Level, peak, zero crossings and PCM checksum of the G.711 reading, and the checksum of the ADPCM reading."""
-    samples = expand(tag, payload)
+def _level(samples: np.ndarray) -> str:
     wide = samples.astype(np.int64)
-    out = [
-        f"rms={float(np.sqrt(np.mean(wide * wide))) if len(wide) else 0.0:.4f}",
-        f"peak={int(np.abs(wide).max(initial=0))}",
-        f"zc={int(np.count_nonzero(np.diff(np.signbit(samples))))}",
-        f"pcm={zlib.crc32(resample(samples, rate, target_rate).astype('<i2').tobytes()):08x}",
-        f"adpcm={zlib.crc32(np.ascontiguousarray(adpcm, '<i2').tobytes()):08x}",
-    ]
-    return " ".join(out)
+    rms = float(np.sqrt(np.mean(wide * wide))) if len(wide) else 0.0
+    return f"rms={rms:.4f} peak={int(np.abs(wide).max(initial=0))} zc={int(np.count_nonzero(np.diff(np.signbit(samples))))}"
+
+
+def sound_features(wave: Wave, samples: np.ndarray, adpcm: np.ndarray, tables: dict[int, np.ndarray]) -> str:
+    """Level, peak and zero crossings of the sound, and checksums of the payload's readings by either law and as ADPCM."""
+    read = [f"{name}={zlib.crc32(tables[tag][np.frombuffer(wave.payload, np.uint8)].astype('<i2').tobytes()):08x}" for name, tag in (("mulaw", MULAW_TAG), ("alaw", ALAW_TAG))]
+    return " ".join([_level(samples), *read, f"adpcm={zlib.crc32(np.ascontiguousarray(adpcm, '<i2').tobytes()):08x}"])
 
 
 def decode_together(payloads: list[bytes], block: int = ADPCM_BLOCK) -> list[np.ndarray]:
@@ -199,10 +229,12 @@ def decode_together(payloads: list[bytes], block: int = ADPCM_BLOCK) -> list[np.
 
 
 def read_back(media: Column, target_rate: int = 16000, tail: int = 32) -> Column:
-    """Struct of digests and features of a stored WAV column, computed from its bytes; null for null media.
+    """Struct of digests, features and resampled PCM of a stored WAV column, computed from its bytes; null for null media.
 
-    ``feature`` describes the decoded and resampled sound; equal media give equal values.
+    ``feature`` describes the decoded sound, ``pcm`` is a 16-bit WAV file of it at ``target_rate``; equal media give equal values.
+    Damaged media raise ValueError: what this library stored must be readable.
     """
+    tables = law_tables()
 
     @F.arrow_udf(READ_BACK)
     def digest(files: pa.Array) -> pa.Array:
@@ -211,15 +243,24 @@ def read_back(media: Column, target_rate: int = 16000, tail: int = 32) -> Column
         rows: list[dict | None] = [None] * len(read)
         group: list[int] = []
         for at in range(len(read) + 1):
-            size = sum(len(read[k][2]) for k in group)
+            size = sum(len(read[k].payload) for k in group)
             if at == len(read) or size > TOGETHER:
-                for k, adpcm in zip(group, decode_together([read[k][2] for k in group]), strict=True):
-                    tag, rate, payload = read[k]
-                    rows[k] = {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-tail:]), "media_bytes": len(stored[k]), "media_sha256": hashlib.sha256(stored[k]).hexdigest(), "feature": sound_features(payload, tag, rate, target_rate, adpcm)}
+                for k, adpcm in zip(group, decode_together([read[k].payload for k in group]), strict=True):
+                    wave, media = read[k], stored[k]
+                    samples = expand(wave, tables)
+                    rows[k] = {
+                        "payload_bytes": len(wave.payload),
+                        "payload_sha256": hashlib.sha256(wave.payload).hexdigest(),
+                        "tail_crc32": zlib.crc32(wave.payload[-tail:]),
+                        "media_bytes": len(media),
+                        "media_sha256": hashlib.sha256(media).hexdigest(),
+                        "feature": sound_features(wave, samples, adpcm, tables),
+                        "pcm": resampled(wave, samples, target_rate),
+                    }
                 group = []
             if at < len(read) and read[at] is not None:
                 group.append(at)
-        kinds = [(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in READ_BACK]
-        return pa.array(rows, pa.struct(kinds))
+        kinds = {T.StringType: pa.string(), T.LongType: pa.int64(), T.BinaryType: pa.binary()}
+        return pa.array(rows, pa.struct([(f.name, kinds[type(f.dataType)]) for f in READ_BACK]))
 
     return digest(media)

@@ -46,7 +46,7 @@ def test_resampling():
 
 def test_wav_round_trip_and_damage():
     for payload in (b"", b"a", b"abcd" * 100):
-        assert telephony.wav_read(telephony.wav_bytes(payload, telephony.MULAW_TAG, 8000, 8)) == (7, 8000, payload)
+        assert telephony.wav_read(telephony.wav_bytes(payload, telephony.MULAW_TAG, 8000, 8)) == telephony.Wave(7, 8000, 1, payload)
     for bad in (b"", b"RIFF", telephony.wav_bytes(b"abc", 7, 8000, 8)[:-3]):
         with pytest.raises(ValueError):
             telephony.wav_read(bad)
@@ -64,6 +64,10 @@ def check(df):
         assert x.r.media_sha256 == hashlib.sha256(x.media).hexdigest() and x.r.media_bytes == len(x.media)
         samples = telephony.mulaw_table()[np.frombuffer(payload, np.uint8)]
         adpcm = np.array([slow_adpcm(payload[k : k + 72]) for k in range(0, min(len(payload), 7200), 72)], "<i2")
+        wide = samples.astype(int).tolist()
+        slow = [v for k, a in enumerate(wide) for v in (a, a + (wide[min(k + 1, len(wide) - 1)] - a) // 2)]
+        assert telephony.wav_read(x.r.pcm) == telephony.Wave(1, 16000, 2, np.array(slow, "<i2").tobytes())
+        assert f"alaw={zlib.crc32(telephony.alaw_table()[np.frombuffer(payload, np.uint8)].astype('<i2').tobytes()):08x}" in x.r.feature
         assert f"peak={np.abs(samples.astype(int)).max()}" in x.r.feature
         if len(payload) <= 7200:
             assert x.r.feature.endswith(f"adpcm={zlib.crc32(adpcm.tobytes()):08x}")
@@ -86,10 +90,21 @@ def test_messy_rows_and_clashing_columns(messy, clashing, empty):
 def test_pcm_column(spark):
     files = [(telephony.wav_bytes(b"\xff\x80", telephony.MULAW_TAG, 8000, 8),), (b"junk",), (None,)]
     rows = spark.createDataFrame(files, "media binary").select(telephony.pcm(F.col("media")).alias("p")).collect()
-    tag, rate, payload = telephony.wav_read(rows[0].p)
-    assert (tag, rate) == (1, 16000) and np.frombuffer(payload, "<i2").tolist() == [0, 16062, 32124, 32124]
+    wave = telephony.wav_read(rows[0].p)
+    assert (wave.tag, wave.rate) == (1, 16000) and np.frombuffer(wave.payload, "<i2").tolist() == [0, 16062, 32124, 32124]
     assert rows[1].p is None and rows[2].p is None
 
 
+def test_pcm_of_a_law_and_adpcm_files(spark):
+    sound = np.random.default_rng(5).bytes(72 * 3 + 10)
+    files = [telephony.wav_bytes(sound, telephony.ALAW_TAG, 8000, 8), telephony.wav_bytes(sound, telephony.ADPCM_TAG, 16000, 4, 72), telephony.wav_bytes(sound, 99, 8000, 8)]
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(files)], "k long, media binary")
+    got = {r.k: r.p for r in df.select("k", telephony.pcm(F.col("media")).alias("p")).collect()}
+    a = telephony.alaw_table()[np.frombuffer(sound, np.uint8)]
+    assert np.frombuffer(telephony.wav_read(got[0]).payload, "<i2")[::2].tolist() == a.tolist()
+    adpcm = [v for k in range(3) for v in slow_adpcm(sound[72 * k : 72 * k + 72])]
+    assert np.frombuffer(telephony.wav_read(got[1]).payload, "<i2").tolist() == adpcm and got[2] is None
+
+
 def test_query_has_a_row_for_each_document(spark, sf, documents):
     assert queries.op4_telephony_audio(spark, sf).count() == documents.count()
