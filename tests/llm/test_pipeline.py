@@ -12,6 +12,8 @@ import corpus_pipeline
 from lamina.llm import queries, secret_scan, toxicity
 from lamina.llm.text_stats import remainder
 
+from test_near_copies import brute_groups  # isort: skip
+
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -60,5 +62,32 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
                     to.write_text(f.read_text())
         else:
             (tmp_path / part).write_text(source.read_text())
+    (tmp_path / "tests").mkdir()
+    for name in ("conftest.py", "test_parity.py", "test_operators.py", "test_chain.py"):
+        (tmp_path / "tests" / name).write_text((ROOT / "tests" / name).read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert 'adsl' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    run = [sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_operators.py", "tests/test_parity.py", "-k", "test_operators or adsl or layer_counts or ri_clean_event"]
+    subprocess.run(run, cwd=tmp_path, check=True, timeout=900)
+
+
+@pytest.mark.parametrize("frame", ["messy", "clashing", "empty"])
+def test_stages_on_messy_rows(request, spark, labels, tmp_path, frame):
+    df = request.getfixturevalue(frame)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.where("doc_id < 12").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        again = spark.read.parquet(f"{tmp_path}/stage{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert again.columns == df.columns, name
+            assert {r.doc_id for r in again.collect()} <= {r.doc_id for r in docs.collect()}
+        docs, last = again, docs
+        if k == 1 and frame != "empty":
+            # copies and texts without words leave one document each; the others stay
+            assert sorted(r.doc_id for r in docs.collect() if r.doc_id is not None) == [1, 3, 6, 8, 9, 10]
+        if k == 2 and frame != "empty":
+            assert all("AKIA" not in (r.text or "") and (r.n_chars == len(r.text) if r.text is not None else r.n_chars is None) for r in docs.collect())
+    assert docs.count() >= last.count() and (frame != "empty" or docs.count() == 0)
