@@ -9,12 +9,13 @@ then find their bin from their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +29,35 @@ CHUNK = 20_000
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Characters whose classes no Unicode version since the pattern's library changed; texts with others are encoded as a whole.
 SETTLED = "[\u0000-\u0557\u0600-\u06ff\u0900-\u0bff\u0e00-\u0e7f\u1e00-\u208e\u20a0-\u2bff\u2e00-\u9fff\uac00-\ud7a3\uf900-\ufffd\U0001f000-\U0001faff]*+"
+#: The same over Latin letters and common punctuation, with classes spelled out: Python's own engine is twice as fast on it.
+LATIN = "\\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+LATIN_PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Words whose ids a worker keeps, at most, and the longest one that it keeps.
-KEPT_WORDS, LONGEST = 300_000, 40
+KEPT_WORDS, LONGEST = 400_000, 40
+
+
+class Known(dict):
+    """Ids of words, as bytes: a word that is missing is asked of the model and kept, if it is short."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        # the byte alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in printable)}
+        self.space, self.tokenize = chr(self.letters[32]), tokenizer.model.tokenize
+        self.spelled = [np.array([k], "<u4").tobytes() for k in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            letters = word.replace(" ", self.space)
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+        spelled = self.spelled
+        ids = b"".join([spelled[t.id] for t in self.tokenize(letters)])
+        if len(word) <= LONGEST and len(self) < KEPT_WORDS:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -58,51 +86,41 @@ class Encoder:
         tokens = parts.get("added_tokens") or []
         simple = not any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word"))
         self.by_word = plain and simple and not parts.get("normalizer") and parts["model"].get("type", "BPE") == "BPE"
-        self.added = {t["content"]: t["id"] for t in tokens}
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
         self.parts = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words, self.settled = regex.compile(PATTERN).findall, regex.compile(SETTLED).fullmatch
-        # the byte alphabet: printable bytes stand for themselves, the others for code points from 256 on
-        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.letters = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in printable)}
-        self.known: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        if len(word) <= LONGEST:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        self.latin_words, self.latin = re.compile(LATIN_PATTERN).findall, re.compile(f"[{LATIN}]*").fullmatch
+        self.known = Known(self.tokenizer)
 
-    def _plain(self, text: str, out: list[int]) -> None:
-        known = self.known.get
-        for word in self.words(text):
-            out += known(word) or self._word(word)
+    def _plain(self, text: str, words) -> bytes:
+        return b"".join(map(self.known.__getitem__, words(text)))
 
-    def ids(self, text: str) -> list[int]:
-        if not self.by_word or self.settled(text) is None:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        at = 0
-        if self.parts is not None and any(x in text for x in self.added):
-            for m in self.parts.finditer(text):
-                self._plain(text[at : m.start()], out)
-                out.append(self.added[m[0]])
-                at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
+    def raw(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        words = self.latin_words if self.latin(text) else self.words
+        if not self.by_word or (words is self.words and self.settled(text) is None):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.parts is None or not any(x in text for x in self.added):
+            return self._plain(text, words)
+        out, at = [], 0
+        for m in self.parts.finditer(text):
+            out += (self._plain(text[at : m.start()], words), self.added[m[0]])
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:], words)])
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.raw(text), "<u4")
 
-def token_count(text: Column, tokenizer: str | None = None) -> Column:
-    """Number of the vocabulary's tokens of each text, the end id not included; 0 for null."""
 
-    @F.arrow_udf("long")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = Encoder(tokenizer).ids
-        for texts in batches:
-            yield pa.array([len(ids(x.as_py() or "")) for x in texts], pa.int64())
+def worker_encoder(path: str | None = None) -> Encoder:
+    """The encoder of this Python worker, which serves many tasks: they share the words it has met."""
+    import sys
+    from types import ModuleType
 
-    return count(text.cast("string"))
+    kept = sys.modules.setdefault("_lamina_worker", ModuleType("_lamina_worker")).__dict__.setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -128,15 +146,15 @@ def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer).ids
+        encode, end = worker_encoder(tokenizer).raw, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             owner, rows = [], []
             for at, value in enumerate(batch.column("text")):
-                ids = np.array([*encode(value.as_py() or ""), end_id], "<u4")
-                for k, (start, length) in enumerate(cut_points(len(ids), capacity)):
-                    part = ids[start : start + length]
+                ids = encode(value.as_py() or "") + end
+                for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + length)]
                     owner.append(at)
-                    rows.append((k, start, length, zlib.crc32(part.tobytes()), part if with_ids else None))
+                    rows.append((k, start, length, zlib.crc32(part), np.frombuffer(part, "<u4") if with_ids else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:4])]
             if with_ids:
