@@ -9,13 +9,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Direct identifiers and dates by column name. Patterns are arguments everywhere.
-IDENTIFIERS = r"(?i)(^|_)(name|first|last|ssn|address|phone|email|passport|drivers|birthplace|zip|city)($|_)"
-DATES = r"(?i)(date|dtc$|_ts$|^start|^stop|^ende|^adt)"
-
-
-def drop_identifiers(df: DataFrame, pattern: str = IDENTIFIERS) -> DataFrame:
-    return df.drop(*[c for c in df.columns if re.search(pattern, c)])
+#: Words that name direct identifiers, and names of dates.
+IDENTIFIERS = frozenset(
+    "name email phone tel address street zip postal city state mrn patid patientid ssn social passport iban account".split()
+)
+#: Columns of the patients' source that are identifiers by their whole name.
+WHOLE = frozenset({"first", "last", "maiden", "drivers", "birthplace"})
+DATES = r"(?i)(dtc|date|datetime|timestamp|_ts$|_dt$|admit|discharge|^start|^stop|^ende|^adt)"
+#: Words that are parts of many others, and what they may be joined to, as in ``zipcode``; the rest count wherever they stand in a word.
+SHORT = frozenset("name tel zip city state mrn ssn iban".split())
+TAILS = frozenset("code no nr num number id name address key".split())
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def is_identifier(column: str, words: frozenset[str] = IDENTIFIERS) -> bool:
+    """Whether a column name holds an identifier word: on its own, in camel case, or joined to others.
+
+    Words are told apart, so ``ETHNICITY`` isn't a city and ``STATUS`` no state.
+    """
+    if column.lower() in WHOLE:
+        return True
+    parts = [w.lower() for w in WORD.findall(column)]
+    joined = {a + b for a, b in zip(parts, parts[1:], strict=False)}
+    for part in {*parts, *joined}:
+        if part in words or part.endswith("name"):
+            return True
+        for w in words:
+            if (w not in SHORT and w in part) or (part.startswith(w) and part[len(w) :] in TAILS):
+                return True
+    return False
+
+
+def drop_identifiers(df: DataFrame, pattern: str | None = None) -> DataFrame:
+    """Columns named like identifiers go: by :func:`is_identifier`, or by a pattern of the caller's."""
+    return df.drop(*[c for c in df.columns if (re.search(pattern, c) if pattern else is_identifier(c))])
 
 
 def drop_dates(df: DataFrame, pattern: str = DATES, by_type: bool = True) -> DataFrame:
@@ -40,7 +67,7 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.lower(F.trim(c)).isin("", "none", "nan"), F.col(c)) for c in texts}) if texts else df
 
 
-def deid_table(df: DataFrame, key: str, salt: str, identifiers: str = IDENTIFIERS, dates: str = DATES) -> DataFrame:
+def deid_table(df: DataFrame, key: str, salt: str, identifiers: str | None = None, dates: str = DATES) -> DataFrame:
     return null_tokens(drop_dates(drop_identifiers(pseudonymize(df, key, salt), identifiers), dates))
 
 
