@@ -7,10 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import iso_text, is_effectively_missing, pct
+from ..functions.columns import is_effectively_missing, iso_text, pct
+from ..sources.tables import contract_check
 from .quarantine import dup_groups
 
 RESULT = "layer string, check_name string, table_name string, severity string, n_bad bigint, status string, message string"
+RESULT_COLUMNS = [part.split()[0] for part in RESULT.split(", ")]
 HARD, SOFT = "HARD", "SOFT"
 
 
@@ -18,24 +20,29 @@ class GateError(RuntimeError):
     """A hard check failed under a strict gate."""
 
 
-def result(counted: DataFrame, layer: str, check: str, table: str, severity: str, message: str = "") -> DataFrame:
+def result(counted: DataFrame, layer: str, check: str, table: str, severity: str, message: str | Column = "") -> DataFrame:
     """A one-row frame with ``n_bad`` as a result row: PASS at 0."""
     status = F.when(F.col("n_bad") == 0, "PASS").otherwise("FAIL")
-    return counted.select(F.lit(layer).alias("layer"), F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), F.lit(severity).alias("severity"), F.col("n_bad").cast("bigint").alias("n_bad"), status.alias("status"), F.lit(message).alias("message"))
+    return counted.select(F.lit(layer).alias("layer"), F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), F.lit(severity).alias("severity"), F.col("n_bad").cast("bigint").alias("n_bad"), status.alias("status"), (message if isinstance(message, Column) else F.lit(message)).alias("message"))
 
 
 def fixed(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), RESULT)
 
 
-def check_exists(spark: SparkSession, present: Sequence[str], names: Sequence[str], layer: str = "staging") -> DataFrame:
-    have = set(present)
-    return fixed(spark, [(layer, "table_exists", n, HARD, int(n not in have), "PASS" if n in have else "FAIL", "" if n in have else "table missing") for n in names])
+def check_exists(spark: SparkSession, present: Mapping[str, DataFrame], names: Sequence[str], layer: str = "staging") -> DataFrame:
+    """A row per name; tables that are there are counted, which the message says."""
+    found = contract_check(spark, present, names)
+    message = F.when(F.col("present") == 1, F.concat(F.col("n_rows"), F.lit(" rows"))).otherwise("table missing")
+    return found.select(F.lit(layer).alias("layer"), F.lit("table_exists").alias("check_name"), "table_name", F.lit(HARD).alias("severity"), (1 - F.col("present")).cast("bigint").alias("n_bad"), "status", message.alias("message"))
 
 
 def check_columns(df: DataFrame, table: str, cols: Sequence[str], layer: str = "staging") -> DataFrame:
+    """Number of required columns that the table lacks; the message names them and the rows that lack them."""
     lacking = sorted(set(c.lower() for c in cols) - set(c.lower() for c in df.columns))
-    return fixed(df.sparkSession, [(layer, "required_columns", table, HARD, len(lacking), "FAIL" if lacking else "PASS", ",".join(lacking))])
+    counted = df.agg(F.count("*").alias("n"), F.lit(len(lacking)).alias("n_bad"))
+    message = F.concat(F.lit(",".join(lacking) + " in "), F.col("n"), F.lit(" rows")) if lacking else F.lit("")
+    return result(counted, layer, "required_columns", table, HARD, message)
 
 
 def check_constant(df: DataFrame, table: str, col: str, value: object, layer: str = "staging") -> DataFrame:
@@ -74,27 +81,33 @@ def check_ri(child: DataFrame, parent: DataFrame, table: str, fk: str, pk: str,
 
 def check_order(df: DataFrame, table: str, start: str, end: str, layer: str = "staging") -> DataFrame:
     """Ends before starts, among rows where both can be read."""
-    at = lambda c: F.col(c).cast("string").try_cast("timestamp")
-    return result(df.agg(F.count_if(at(end) < at(start)).alias("n_bad")), layer, "time_order", table, SOFT)
+    return result(df.agg(F.count_if(bad_order(start, end)).alias("n_bad")), layer, "time_order", table, SOFT)
 
 
 def check_dups(df: DataFrame, table: str, keys: Sequence[Column], layer: str = "staging") -> DataFrame:
     return result(dup_groups(df, keys).withColumnRenamed("n_dup_groups", "n_bad"), layer, "content_duplicates", table, SOFT)
 
 
-def check_range(df: DataFrame, table: str, check: str, bad: Column, severity: str, layer: str = "analysis") -> DataFrame:
-    return result(df.agg(F.count_if(bad).alias("n_bad")), layer, check, table, severity)
+def check_rows(df: DataFrame, table: str, checks: Mapping[str, tuple[Column, str]], layer: str = "staging") -> DataFrame:
+    """A result row per named (predicate of bad rows, severity), all counted in one aggregate over the table."""
+    counts = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, (bad, _) in checks.items()])
+    long = counts.unpivot([], list(checks), "check_name", "n_bad")
+    severity = F.when(F.col("check_name").isin([n for n, (_, s) in checks.items() if s == HARD]), HARD).otherwise(SOFT)
+    status = F.when(F.col("n_bad") == 0, "PASS").otherwise("FAIL")
+    return long.select(F.lit(layer).alias("layer"), "check_name", F.lit(table).alias("table_name"), severity.alias("severity"), "n_bad", status.alias("status"), F.lit("").alias("message"))
+
+
+def bad_order(start: str, end: str) -> Column:
+    """Ends before starts, where both can be read."""
+    at = lambda c: F.col(c).cast("string").try_cast("timestamp")
+    return at(end) < at(start)
 
 
 def range_checks(adsl: DataFrame, layer: str = "analysis") -> DataFrame:
     """Length of stay and age rules of the subject-level table."""
     los, age = F.col("INDEX_LOS_DAYS"), F.col("AGE")
     rules = [("los_negative", los < 0, HARD), ("los_over_365", los > 365, SOFT), ("age_missing", age.isNull(), SOFT), ("age_outside_0_120", (age < 0) | (age > 120), HARD)]
-    counts = adsl.agg(*[F.count_if(bad).alias(name) for name, bad, _ in rules])
-    long = counts.unpivot([], [r[0] for r in rules], "check_name", "n_bad")
-    severity = F.when(F.col("check_name").isin([r[0] for r in rules if r[2] == HARD]), HARD).otherwise(SOFT)
-    status = F.when(F.col("n_bad") == 0, "PASS").otherwise("FAIL")
-    return long.select(F.lit(layer).alias("layer"), "check_name", F.lit("adsl").alias("table_name"), severity.alias("severity"), "n_bad", status.alias("status"), F.lit("").alias("message"))
+    return check_rows(adsl, "adsl", {name: (bad, severity) for name, bad, severity in rules}, layer)
 
 
 def check_unique(df: DataFrame, table: str, keys: Sequence[str], severity: str = HARD, layer: str = "analysis") -> DataFrame:
@@ -105,22 +118,20 @@ def check_unique(df: DataFrame, table: str, keys: Sequence[str], severity: str =
 
 
 class DQResults:
-    """Collects result frames; a check that raises becomes an ERROR row."""
+    """Collects result rows; a check that fails, when it is made or when it runs, becomes an ERROR row."""
 
     def __init__(self, spark: SparkSession, run_id: str) -> None:
-        self.spark, self.run_id, self.frames = spark, run_id, []
+        self.spark, self.run_id, self.rows = spark, run_id, []
 
     def add(self, make, *args, table: str = "", **kwargs) -> None:
         try:
-            self.frames.append(make(*args, **kwargs))
+            # a check gives a few counted rows, which are fetched here so that its failure shows here
+            self.rows += [tuple(r) for r in make(*args, **kwargs).select(*RESULT_COLUMNS).collect()]
         except Exception as e:  # noqa: BLE001  the row carries the failure
-            self.frames.append(fixed(self.spark, [("", make.__name__, table, HARD, None, "ERROR", type(e).__name__)]))
+            self.rows.append(("", make.__name__, table, HARD, None, "ERROR", type(e).__name__))
 
     def frame(self) -> DataFrame:
-        out = fixed(self.spark, [])
-        for f in self.frames:
-            out = out.unionByName(f)
-        return out.withColumn("run_id", F.lit(self.run_id))
+        return fixed(self.spark, self.rows).withColumn("run_id", F.lit(self.run_id))
 
     def append_to(self, path: str) -> None:
         self.frame().withColumn("checked_at", F.current_timestamp()).write.mode("append").parquet(path)
@@ -186,7 +197,7 @@ def top_unmapped(specs: Sequence[tuple[str, DataFrame, str, str]], k: int = 200)
         no_code, no_label = is_effectively_missing(F.col(code)), is_effectively_missing(F.col(label))
         what = F.when(no_code & no_label, "CODE+LABEL").when(no_code, "CODE").otherwise("LABEL")
         parts.append(df.where(no_code | no_label).select(F.lit(domain).alias("domain"), iso_text(F.col(code)).alias("code"), iso_text(F.col(label)).alias("label"), what.alias("missing_what")))
-    counted = union_all(parts).groupBy("domain", "code", "label", "missing_what").agg(F.count("*").alias("n"))
+    counted = group_count(union_all(parts), {c: F.col(c) for c in ("domain", "code", "label", "missing_what")})
     return top_n(counted, [F.desc("n"), F.col("domain"), F.col("code").asc_nulls_last(), F.col("label").asc_nulls_last()], k)
 
 

@@ -11,19 +11,25 @@ from pyspark.sql import functions as F
 
 
 def fixity_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, size, sha256) of every file below ``path`` whose name matches; one hash per file."""
+    """(path, file, size, sha256) of every file below ``path`` whose name matches; ``file`` is its path below that root. One hash per file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    name = F.regexp_replace("path", r"^.*/", "")
-    return files.select("path", name.alias("file"), F.col("length").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath()
+    # the scheme and authority are spelled in more than one way, so paths are compared from the root folder on
+    plain = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    below = F.when(F.startswith(plain, F.lit(f"{root}/")), F.substr(plain, F.lit(len(root) + 2))).otherwise(F.regexp_replace(plain, r"^.*/", ""))
+    return files.select("path", below.alias("file"), F.col("length").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of one file."""
-    return fixity_manifest(spark, path)
+def source_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a source: of the file itself, or of the sorted manifest lines of a folder's files."""
+    lines = F.sort_array(F.collect_list(F.concat_ws("  ", "sha256", "file")))
+    row = fixity_manifest(spark, path).agg(F.count("*").alias("n"), F.first("sha256").alias("one"), F.sha2(F.array_join(lines, "\n"), 256).alias("all")).first()
+    return row["one"] if row["n"] == 1 else row["all"]
 
 
 def fixity_verify(manifest: DataFrame, current: DataFrame) -> DataFrame:
-    """Status of each manifest row against recomputed checksums: ok, mismatch or missing."""
+    """Status of each manifest row against recomputed checksums, by the path below the root: ok, mismatch or missing."""
     now = current.select("file", F.col("sha256").alias("now_sha256"), F.col("size").alias("now_size"))
     status = F.when(F.col("now_sha256").isNull(), "missing").when((F.col("now_sha256") == F.col("sha256")) & (F.col("now_size") == F.col("size")), "ok").otherwise("mismatch")
     return manifest.join(now, "file", "left").select("file", "size", "sha256", status.alias("status"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG = "table_name string, source_file string, row_count bigint, status string, message string"
+from .fixity import source_digest
+
+LOG = "run_id string, table_name string, stg_table string, source_file string, source_sha256 string, ingested_at timestamp, row_count bigint, status string, message string"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -37,22 +40,29 @@ def with_lineage(df: DataFrame, run_id: str, ingested_at: str | None = None) ->
     return df.select("*", F.lit(run_id).alias("_run_id"), at.alias("_ingested_at"), F.col("_metadata.file_name").alias("_source_file"))
 
 
-def load_tables(spark: SparkSession, sources: Mapping[str, str], tables: Sequence[str]) -> DataFrame:
-    """A log row per wanted table: OK with its row count, SKIP without a source, ERROR if it can't be read."""
-    out = None
-    rows = []
+def load_tables(spark: SparkSession, sources: Mapping[str, str], tables: Sequence[str], run_id: str = "", log_path: str | None = None) -> DataFrame:
+    """A log row per wanted table: OK with its row count, SKIP without a source, ERROR if it can't be read.
+
+    CSV sources have a header; others are Parquet. Rows carry the source's SHA-256, the name of the staged
+    table and the time; with ``log_path`` they are appended to the log there.
+    """
+    rows, at = [], datetime.now(UTC)
     for name in tables:
-        path = sources.get(name)
+        path, file, digest = sources.get(name), None, None
         if path is None:
-            rows.append((name, None, None, "SKIP", "source missing"))
+            rows.append((run_id, name, f"stg_{name}", None, None, at, None, "SKIP", "source missing"))
             continue
         try:
-            scan = spark.read.parquet(path)
+            file = path.rstrip("/").rsplit("/", 1)[-1]
+            digest = source_digest(spark, path)
+            scan = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.parquet(path)
             # a lost file shows when rows are counted, so the count is part of the try
-            rows.append((name, path.rsplit("/", 1)[-1], scan.count(), "OK", None))
+            rows.append((run_id, name, f"stg_{name}", file, digest, at, scan.count(), "OK", None))
         except Exception as e:  # noqa: BLE001  the log row carries the failure
-            rows.append((name, path.rsplit("/", 1)[-1], None, "ERROR", type(e).__name__))
+            rows.append((run_id, name, f"stg_{name}", file, digest, at, None, "ERROR", type(e).__name__))
     out = spark.createDataFrame(rows, LOG)
+    if log_path:
+        out.write.mode("append").parquet(log_path)
     return out
 
 
@@ -82,11 +92,13 @@ def layer_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def contract_check(spark: SparkSession, present: Iterable[str], required: Sequence[str]) -> DataFrame:
-    """(table_name, present, status) of the required tables."""
-    have = set(present)
-    rows = [(name, int(name in have), "PASS" if name in have else "FAIL") for name in required]
-    return spark.createDataFrame(rows, "table_name string, present int, status string")
+def contract_check(spark: SparkSession, present: Mapping[str, DataFrame], required: Sequence[str]) -> DataFrame:
+    """(table_name, present, n_rows, status) of the required tables; those that are there are counted, so a table that can't be read fails here."""
+    wanted = spark.createDataFrame([(name,) for name in required], "table_name string")
+    have = {n: present[n] for n in required if n in present}
+    counts = layer_counts(have) if have else spark.createDataFrame([], "table_name string, n_rows bigint")
+    there = F.col("n_rows").isNotNull()
+    return wanted.join(counts, "table_name", "left").select("table_name", there.cast("int").alias("present"), "n_rows", F.when(there, "PASS").otherwise("FAIL").alias("status"))
 
 
 def sf_tables(spark: SparkSession, sf_dir: str) -> list[str]:
