@@ -126,8 +126,8 @@ def not_in_codes(col: Column, codes: Sequence[str]) -> Column:
 
 def is_effectively_missing(col: Column) -> Column:
     """NULL, blank, or UNKNOWN / UNK in any case."""
-    text = F.trim(col.cast("string"))
-    return col.isNull() | (text == "") | F.upper(text).isin(*UNKNOWN_TOKENS)
+    text = norm_text(col.cast("string"))
+    return col.isNull() | (text == "") | text.isin(*UNKNOWN_TOKENS)
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -181,5 +181,5 @@ def trailing_int(col: Column) -> Column:
 
 
 def pct(n: Column, d: Column, on_empty: float = 0.0) -> Column:
-    """100 n / d, or ``on_empty`` for an empty denominator; 6 places."""
-    return F.when(d > 0, F.round(F.lit(100.0) * n / d, 6)).otherwise(F.lit(float(on_empty)))
+    """100 n / d, or ``on_empty`` for an empty denominator; 2 places."""
+    return F.when(d > 0, F.round(F.lit(100.0) * n / d, 2)).otherwise(F.lit(float(on_empty)))

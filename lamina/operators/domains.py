@@ -7,21 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import age_years, coalesce_text, fmt_ts, in_codes, iso_text, not_in_codes, pct, safe_cast, subject_id
+from ..functions.columns import age_years, coalesce_text, fmt_ts, in_codes, iso_text, norm_text, not_in_codes, pct, safe_cast, subject_id, with_constants
 from .visits import dedup, number_visits
 
 STUDY = "SYN"
-#: Codes of the vital-signs preset; other tables pass their own.
-VITAL_CODES = ("click", "view")
+#: The vital-sign codes (blood pressure, heart rate, temperature, respiration, weight, height, BMI).
+VITAL_CODES = ("8462-4", "8480-6", "8867-4", "8310-5", "9279-1", "29463-7", "8302-2", "39156-5")
 
 
 def _domain(df: DataFrame, study: str, domain: str, *cols) -> DataFrame:
-    return df.select(F.lit(study).alias("STUDYID"), F.lit(domain).alias("DOMAIN"), subject_id(F.col("patient_id")).alias("USUBJID"), *cols)
+    constant = with_constants(df, __study=study, __domain=domain)
+    return constant.select(F.col("__study").alias("STUDYID"), F.col("__domain").alias("DOMAIN"), subject_id(F.col("patient_id")).alias("USUBJID"), *cols)
 
 
 def map_dm(subjects: DataFrame, study: str = STUDY) -> DataFrame:
     """Subjects: sex M, F or U, dates as text."""
-    gender = F.upper(F.trim("gender"))
+    gender = norm_text(F.col("gender"))
     sex = F.when(gender == "M", "M").when(gender == "F", "F").otherwise("U")
     return _domain(subjects, study, "DM", sex.alias("SEX"), iso_text(F.col("birth_date")).alias("BRTHDTC"), iso_text(F.col("death_date")).alias("DTHDTC"), F.col("race").alias("RACE"), F.col("ethnicity").alias("ETHNIC"))
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import blank_token, finite, normalize_tokens, null_inf, pct, safe_name
+from ..functions.columns import blank_token, fill_constants, finite, normalize_tokens, null_inf, pct, safe_name
 from .profile import numeric_cols
-from .visits import split_last
+from .ranks import exact_quantiles
+from .visits import rows_at_group_max, split_last
 
 #: A lookup list (categories, codes) brought to the driver has so many values at most.
 MAX_VALUES = 1_000
@@ -23,7 +24,7 @@ def clean_inputs(df: DataFrame, id_col: str) -> DataFrame:
 
 def last_visit_target(visits: DataFrame) -> DataFrame:
     """Stay and category of the last visit that has a stay."""
-    last, _ = split_last(visits.where(F.col("LOS").isNotNull()), "USUBJID", "SEQ")
+    last = rows_at_group_max(visits.where(F.col("LOS").isNotNull()), "USUBJID", "SEQ")
     return last.select("USUBJID", F.col("SEQ").alias("LAST_SEQ"), F.round("LOS", 6).alias("LOS_LAST"), F.col("VISIT").alias("LAST_CAT"))
 
 
@@ -51,10 +52,16 @@ def distinct_values(df: DataFrame, col: str, limit: int = MAX_VALUES) -> list:
     """Sorted distinct values of a small category column; ValueError when there are more than ``limit``."""
     rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values")
+        raise ValueError(f"{col} has more than {limit} values, too many for columns: use the long form (history_long)")
     return sorted(r[0] for r in rows)
 
 
+def history_long(visits: DataFrame) -> DataFrame:
+    """(USUBJID, VISIT, N_VISITS_PREV, LOS_MEAN_PREV, LOS_MAX_PREV) of the stays before the last, for any number of categories; absent pairs have no row."""
+    before = history(visits).where(F.col("VISIT").isNotNull())
+    return before.groupBy("USUBJID", "VISIT").agg(F.count("*").alias("N_VISITS_PREV"), F.round(F.avg("LOS"), 6).alias("LOS_MEAN_PREV"), F.round(F.max("LOS"), 6).alias("LOS_MAX_PREV"))
+
+
 def history_by_category(visits: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
     """Per category, number, mean and maximum of earlier stays, 0 where there are none, in one aggregate.
 
@@ -121,7 +128,7 @@ def median_fill(df: DataFrame, id_col: str = "USUBJID") -> tuple[DataFrame, Data
     if not means:
         medians = {}
     else:
-        medians = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in means]).first().asDict()
+        medians = {c: v and v[0] for c, v in exact_quantiles(df, means, [0.5]).items()}
     gone = [c for c in means if medians[c] is None]
     filled = df.drop(*gone).fillna({c: 0 for c in counts} | {c: round(medians[c], 6) for c in means if medians[c] is not None} or {id_col: ""})
     rows = [(c, "dropped" if c in gone else "median", None if c in gone else round(float(medians[c]), 6)) for c in means] + [(c, "zero", 0.0) for c in counts]
@@ -130,8 +137,8 @@ def median_fill(df: DataFrame, id_col: str = "USUBJID") -> tuple[DataFrame, Data
 
 def subject_demo(subjects: DataFrame) -> DataFrame:
     """Age, sex and race, with UNKNOWN for missing texts."""
-    texts = [F.coalesce(blank_token(F.col(c)), F.lit("UNKNOWN")).alias(c) for c in ("SEX", "RACE")]
-    return subjects.select("USUBJID", F.col("AGE").cast("double").alias("AGE"), *texts)
+    texts = [blank_token(F.col(c)).alias(c) for c in ("SEX", "RACE")]
+    return fill_constants(subjects.select("USUBJID", F.col("AGE").cast("double").alias("AGE"), *texts), {"SEX": "UNKNOWN", "RACE": "UNKNOWN"})
 
 
 def star_merge(spine: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFrame:

@@ -10,9 +10,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import day_diff, first_reason, project, resolve_col
+from ..functions.columns import day_diff, drop_cols, first_reason, project, resolve_col
 
 REASON = "reject_reason"
+#: Parts that rows with a NULL key are spread over in a join.
+NULL_PARTS = 256
 Rules = Sequence[tuple[str, Column]]
 
 
@@ -110,11 +112,15 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str, only_nonnull:
 
 
 def ri_flag(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str, str]]) -> DataFrame:
-    """Add the reason of the first parent ``(parent, fk, pk, reason)`` that a row lacks; parents are joined on distinct keys."""
+    """Add the reason of the first parent ``(parent, fk, pk, reason)`` that a row lacks; parents are joined on distinct keys.
+
+    Rows with a NULL key would all be shuffled to one task, so a second key that matches no parent spreads them.
+    """
     out, rules = child, []
     for k, (parent, fk, pk, reason) in enumerate(parents):
-        keys = parent.where(F.col(pk).isNotNull()).select(F.col(pk).alias(f"_pk{k}")).distinct().withColumn(f"_has{k}", F.lit(1))
-        out = out.join(keys, F.col(fk) == F.col(f"_pk{k}"), "left")
+        keys = parent.where(F.col(pk).isNotNull()).select(F.col(pk).alias(f"_pk{k}")).distinct().withColumns({f"_has{k}": F.lit(1), f"_real{k}": F.lit(0)})
+        spread = F.when(F.col(fk).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*child.columns), F.lit(NULL_PARTS))).cast("int")
+        out = out.withColumn(f"_part{k}", spread).join(keys, (F.col(fk) == F.col(f"_pk{k}")) & (F.col(f"_part{k}") == F.col(f"_real{k}")), "left")
         rules.append((reason, F.col(f"_has{k}").isNull()))
     return out.withColumn(REASON, first_reason(rules)).select(*child.columns, REASON)
 
@@ -125,8 +131,7 @@ def orphans_multi(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str,
 
 def ri_split(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str, str]]) -> tuple[DataFrame, DataFrame]:
     """(clean, rejects) by one flag: exact for every row, whatever keys it repeats."""
-    flagged = ri_flag(child, parents)
-    return flagged.where(F.col(REASON).isNull()).drop(REASON), flagged.where(F.col(REASON).isNotNull())
+    return drop_cols(ri_flag(child, parents).where(F.col(REASON).isNull()), [REASON]), orphans_multi(child, parents)
 
 
 def dup_groups(df: DataFrame, keys: Sequence[Column], drop_null: bool = False) -> DataFrame:
@@ -146,4 +151,3 @@ def dup_report(specs: Mapping[str, tuple[DataFrame, Sequence[Column]]]) -> DataF
         out = one if out is None else out.unionByName(one)
     return out
 
-
