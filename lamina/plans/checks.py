@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from ..operators import deid, features, model, profile, quality
 from ..scratch import cut
 from ..sources import fixity
-from .layers import RUN, query, scratch_path
+from .layers import ORACLE, RUN, blob, query, scratch_path
 from .roles import Roles, sql
 
 # profiling
@@ -41,7 +40,9 @@ def profile_date_parse(r: Roles) -> DataFrame:
 @query(
     sql(
         """SELECT 'finding' AS table_name, count(*) AS n_rows, CAST(4 AS INTEGER) AS n_cols, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT patient_id, code, value, obs_ts FROM r_finding) d) AS BIGINT) AS duplicate_rows,
-        CAST(1 AS INTEGER) AS n_date_cols, round(avg(CAST(TRY_CAST(obs_ts AS TIMESTAMP) IS NULL AS DOUBLE)), 6) AS max_parse_fail_rate FROM r_finding""",
+        CAST(1 AS INTEGER) AS n_date_cols, round(avg(CAST(TRY_CAST(obs_ts AS TIMESTAMP) IS NULL AS DOUBLE)), 6) AS max_parse_fail_rate,
+        (SELECT string_agg(printf('%s:%.2f%%', c, 100 * m), '; ' ORDER BY m DESC, c) FROM (SELECT 'patient_id' AS c, round(avg(CAST(patient_id IS NULL AS DOUBLE)), 6) AS m FROM r_finding UNION ALL SELECT 'code', round(avg(CAST(code IS NULL AS DOUBLE)), 6) FROM r_finding
+        UNION ALL SELECT 'value', round(avg(CAST(value IS NULL AS DOUBLE)), 6) FROM r_finding UNION ALL SELECT 'obs_date', round(avg(CAST(obs_ts IS NULL AS DOUBLE)), 6) FROM r_finding) g) AS top_missing_cols FROM r_finding""",
         "r_finding",
     )
 )
@@ -81,8 +82,8 @@ def row_sql(check: str, table: str, severity: str, n_bad: str, source: str, laye
     return f"SELECT '{layer}' AS layer, '{check}' AS check_name, '{table}' AS table_name, '{severity}' AS severity, n_bad, CASE WHEN n_bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, '{message}' AS message FROM (SELECT CAST({n_bad} AS BIGINT) AS n_bad FROM {source}) t"
 
 
-EXISTS = "SELECT 'staging' AS layer, 'table_exists' AS check_name, 'visit' AS table_name, 'HARD' AS severity, CAST(0 AS BIGINT) AS n_bad, 'PASS' AS status, '' AS message UNION ALL SELECT 'staging', 'table_exists', 'claims', 'HARD', 1, 'FAIL', 'table missing'"
-COLS = "SELECT 'staging' AS layer, 'required_columns' AS check_name, 'visit' AS table_name, 'HARD' AS severity, CAST(1 AS BIGINT) AS n_bad, 'FAIL' AS status, '_run_id' AS message"
+EXISTS = "SELECT 'staging' AS layer, 'table_exists' AS check_name, 'visit' AS table_name, 'HARD' AS severity, CAST(0 AS BIGINT) AS n_bad, 'PASS' AS status, (SELECT count(*) FROM r_visit) || ' rows' AS message UNION ALL SELECT 'staging', 'table_exists', 'claims', 'HARD', 1, 'FAIL', 'table missing'"
+COLS = "SELECT 'staging' AS layer, 'required_columns' AS check_name, 'visit' AS table_name, 'HARD' AS severity, CAST(1 AS BIGINT) AS n_bad, 'FAIL' AS status, '_run_id in ' || (SELECT count(*) FROM r_visit) || ' rows' AS message"
 PK = row_sql("pk_not_null", "visit", "HARD", "count(*)", "r_visit WHERE encounter_id IS NULL") + " UNION ALL " + row_sql("pk_unique", "visit", "HARD", "count(*)", "(SELECT encounter_id FROM r_visit WHERE encounter_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) d")
 ORDER = row_sql("time_order", "visit", "SOFT", "count(*)", "r_visit WHERE stop_ts < start_ts")
 DUPS = row_sql("content_duplicates", "visit", "SOFT", "count(*)", "(SELECT patient_id, start_ts FROM r_visit GROUP BY ALL HAVING count(*) > 1) d")
@@ -94,7 +95,7 @@ NEED = ("r_visit", "v_subject_ok")
 def _results(r: Roles) -> DataFrame:
     visit = r.raw_visit()
     found = quality.DQResults(r.spark, RUN)
-    found.add(quality.check_exists, r.spark, ["visit"], ["visit", "claims"], table="visit")
+    found.add(quality.check_exists, r.spark, {"visit": visit}, ["visit", "claims"], table="visit")
     found.add(quality.check_columns, visit, "visit", ["encounter_id", "_run_id"], table="visit")
     found.add(quality.check_pk, visit, "visit", ["encounter_id"], table="visit")
     found.add(quality.check_order, visit, "visit", "start_ts", "stop_ts", table="visit")
@@ -103,7 +104,7 @@ def _results(r: Roles) -> DataFrame:
     return found.frame()
 
 
-@query(COLS)
+@query(sql(COLS, "r_visit"))
 def dq_required_cols(r: Roles) -> DataFrame:
     return quality.check_columns(r.raw_visit(), "visit", ["encounter_id", "_run_id"])
 
@@ -166,7 +167,7 @@ MISS = "({c} IS NULL OR trim({c}) = '' OR upper(trim({c})) IN ('UNKNOWN', 'UNK')
 
 def _cover_sql(domain: str, source: str, code: str, label: str) -> str:
     a, b = MISS.format(c=code), MISS.format(c=label)
-    return f"""SELECT '{domain}' AS domain, n, n_missing_code, n_missing_label, round(100.0::DOUBLE * (n - n_missing_code) / n, 6) AS code_pct, round(100.0::DOUBLE * (n - n_missing_label) / n, 6) AS label_pct FROM (
+    return f"""SELECT '{domain}' AS domain, n, n_missing_code, n_missing_label, round(100.0::DOUBLE * (n - n_missing_code) / n, 2) AS code_pct, round(100.0::DOUBLE * (n - n_missing_label) / n, 2) AS label_pct FROM (
     SELECT count(*) AS n, count(*) FILTER (WHERE {a}) AS n_missing_code, count(*) FILTER (WHERE {b}) AS n_missing_label FROM {source}) t"""
 
 
@@ -198,7 +199,7 @@ def top_unmapped(r: Roles) -> DataFrame:
     return quality.top_unmapped([("FINDING", r.raw_finding(), "code", "description"), ("EVENT", r.raw_event(), "code", "description")])
 
 
-TIMES = """SELECT 'SV' AS domain, n, n_missing_end, n_checked, n_ok, n_bad, round(100.0::DOUBLE * n_missing_end / n, 6) AS missing_end_pct, CASE WHEN n_checked > 0 THEN round(100.0::DOUBLE * n_ok / n_checked, 6) ELSE 100.0 END AS ok_pct FROM (
+TIMES = """SELECT 'SV' AS domain, n, n_missing_end, n_checked, n_ok, n_bad, round(100.0::DOUBLE * n_missing_end / n, 2) AS missing_end_pct, CASE WHEN n_checked > 0 THEN round(100.0::DOUBLE * n_ok / n_checked, 2) ELSE 100.0 END AS ok_pct FROM (
     SELECT count(*) AS n, count(*) FILTER (WHERE stop_ts IS NULL) AS n_missing_end, count(*) FILTER (WHERE start_ts IS NOT NULL AND stop_ts IS NOT NULL) AS n_checked,
     count(*) FILTER (WHERE stop_ts >= start_ts) AS n_ok, count(*) FILTER (WHERE stop_ts < start_ts) AS n_bad FROM r_visit) t"""
 
@@ -209,7 +210,7 @@ def timing_check(r: Roles) -> DataFrame:
 
 
 DM_OK = "SELECT 'SYN-' || patient_id AS k FROM v_subject_ok"
-MASTER = f"""SELECT 'SV' AS domain, n, n_blank, n_not_found, round(100.0::DOUBLE * (n - n_blank - n_not_found) / n, 6) AS ok_pct FROM (
+MASTER = f"""SELECT 'SV' AS domain, n, n_blank, n_not_found, round(100.0::DOUBLE * (n - n_blank - n_not_found) / n, 2) AS ok_pct FROM (
     SELECT count(*) AS n, count(*) FILTER (WHERE patient_id IS NULL) AS n_blank, count(*) FILTER (WHERE patient_id IS NOT NULL AND k IS NULL) AS n_not_found
     FROM r_visit v LEFT JOIN ({DM_OK}) m ON 'SYN-' || v.patient_id = m.k) t"""
 
@@ -246,7 +247,7 @@ def sdtm_qc_summary(r: Roles) -> DataFrame:
 KEYS = ("USUBJID", "SEX", "AGE", "INDEX_LOS_DAYS", "ETHNIC")
 
 
-@query(sql(" UNION ALL ".join(f"SELECT 'adsl' AS dataset, '{c}' AS column_name, count({c}) AS n_present, count(*) AS n_rows, round(100.0::DOUBLE * count({c}) / count(*), 6) AS present_pct FROM adsl" for c in KEYS), "adsl"))
+@query(sql(" UNION ALL ".join(f"SELECT 'adsl' AS dataset, '{c}' AS column_name, count({c}) AS n_present, count(*) AS n_rows, round(100.0::DOUBLE * count({c}) / count(*), 2) AS present_pct FROM adsl" for c in KEYS), "adsl"))
 def analysis_completeness(r: Roles) -> DataFrame:
     return quality.completeness(r.adsl(), "adsl", KEYS)
 
@@ -255,8 +256,8 @@ def analysis_completeness(r: Roles) -> DataFrame:
     sql(
         """SELECT *, CASE WHEN n_absent = 0 THEN 'NONE' WHEN direction = 'b_in_a' THEN 'HARD' ELSE 'SOFT' END AS severity FROM (
         SELECT 'a_in_b' AS direction, count(*) AS n_keys, count(*) FILTER (WHERE USUBJID NOT IN (SELECT USUBJID FROM adbds)) AS n_absent,
-        round(100.0::DOUBLE * count(*) FILTER (WHERE USUBJID NOT IN (SELECT USUBJID FROM adbds)) / count(*), 6) AS bad_pct FROM (SELECT DISTINCT USUBJID FROM adsl) a
-        UNION ALL SELECT 'b_in_a', count(*), count(*) FILTER (WHERE USUBJID NOT IN (SELECT USUBJID FROM adsl)), round(100.0::DOUBLE * count(*) FILTER (WHERE USUBJID NOT IN (SELECT USUBJID FROM adsl)) / count(*), 6) FROM (SELECT DISTINCT USUBJID FROM adbds) b) t""",
+        round(100.0::DOUBLE * count(*) FILTER (WHERE USUBJID NOT IN (SELECT USUBJID FROM adbds)) / count(*), 2) AS bad_pct FROM (SELECT DISTINCT USUBJID FROM adsl) a
+        UNION ALL SELECT 'b_in_a', count(*), count(*) FILTER (WHERE USUBJID NOT IN (SELECT USUBJID FROM adsl)), round(100.0::DOUBLE * count(*) FILTER (WHERE USUBJID NOT IN (SELECT USUBJID FROM adsl)) / count(*), 2) FROM (SELECT DISTINCT USUBJID FROM adbds) b) t""",
         "adsl",
         "adbds",
     )
@@ -333,7 +334,7 @@ ZEROS = ", ".join(f"coalesce({p}_{n}, 0) AS {p}_{n}" for n in CATEGORIES.values(
     )
 )
 def history_by_category(r: Roles) -> DataFrame:
-    return features.history_by_category(r.long(), list(CATEGORIES))
+    return features.history_by_category(r.long())
 
 
 TOP = "SELECT TESTCD AS code, min(TEST) AS label, count(*) AS n_records FROM findings WHERE STRESN IS NOT NULL GROUP BY TESTCD ORDER BY n_records DESC, code LIMIT 3"
@@ -356,7 +357,7 @@ LABS = "SELECT USUBJID, " + ", ".join([f"round(avg(CASE WHEN TESTCD = '{c}' THEN
 
 
 def _labs(r: Roles) -> DataFrame:
-    return features.finding_features(_all_findings(r), codes=CODES)
+    return features.finding_features(_all_findings(r))
 
 
 @query(sql(LABS, "findings"))
@@ -413,7 +414,7 @@ def missingness_cells(r: Roles) -> DataFrame:
     return features.missingness(_merged(r), fill_zero=True)
 
 
-@query(sql(f"SELECT (SELECT count(*) FROM (SELECT USUBJID FROM target UNION SELECT USUBJID FROM demo) u) AS n_union, count(DISTINCT USUBJID) AS n_merged, round(100.0::DOUBLE * count(DISTINCT USUBJID) / (SELECT count(*) FROM (SELECT USUBJID FROM target UNION SELECT USUBJID FROM demo) u), 6) AS coverage_pct FROM ({MERGED}) m", *MERGED_NEED))
+@query(sql(f"SELECT (SELECT count(*) FROM (SELECT USUBJID FROM target UNION SELECT USUBJID FROM demo) u) AS n_union, count(DISTINCT USUBJID) AS n_merged, round(100.0::DOUBLE * count(DISTINCT USUBJID) / (SELECT count(*) FROM (SELECT USUBJID FROM target UNION SELECT USUBJID FROM demo) u), 2) AS coverage_pct FROM ({MERGED}) m", *MERGED_NEED))
 def key_union_check(r: Roles) -> DataFrame:
     target, demo = features.last_visit_target(r.long()), features.subject_demo(r.adsl())
     return features.key_union_check([target, demo], _merged(r), "USUBJID")
@@ -433,7 +434,7 @@ def phase_status(r: Roles) -> DataFrame:
 # model inputs
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS n_missing, round(100.0::DOUBLE * count(*) FILTER (WHERE o_orderkey % 97 = 0) / count(*), 6) AS missing_pct FROM orders")
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS n_missing, round(100.0::DOUBLE * count(*) FILTER (WHERE o_orderkey % 97 = 0) / count(*), 2) AS missing_pct FROM orders")
 def target_rows(r: Roles) -> DataFrame:
     return model.target_rows(r.table("orders").withColumn("y", F.when(F.col("o_orderkey") % 97 != 0, F.col("o_totalprice"))), "y")[1]
 
@@ -482,7 +483,13 @@ def decile_bins(r: Roles) -> DataFrame:
     return model.decile_bins(r.table("orders"), "o_totalprice").select("o_orderkey", "bin")
 
 
-@query(None)
+DECILES = ORACLE["decile_bins"].split("SELECT o_orderkey")[0]
+
+
+@query(
+    f"""{DECILES} SELECT o_orderkey, bin, CASE WHEN row_number() OVER (PARTITION BY bin ORDER BY substr(md5('42:' || o_orderkey), 1, 13), o_orderkey) <= round(count(*) OVER (PARTITION BY bin) * 0.2) THEN 'test' ELSE 'train' END AS part
+    FROM (SELECT o_orderkey, CAST((SELECT count(*) FROM i WHERE edge < o_totalprice) AS INTEGER) AS bin FROM orders) b"""
+)
 def stratified_split(r: Roles) -> DataFrame:
     return model.stratified_split(model.decile_bins(r.table("orders"), "o_totalprice"), "bin", "o_orderkey").select("o_orderkey", "bin", "part")
 
@@ -501,25 +508,27 @@ def regression_metrics(r: Roles) -> DataFrame:
 
 # models: rows only; tree libraries differ in their bins, so no SQL or golden value fits
 
-SMALL = {"gbt": lambda y: model.gbt_regressor(y, trees=3, maxDepth=2, maxBins=16), "rf": lambda y: model.rf_regressor(y, trees=5, maxDepth=3, maxBins=16)}
-USED = ["AGE", "SEX", "RACE", "LAB_click_MEAN", "LAB_click_count"]
+#: Trees of each registered model; all other settings are the operators' own.
+TREES = 10
+MODELS = {"gbt": lambda y: model.gbt_regressor(y, trees=TREES), "rf": lambda y: model.rf_regressor(y, trees=TREES)}
 
 
 def _training(r: Roles):
+    """Training and test part, ends of the target's scale, and the feature sets."""
     # fits and folds read the mart many times: it is made once
-    mart = cut(_merged(r).select("USUBJID", "LOS_LAST", *USED))
+    mart = cut(_merged(r))
+    sets = model.feature_sets(mart, "LOS_LAST")
     capped = model.quantile_cap(mart, "LOS_LAST")
     scaled, lo, hi = model.minmax(model.target_rows(capped, "LOS_LAST")[0], "LOS_LAST", "y")
-    split = model.stratified_split(model.decile_bins(scaled, "LOS_LAST"), "bin").coalesce(4)
-    split = cut(split)
-    return split.where("part = 'train'"), split.where("part = 'test'"), lo, hi
+    split = cut(model.stratified_split(model.decile_bins(scaled, "LOS_LAST"), "bin"))
+    return split.where("part = 'train'"), split.where("part = 'test'"), lo, hi, sets
 
 
 @query(None)
 def preprocess(r: Roles) -> DataFrame:
-    train = _training(r)[0]
-    stages, medians = model.make_preprocess(train, USED)
-    filled = model.fill_inputs(train, medians, ["SEX", "RACE"])
+    train, *_, sets = _training(r)
+    stages, medians = model.make_preprocess(train, sets["A"])
+    filled = model.fill_inputs(train, medians, [c for c in sets["A"] if c not in medians])
     from pyspark.ml.functions import vector_to_array
 
     return stages.fit(filled).transform(filled).select("USUBJID", vector_to_array("features").alias("features"))
@@ -527,13 +536,16 @@ def preprocess(r: Roles) -> DataFrame:
 
 @query(None)
 def cv_compare(r: Roles) -> DataFrame:
-    train = _training(r)[0]
-    return model.cv_compare(train, "y", {k: f("y") for k, f in SMALL.items()}, {"A": USED, "B": USED[:-1]}, folds=2)
+    train, *_, sets = _training(r)
+    return model.cv_compare(train, "y", {k: f("y") for k, f in MODELS.items()}, sets)
 
 
 def _holdout(r: Roles):
-    train, test, lo, hi = _training(r)
-    fitted = model.fit_pipeline(train, USED, SMALL["rf"]("y"))
+    """The model and feature set that cross-validation picks, fitted on the training part."""
+    train, test, lo, hi, sets = _training(r)
+    best = model.best_of(model.cv_compare(train, "y", {k: f("y") for k, f in MODELS.items()}, sets)).first()
+    features_ = [c for c in sets[best["feature_set"]] if c not in model.drop_unobserved(train, sets[best["feature_set"]])]
+    fitted = model.fit_pipeline(train, features_, MODELS[best["model"]]("y"))
     scored = model.predict(*fitted, test)
     return fitted, test, model.holdout_predictions(scored, "LOS_LAST", lo, hi), scored
 
@@ -587,26 +599,24 @@ def _layer(r: Roles) -> dict[str, DataFrame]:
     return deid.deid_layer(r.spark, ["^lamina_(dm|sv)$"], SALT)
 
 
-@query(None)
+@query(sql(" UNION ALL ".join(f"SELECT count(*) AS n_rows, count(DISTINCT sha256('pepper::' || USUBJID)) AS n_subjects, 'lamina_{t}' AS table_name FROM {t}" for t in ("dm", "sv")), "dm", "sv"))
 def deid_layer(r: Roles) -> DataFrame:
     return quality.union_all([df.agg(F.count("*").alias("n_rows"), F.countDistinct("SUBJ_HASH").alias("n_subjects")).withColumn("table_name", F.lit(n)) for n, df in sorted(_layer(r).items())])
 
 
-@query(None)
+@query(sql("SELECT STUDYID, DOMAIN, SEX, RACE, ETHNIC, sha256('pepper::' || USUBJID) AS SUBJ_HASH, 'lamina_dm' AS table_name FROM dm", "dm"))
 def access_copy(r: Roles) -> DataFrame:
     path = scratch_path(r.spark, "access")
     names = deid.access_copy(_layer(r), ["dm$"], path)
-    return quality.union_all([r.spark.read.parquet(f"{path}/{n}").withColumn("table_name", F.lit(n)).drop("ETHNIC") for n in names])
+    return quality.union_all([r.spark.read.parquet(f"{path}/{n}").withColumn("table_name", F.lit(n)) for n in names])
 
 
-@query(None)
+@query(f"SELECT * FROM {blob('orders')} b")
 def file_fixity(r: Roles) -> DataFrame:
     return fixity.fixity_manifest(r.spark, f"{r.dir}/orders.parquet").select("file", "size", "sha256")
 
 
-@query(None)
+@query(f"SELECT count(*) AS checked, count(*) AS ok, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS mismatch FROM (SELECT * FROM {blob('orders')} a UNION ALL SELECT * FROM {blob('customer')} b) f")
 def fixity_verify(r: Roles) -> DataFrame:
-    manifest = fixity.fixity_manifest(r.spark, f"{r.dir}/orders.parquet").select("file", "size", "sha256")
-    return fixity.verify_summary(fixity.fixity_verify(manifest, fixity.file_fingerprint(r.spark, f"{r.dir}/orders.parquet")))
-
-
+    manifest = cut(fixity.fixity_manifest(r.spark, r.dir, "{orders,customer}.parquet").select("file", "size", "sha256"))
+    return fixity.verify_summary(fixity.fixity_verify(manifest, fixity.fixity_manifest(r.spark, r.dir, "{orders,customer}.parquet")))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import domains, quarantine, visits
 from ..sources.tables import read_table
 
-DM_STUDY = domains.STUDY
+#: Event types of the test tables that stand for vital signs.
+VITALS = ("click", "view")
 
 
 class Roles:
@@ -102,10 +103,10 @@ class Roles:
         return self.finding().withColumn("value", F.round("number", 2).cast("decimal(12,2)").cast("string"))
 
     def lb(self) -> DataFrame:
-        return domains.map_lb(self.numbered_finding())
+        return domains.map_lb(self.numbered_finding(), VITALS)
 
     def vs(self) -> DataFrame:
-        return domains.map_vs(self.numbered_finding())
+        return domains.map_vs(self.numbered_finding(), VITALS)
 
 
 #: Named parts of WITH clauses: the parts each needs, and its SELECT.

@@ -47,3 +47,24 @@ def test_strict_gate_stops_on_a_broken_contract(spark, folder):
     with pytest.raises(GateError):
         run_chain(spark, str(folder), "r1")
     assert "cur_patients" in run_chain(spark, str(folder), "r1", strict=False)
+
+
+def test_chain_reaches_the_archive(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    # enough subjects for a model: patients with two visits each
+    many = range(10, 110)
+    (folder / "patients.csv").write_text(FILES["patients"] + "".join(f"p{k},1980-01-01,,{'MF'[k % 2]},r{k % 3},x,C,S,1,10,1,1\n" for k in many))
+    visits = "".join(f"a{k},2020-01-0{1 + k % 5}T00:00:00Z,2020-01-0{2 + k % 5}T0{k % 9}:00:00Z,p{k},o,r,y,wellness,1,d,5,5,1\nb{k},2020-03-01T00:00:00Z,2020-03-01T0{1 + k % 7}:{k % 60:02}:00Z,p{k},o,r,y,wellness,1,d,5,5,1\n" for k in many)
+    (folder / "encounters.csv").write_text(FILES["encounters"] + visits)
+    t = run_chain(spark, str(folder), "r1", out=out, salt="s", trees=2)
+    log = {r.table_name: r for r in spark.read.parquet(f"{out}/meta_stg_load").collect()}
+    assert log["patients"].row_count == 102 and len(log["patients"].source_sha256) == 64 and log["patients"].stg_table == "stg_patients"
+    assert {r.table_name: r.n_rows for r in t["meta_layer_counts"].collect()}["cur_encounters"] == 203
+    assert t["qc_summary"].first().any_bad_ri == 0 and t["qc_analysis"].where("status = 'ERROR'").count() == 0
+    assert {r.domain for r in t["qc_coverage"].collect()} >= {"sdtm_lb", "sdtm_mh"}
+    assert t["ml_cv"].count() == 20 and t["ml_best"].count() == 1 and t["ml_predictions"].count() > 10 and t["ml_metrics"].first().mae >= 0
+    safe = t["deid_mart_merged"]
+    assert "USUBJID" not in safe.columns and safe.select("SUBJ_HASH").distinct().count() == safe.count()
+    assert {r.table_name for r in t["deid_report"].collect()} >= {"mart_merged", "mart_wide"}
+    files = [r.file for r in t["fixity"].collect()]
+    assert any(f.startswith("tables/mart_merged/part-") for f in files) and any(f.startswith("access/mart_merged/") for f in files) and len(files) == len(set(files))

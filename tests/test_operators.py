@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import columns as C
-from lamina.operators import deid, domains, features, model, profile, quality, quarantine, visits
+from lamina.operators import deid, domains, features, model, profile, quality, quarantine, ranks, visits
 from lamina.sources import fixity, tables
 from lamina.streaming.quality import flag_stream, split_stream
 
@@ -172,7 +173,7 @@ def test_coverage_drop_and_median_fill(spark):
 
 def test_profile(spark):
     df = spark.createDataFrame([("bad", 1), ("2020-01-01", 1), (None, 1), (None, 1)], "start_date string, v int")
-    assert one(profile.profile_table(df, "t")) == {"table_name": "t", "n_rows": 4, "n_cols": 2, "duplicate_rows": 1, "n_date_cols": 1, "max_parse_fail_rate": 0.5}
+    assert one(profile.profile_table(df, "t")) == {"table_name": "t", "n_rows": 4, "n_cols": 2, "duplicate_rows": 1, "n_date_cols": 1, "max_parse_fail_rate": 0.5, "top_missing_cols": "start_date:50.00%; v:0.00%"}
     assert {r.bin: r.n for r in profile.histogram(df, "v").collect()} == {0: 4}
     flat = profile.iqr_spread(spark.createDataFrame([(1.0, 2.0), (1.0, 2.0)], "a double, b double"))
     assert {r.iqr_norm for r in flat.collect()} == {0.0}
@@ -202,10 +203,23 @@ def test_deidentification(spark):
     assert "ETHNICITY" in deid.drop_identifiers(df.withColumn("ETHNICITY", F.lit("x"))).columns
 
 
+@pytest.mark.parametrize(
+    "name",
+    "name email e-mail E_MAIL phone tel TEL_NO address street zip ZipCode zipcode postal city CITY_OF_BIRTH state StateCode mrn MRN_1 patid patientid patient_id PATIENTID ssn social_security passport iban account FirstName LastName firstname LASTNAME".split(),
+)
+def test_identifier_names_are_found(name):
+    assert deid.is_identifier(name)
+
+
+@pytest.mark.parametrize("name", "ETHNICITY STATUS capacity velocity hotel telemetry STUDYID USUBJID SEX RACE AGE LOS_LAST LAB_8302_2_MEAN N_VISITS_PREV statement accepted".split())
+def test_other_names_stay(name):
+    assert not deid.is_identifier(name)
+
+
 def test_upsert_and_contract(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(tuple(r) for r in tables.upsert(old, new, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    assert [r.status for r in tables.contract_check(spark, ["a"], ["a", "b"]).collect()] == ["PASS", "FAIL"]
+    assert sorted((r.table_name, r.present, r.n_rows, r.status) for r in tables.contract_check(spark, {"a": old}, ["a", "b"]).collect()) == [("a", 1, 2, "PASS"), ("b", 0, None, "FAIL")]
     log = tables.load_tables(spark, {"gone": "/nowhere/gone.parquet"}, ["gone", "none"]).collect()
     assert [r.status for r in log] == ["ERROR", "SKIP"]
 
@@ -220,6 +234,79 @@ def test_fixity_finds_a_changed_byte(spark, tmp_path):
     assert status == {"a.bin": "mismatch", "b.bin": "missing"}
 
 
+def test_fixity_tells_files_of_one_name_apart(spark, tmp_path):
+    for part in "ab":
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "part-0").write_text(part)
+    kept = fixity.fixity_manifest(spark, str(tmp_path)).select("file", "size", "sha256")
+    manifest = spark.createDataFrame(kept.collect())
+    assert one(fixity.verify_summary(fixity.fixity_verify(manifest, fixity.fixity_manifest(spark, str(tmp_path))))) == {"checked": 2, "ok": 2, "missing": 0, "mismatch": 0}
+    (tmp_path / "b" / "part-0").unlink()
+    status = {r.file: r.status for r in fixity.fixity_verify(manifest, fixity.fixity_manifest(spark, str(tmp_path))).collect()}
+    assert status == {"a/part-0": "ok", "b/part-0": "missing"}
+    assert fixity.source_digest(spark, str(tmp_path / "a" / "part-0")) == hashlib.sha256(b"a").hexdigest()
+
+
+def test_load_log_is_appended(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("k,v\n1,a\n2,b\n")
+    for run in ("r1", "r2"):
+        tables.load_tables(spark, {"x": str(tmp_path / "x.csv")}, ["x", "y"], run, str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert sorted((r.run_id, r.table_name, r.stg_table, r.row_count, r.status) for r in log) == [(run, t, f"stg_{t}", n, s) for run in ("r1", "r2") for t, n, s in (("x", 2, "OK"), ("y", None, "SKIP"))]
+    assert {r.source_sha256 for r in log if r.table_name == "x"} == {hashlib.sha256((tmp_path / "x.csv").read_bytes()).hexdigest()}
+    assert all(r.ingested_at for r in log)
+
+
+def test_a_check_that_fails_at_run_time_is_an_error_row(spark):
+    df = spark.createDataFrame([("x",)], "v string").select(F.col("v").cast("int").alias("k"))
+    results = quality.DQResults(spark, "run")
+    results.add(quality.check_constant, df, "t", "k", 1, table="t")
+    assert [(r.status, r.check_name) for r in results.frame().collect()] == [("ERROR", "check_constant")]
+
+
+def test_row_checks_of_a_table_are_one_aggregate(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (3, None)], "k int, v string")
+    got = quality.check_rows(df, "t", {"k_null": (F.col("k").isNull(), quality.HARD), "v_b": (F.col("v") == "b", quality.SOFT), "none": (F.col("k") > 9, quality.SOFT)})
+    assert sorted((r.check_name, r.n_bad, r.severity, r.status) for r in got.collect()) == [("k_null", 1, "HARD", "FAIL"), ("none", 0, "SOFT", "PASS"), ("v_b", 1, "SOFT", "FAIL")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_exact_quantiles_and_ranks(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    rows = [(k, float(v), None if k % 3 else float(k), None) for k, v in enumerate(draw.integers(0, 40, 500))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, none double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = ranks.exact_quantiles(df, ["a", "b", "none"], probs)
+    assert np.allclose(got["a"], np.quantile([r[1] for r in rows], probs)) and np.allclose(got["b"], np.quantile([r[2] for r in rows if r[2] is not None], probs)) and got["none"] is None
+    placed = ranks.ranked(df.withColumn("g", F.col("id") % 2).withColumn("lot", F.col("a") / 40), "g", F.col("lot"), [F.col("lot"), F.col("id")], "rank", bucket_rows=3)
+    for g in (0, 1):
+        part = sorted(placed.where(F.col("g") == g).collect(), key=lambda r: (r.lot, r.id))
+        assert [r["rank"] for r in part] == list(range(1, len(part) + 1)) and {r["_n"] for r in part} == {len(part)}
+
+
+def test_rows_with_null_keys_are_spread_in_referential_joins(spark):
+    child = spark.range(400).selectExpr("cast(if(id % 4 = 0, id % 5, null) as int) as p", "id")
+    parents = spark.createDataFrame([(0,), (1,)], "p int")
+    clean, rejects = quarantine.ri_split(child, [(parents, "p", "p", "no parent")])
+    assert clean.count() == 40 and rejects.count() == 360
+
+
+def test_long_history_takes_any_number_of_categories(spark):
+    rows = [(f"S{k}", 1, f"cat{k}", 1.0 + k) for k in range(1200)] + [(f"S{k}", 2, "last", 1.0) for k in range(1200)]
+    long = spark.createDataFrame(rows, "USUBJID string, SEQ long, VISIT string, LOS double")
+    got = features.history_long(long)
+    assert got.count() == 1200 and got.where("VISIT = 'cat7'").first().LOS_MEAN_PREV == 8.0
+    with pytest.raises(ValueError, match="long form"):
+        features.history_by_category(long)
+
+
+def test_null_safe_keys(spark):
+    a, b = spark.createDataFrame([(1, None), (None, 2)], "x int, y int"), spark.createDataFrame([(1, None), (None, 3)], "x int, y int")
+    assert a.join(b, C.null_safe_on(a, b, ["x", "y"])).count() == 1
+
+
 def test_stream_splits_like_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     df = spark.createDataFrame([(1, 2), (None, 3)], "patient_id int, x int")
