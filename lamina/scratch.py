@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches hold at most so many rows and about so many bytes, whole texts included.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
 _runs: dict[str, tuple[str, object]] = {}
 _local: list[str] = []
 
