@@ -34,7 +34,7 @@ LATIN = "\\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 LATIN_PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Words whose ids a worker keeps, at most, and the longest one that it keeps.
-KEPT_WORDS, LONGEST = 400_000, 40
+KEPT_WORDS, LONGEST = 250_000, 40
 
 
 class Known(dict):
