@@ -59,4 +59,9 @@ placed AS (SELECT *, row_number() OVER (ORDER BY (rank - u) / n, source NULLS LA
 cut AS (SELECT *, pos * {SHARDS} // total AS shard FROM placed)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM cut"""
 
-ORACLE: dict[str, str] = {"op6_secret_scan": SECRETS, "op7_stratified_sharding": SHARDING}
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+TOP_K = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE {FINITE}),
+scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 20"""
+
+ORACLE: dict[str, str] = {"op6_secret_scan": SECRETS, "op7_stratified_sharding": SHARDING, "op13_exact_topk": TOP_K}
