@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, mixing, packing, pagediff, rulefit, search, secret_scan, sharding, simhash, telephony, toxicity
+from . import decision_list, mixing, packing, pagediff, rulefit, search, secret_scan, sharding, simhash, telephony, toxicity, whitening
 from .sql import ORACLE
 from .text_stats import remainder
 
@@ -86,6 +86,10 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
