@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, mixing, packing, pagediff, rulefit, search, secret_scan, sharding, simhash, telephony, toxicity, whitening
+from . import decision_list, merkle, mixing, packing, pagediff, rulefit, search, secret_scan, sharding, simhash, telephony, toxicity, whitening
 from .sql import ORACLE
 from .text_stats import remainder
 
@@ -90,6 +90,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = remainder(F.col("doc_id"), 3) == 0
+    made = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 

@@ -64,4 +64,47 @@ TOP_K = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, li
 scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 20"""
 
-ORACLE: dict[str, str] = {"op6_secret_scan": SECRETS, "op7_stratified_sharding": SHARDING, "op13_exact_topk": TOP_K}
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text; ``crc`` of CRC_TABLE has to be in scope."""
+    return f"xor(list_reduce([4294967295] || list_transform(range(1, length(hex(encode({text}))), 2), lambda i: CAST('0x' || hex(encode({text}))[i:i + 1] AS BIGINT)), lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({name} AS VARCHAR))) || ':' || {name}, '-')"
+
+
+def _tree(name: str, leaves: str, key: str, levels: int) -> str:
+    """CTEs of the levels of trees over ``leaves`` (key, idx, digest), and of each leaf's siblings on the way up."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT {key} AS k, idx, digest, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves})"]
+    for i in range(levels):
+        made = "CASE WHEN max(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY idx)) ELSE max(digest) END"
+        steps.append(f"{name}{i + 1} AS MATERIALIZED (SELECT k, idx // 8 AS idx, {made} AS digest, count(*) OVER (PARTITION BY k) AS n FROM {name}{i} GROUP BY k, idx // 8)")
+    for i in range(levels):
+        beside = lambda sign: f"coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (WHERE s.idx {sign} o.idx), '')"
+        steps.append(f"{name}s{i} AS MATERIALIZED (SELECT o.k, o.idx, o.n, {beside('<')} AS l, {beside('>')} AS r FROM {name}{i} o JOIN {name}{i} s ON o.k IS NOT DISTINCT FROM s.k AND o.idx // 8 = s.idx // 8 GROUP BY o.k, o.idx, o.n)")
+    return ",\n".join(steps)
+
+
+#: Levels of the language trees and of the tree above them: enough for 16 million rows of a language and 512 languages.
+LEVELS, ABOVE = 8, 3
+_folds, _last = [], "way"
+for _i in range(LEVELS):
+    _folds.append(f"f{_i} AS (SELECT w.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || w.folded || s.r) ELSE w.folded END AS folded, w.proof || s.l || s.r AS proof) FROM {_last} w JOIN ts{_i} s ON w.lang IS NOT DISTINCT FROM s.k AND w.idx // {8**_i} = s.idx)")
+    _last = f"f{_i}"
+for _i in range(ABOVE):
+    _folds.append(f"g{_i} AS (SELECT w.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || w.folded || s.r) ELSE w.folded END AS folded, w.proof || s.l || s.r AS proof) FROM {_last} w JOIN us{_i} s ON w.top // {8**_i} = s.idx)")
+    _last = f"g{_i}"
+_leaf = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))
+_moved = _leaf.replace(_field("text"), _field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+MERKLE = f"""WITH rows AS MATERIALIZED (SELECT doc_id, lang, sha256({_leaf}) AS digest, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({_moved}) ELSE sha256({_leaf}) END AS now FROM documents, {CRC_TABLE}),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM rows),
+{_tree("t", "leaves", "lang", LEVELS)},
+subroots AS MATERIALIZED (SELECT k AS lang, digest, 0 AS one, row_number() OVER (ORDER BY encode(k) NULLS FIRST) - 1 AS idx FROM t{LEVELS}),
+{_tree("u", "subroots", "one", ABOVE)},
+way AS (SELECT v.doc_id, v.lang, v.idx, v.digest AS leaf, s.digest AS subroot, s.idx AS top, (SELECT digest FROM u{ABOVE}) AS root, v.now AS folded, '' AS proof FROM leaves v JOIN subroots s ON v.lang IS NOT DISTINCT FROM s.lang),
+{", ".join(_folds)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {_last}"""
+
+ORACLE: dict[str, str] = {"op6_secret_scan": SECRETS, "op7_stratified_sharding": SHARDING, "op12_merkle_manifest": MERKLE, "op13_exact_topk": TOP_K}
