@@ -44,22 +44,28 @@ def load_tables(spark: SparkSession, sources: Mapping[str, str], tables: Sequenc
     """A log row per wanted table: OK with its row count, SKIP without a source, ERROR if it can't be read.
 
     CSV sources have a header; others are Parquet. Rows carry the source's SHA-256, the name of the staged
-    table and the time; with ``log_path`` they are appended to the log there.
+    table and the time; with ``log_path`` they are appended to the log there. A source that can be read but not
+    digested is OK with a null digest and a message.
     """
     rows, at = [], datetime.now(UTC)
     for name in tables:
-        path, file, digest = sources.get(name), None, None
+        path = sources.get(name)
         if path is None:
             rows.append((run_id, name, f"stg_{name}", None, None, at, None, "SKIP", "source missing"))
             continue
+        file, digest, count, status, message = path.rstrip("/").rsplit("/", 1)[-1], None, None, "OK", None
         try:
-            file = path.rstrip("/").rsplit("/", 1)[-1]
-            digest = source_digest(spark, path)
             scan = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.parquet(path)
             # a lost file shows when rows are counted, so the count is part of the try
-            rows.append((run_id, name, f"stg_{name}", file, digest, at, scan.count(), "OK", None))
+            count = scan.count()
         except Exception as e:  # noqa: BLE001  the log row carries the failure
-            rows.append((run_id, name, f"stg_{name}", file, digest, at, None, "ERROR", type(e).__name__))
+            status, message = "ERROR", type(e).__name__
+        else:
+            try:
+                digest = source_digest(spark, path)
+            except Exception as e:  # noqa: BLE001  as above
+                message = f"no digest: {type(e).__name__}"
+        rows.append((run_id, name, f"stg_{name}", file, digest, at, count, status, message))
     out = spark.createDataFrame(rows, LOG)
     if log_path:
         out.write.mode("append").parquet(log_path)
