@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_effectively_missing, iso_text, pct
 from ..sources.tables import contract_check
 from .quarantine import dup_groups
+from .references import reference_counts
 
 RESULT = "layer string, check_name string, table_name string, severity string, n_bad bigint, status string, message string"
 RESULT_COLUMNS = [part.split()[0] for part in RESULT.split(", ")]
@@ -65,11 +66,10 @@ def check_pk(df: DataFrame, table: str, cols: Sequence[str], layer: str = "stagi
 def ri_rate(child: DataFrame, parent: DataFrame, fk: str, pk: str, only_nonnull: bool = False) -> DataFrame:
     """(child_total, fk_missing, fk_not_found, n_bad, ok_rate); rate 1.0 with nothing to check.
 
-    One left join to the distinct parent keys, then one aggregate. ``only_nonnull`` leaves NULL keys out of n_bad and of the rate.
+    Rows are counted by key, then keys joined to the distinct parent keys. ``only_nonnull`` leaves NULL keys out of n_bad and of the rate.
     """
-    keys = parent.where(F.col(pk).isNotNull()).select(F.col(pk).alias("_pk")).distinct()
-    joined = child.select(F.col(fk).alias("_fk")).join(keys, F.col("_fk") == F.col("_pk"), "left")
-    counts = joined.agg(F.count("*").alias("child_total"), F.count_if(F.col("_fk").isNull()).alias("fk_missing"), F.count_if(F.col("_fk").isNotNull() & F.col("_pk").isNull()).alias("fk_not_found"))
+    found = reference_counts(child, parent, fk, pk)
+    counts = found.select(F.col("n").alias("child_total"), F.col("n_missing").alias("fk_missing"), F.col("n_not_found").alias("fk_not_found"))
     bad = F.col("fk_not_found") + (F.lit(0) if only_nonnull else F.col("fk_missing"))
     base = F.col("child_total") - (F.col("fk_missing") if only_nonnull else F.lit(0))
     return counts.withColumn("n_bad", bad).withColumn("ok_rate", F.when(base > 0, F.round(1 - F.col("n_bad") / base, 6)).otherwise(F.lit(1.0)))
@@ -211,10 +211,7 @@ def timing(df: DataFrame, domain: str, start: str, end: str) -> DataFrame:
 
 def ri_to_master(df: DataFrame, master: DataFrame, domain: str, key: str = "USUBJID") -> DataFrame:
     """Blank ids and ids not in the master table; ok share of all rows."""
-    keys = master.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
-    blank = F.col("_id").isNull() | (F.trim("_id") == "")
-    joined = df.select(F.col(key).alias("_id")).join(keys, F.col("_id") == F.col("_key"), "left")
-    counts = joined.agg(F.count("*").alias("n"), F.count_if(blank).alias("n_blank"), F.count_if(~blank & F.col("_key").isNull()).alias("n_not_found"))
+    counts = reference_counts(df, master, key, key, F.trim("_fk") == "").withColumnRenamed("n_missing", "n_blank")
     ok = F.col("n") - F.col("n_blank") - F.col("n_not_found")
     return counts.select(F.lit(domain).alias("domain"), "n", "n_blank", "n_not_found", pct(ok, F.col("n"), 100.0).alias("ok_pct"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_diff, drop_cols, first_reason, project, resolve_col
+from .references import orphans  # noqa: F401  the third of the splits, found with references
 
 REASON = "reject_reason"
 #: Parts that rows with a NULL key are spread over in a join.
@@ -104,13 +105,6 @@ def curate_procedure(df: DataFrame, date_candidates: Sequence[str] = ("start", "
     return quarantine(named, rules)
 
 
-def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str, only_nonnull: bool = False) -> DataFrame:
-    """Child rows without a parent. A NULL key is an orphan unless ``only_nonnull``."""
-    keys = parent.select(F.col(pk).alias(fk)).distinct()
-    rows = child.where(F.col(fk).isNotNull()) if only_nonnull else child
-    return rows.join(keys, fk, "left_anti").select(*child.columns)
-
-
 def ri_flag(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str, str]]) -> DataFrame:
     """Add the reason of the first parent ``(parent, fk, pk, reason)`` that a row lacks; parents are joined on distinct keys.
 

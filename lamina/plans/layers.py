@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import domains, quarantine, visits
+from ..operators import domains, quarantine, references, visits
 from ..scratch import fresh_path
 from ..sources import tables as S
 from .roles import Roles, sql
@@ -209,6 +209,28 @@ def ri_orphans(r: Roles) -> DataFrame:
     return quarantine.orphans(r.raw_visit(), r.subject_ok(), "patient_id", "patient_id").select(*r.raw_visit().columns)
 
 
+@query(sql("SELECT e.* FROM r_event e WHERE NOT EXISTS (SELECT 1 FROM c_visit v WHERE v.encounter_id = e.encounter_id)", "r_event", "c_visit"))
+def ri_orphans_filtered(r: Roles) -> DataFrame:
+    """As :func:`ri_orphans`, by the way that parents beyond a broadcast of their keys take."""
+    return references.orphans(r.raw_event(), r.clean_visit(), "encounter_id", "encounter_id", broadcast_keys=0)
+
+
+@query(
+    sql(
+        """SELECT a.code, a.description, a.n, b.m FROM (SELECT code, description, count(*) AS n FROM r_event GROUP BY ALL) a
+        LEFT JOIN (SELECT code, description, count(*) AS m FROM r_event WHERE l_linenumber = 1 GROUP BY ALL) b ON a.code IS NOT DISTINCT FROM b.code AND a.description IS NOT DISTINCT FROM b.description""",
+        "r_event",
+    )
+)
+def null_safe_counts(r: Roles) -> DataFrame:
+    """Rows of each code and description and of those on a first line: NULL is a value of its own in both keys."""
+    keys = ["code", "description"]
+    events = r.raw_event()
+    n = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    m = events.where("l_linenumber = 1").groupBy(*keys).agg(F.count("*").alias("m")).toDF(*keys, "m")
+    return n.join(m, C.null_safe_on(n, m, keys), "left").select(n["code"], n["description"], "n", "m")
+
+
 RI_EVENT = """SELECT e.*, CASE WHEN s.k IS NULL THEN 'orphan_patient' WHEN v.k IS NULL THEN 'orphan_encounter' END AS reject_reason FROM r_event e
     LEFT JOIN (SELECT DISTINCT patient_id AS k FROM v_subject_ok) s ON e.patient_id = s.k LEFT JOIN (SELECT DISTINCT encounter_id AS k FROM c_visit) v ON e.encounter_id = v.k"""
 
