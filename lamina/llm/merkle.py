@@ -138,23 +138,27 @@ def log(rounds: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def paths(rounds: list[DataFrame], keys: list[str], carried: list[str]) -> DataFrame:
-    """(keys, digest, carried, path) of every leaf: runs read their own log and take the way above from their top."""
+def with_ways(rounds: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The runs of the first round with ``rest``, the siblings from their tops up to the root of their key."""
     upper = None
     for k, built in reversed(list(enumerate(rounds))):
         found = built.withColumn("rest", F.array().cast(PATH))
         if upper is not None:
             on = reduce(lambda a, b: a & b, [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], F.col("run") == F.col("_idx")])
-            found = built.join(upper, on, "left").withColumn("rest", F.coalesce("upper", F.array().cast(PATH)))
-        whole = F.concat(_path(F.col("at")), F.col("rest"))
+            found = built.join(upper, on, "left").withColumn("rest", F.coalesce("upper", F.array().cast(PATH))).select(*built.columns, "rest")
         if k == 0:
-            each = found.select(*keys, "log", "count", "height", "rest", F.posexplode("members").alias("at", "m"))
-            return each.select(*keys, "m.digest", *[f"m.{c}" for c in carried], whole.alias("path"))
-        each = found.select(*keys, "run", "log", "count", "height", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("at"))
-        upper = each.select(*[F.col(c).alias(f"_{c}") for c in keys], (F.col("run") * RUN + F.col("at")).alias("_idx"), whole.alias("upper"))
+            return found
+        each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("count") - 1), lambda at: F.struct((F.col("run") * RUN + at).alias("idx"), F.concat(_path(at), F.col("rest")).alias("path")))
+        upper = found.select(*[F.col(c).alias(f"_{c}") for c in keys], F.explode(each).alias("n")).select(*[f"_{c}" for c in keys], F.col("n.idx").alias("_idx"), F.col("n.path").alias("upper"))
     raise ValueError("no rounds")
 
 
+def proven(runs: DataFrame, keys: list[str], of) -> DataFrame:
+    """(keys and what ``of`` makes of a leaf and its path): worked out run by run, so that no row carries a run's log along."""
+    each = F.transform("members", lambda m, at: of(m, F.concat(_path(at.cast("long")), F.col("rest"))))
+    return runs.select(*keys, F.explode(each).alias("n")).select(*keys, "n.*")
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows with ``idx``, their place within ``keys`` by ``order`` (nulls first), and ``leaves``, the rows of the key.
 
@@ -198,10 +202,13 @@ def manifest(docs: DataFrame, tampered: Column | None = None, change=lambda text
     trees = build(placed, ["lang"], ["doc_id", "now"])
     subroots = cut(roots(trees, ["lang"]))
     tops = build(numbered(subroots.select("lang", F.col("root").alias("digest"), F.lit(0).alias("all")), ["all"], ["lang"]), ["all"], ["lang"])
-    way = paths(tops, ["all"], ["lang"]).join(roots(tops, ["all"]), "all")
-    top = sized(cut(way.select(F.col("lang").alias("_lang"), F.col("digest").alias("subroot"), F.col("path").alias("above"), "root")))
-    each = paths(trees, ["lang"], ["doc_id", "now"])
-    whole = each.join(top, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("path", F.concat("path", "above"))
-    proof = digest(F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), ""))
-    made = whole.select("doc_id", "lang", F.col("digest").alias("leaf"), "subroot", "root", proof.alias("proof_sha256"), fold(F.col("now"), F.col("path")).alias("folded_root"))
+    way = proven(with_ways(tops, ["all"]), ["all"], lambda m, path: F.struct(m["lang"].alias("_lang"), m["digest"].alias("subroot"), path.alias("above")))
+    top = sized(cut(way.join(roots(tops, ["all"]), "all").drop("all")))
+    whole = with_ways(trees, ["lang"]).join(top, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("rest", F.concat("rest", "above"))
+
+    def of(m: Column, path: Column) -> Column:
+        proof = digest(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""))
+        return F.struct(m["doc_id"].alias("doc_id"), m["digest"].alias("leaf"), proof.alias("proof_sha256"), fold(m["now"], path).alias("folded_root"))
+
+    made = proven(whole, ["lang", "subroot", "root"], of).select("doc_id", "lang", "leaf", "subroot", "root", "proof_sha256", "folded_root")
     return made.withColumn("verified", F.col("folded_root") == F.col("root"))
