@@ -8,6 +8,7 @@ results and the category and code lists that name mart columns are collected.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import resolve_col, safe_cast
 from ..operators import deid, domains, features, model, quality, quarantine, visits
 from ..scratch import cut
-from ..sources import fixity
+from ..sources import fixity, registry
 from ..sources import tables as S
 
 #: The source contract, and the source columns and types of each role table.
@@ -251,6 +252,8 @@ def run_chain(spark: SparkSession, folder: str, run_id: str, strict: bool = True
 
     log = S.load_tables(spark, {n: f"{folder}/{n}.csv" for n in CORE_TABLES}, CORE_TABLES, run_id, f"{out}/meta_stg_load" if out else None)
     staged = stage(read_sources(spark, folder), run_id)
+    if out:
+        registry.record_run(spark, f"{out}/meta_run", run_id, datetime.now(UTC).isoformat(), folder)
     kept = keep({f"stg_{n}": df for n, df in staged.items()})
     staged = {n.removeprefix("stg_"): df for n, df in kept.items()}
     checks = check_staged(spark, staged, run_id)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import domains, quarantine, references, visits
 from ..scratch import fresh_path
+from ..sources import registry
 from ..sources import tables as S
 from .roles import Roles, sql
 
@@ -73,9 +74,12 @@ def load_log(r: Roles) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def run_upsert(r: Roles) -> DataFrame:
+    """The table is stored, one tenth of its rows updated there, and what is stored then read."""
     target = r.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    updates = target.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("U"))
-    return S.upsert(target, updates, ["o_orderkey"])
+    path = scratch_path(r.spark, "registry")
+    registry.create(target, path, ["o_orderkey"], 16)
+    registry.merge(target.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("U")), path)
+    return registry.read(r.spark, path)
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("customer", "orders", "lineitem", "events")))
