@@ -43,6 +43,17 @@ def _sum_before(df: DataFrame, by: list[str], bucket: Column, order: list[Column
     return summed.select(*df.columns, (F.col("_begin") + F.col("_within")).cast("long").alias(out))
 
 
+def keyed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, text_crc32, copies, draw): equal rows counted, with their number in [0, 1) of the seeded shuffle.
+
+    Size and digest draw as well as the id, so rows without an id, or with the same one, are as far apart as others.
+    """
+    plain = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (F.octet_length(plain) + 8).cast("long").alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32"))
+    drawn = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size"), F.col("text_crc32"))
+    return rows.groupBy(*KEY).agg(F.count("*").alias("copies")).withColumn("draw", _number(drawn))
+
+
 def stratified_shards(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET) -> DataFrame:
     """``(doc_id, source, size, text_crc32, shard, slot)`` for every row of ``df``.
 
@@ -53,11 +64,7 @@ def stratified_shards(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     their own. Ties of the shuffle are ordered by id (null last), size and CRC; rows equal in
     those are counted, ranked as one row with a weight, and spread out again. No rows give no rows.
     """
-    plain = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (F.octet_length(plain) + 8).cast("long").alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32"))
-    # the seeded shuffle
-    draw = _number(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keys = cut(rows.groupBy(*KEY).agg(F.count("*").alias("copies")).withColumn("draw", draw))
+    keys = cut(keyed(df, text, doc_id, source, seed))
     total = keys.agg(F.sum("copies")).first()[0] or 0
     buckets = max(64, total // bucket_rows)
 

@@ -51,9 +51,10 @@ FROM docs d LEFT JOIN spelled p ON d.r = p.r GROUP BY d.r, d.doc_id"""
 CRC_TABLE = "(SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
 
 SHARDING = f"""WITH sized AS MATERIALIZED (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS bytes,
-substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS draw, CAST('0x' || substr(md5('{SEED}/' || coalesce('s:' || source, 'n')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
-summed AS MATERIALIZED (SELECT doc_id, source, CAST(size AS BIGINT) AS size, draw, u,
+CAST('0x' || substr(md5('{SEED}/' || coalesce('s:' || source, 'n')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+digested AS MATERIALIZED (SELECT doc_id, source, CAST(size AS BIGINT) AS size, u,
 xor(list_reduce([4294967295] || list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || bytes[i:i + 1] AS BIGINT)), lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32 FROM sized, {CRC_TABLE}),
+summed AS MATERIALIZED (SELECT *, substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size || ':' || text_crc32), 1, 13) AS draw FROM digested),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id NULLS LAST, size, text_crc32) AS rank, count(*) OVER (PARTITION BY source) AS n FROM summed),
 placed AS (SELECT *, row_number() OVER (ORDER BY (rank - u) / n, source NULLS LAST, draw, doc_id NULLS LAST, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM ranked),
 cut AS (SELECT *, pos * {SHARDS} // total AS shard FROM placed)

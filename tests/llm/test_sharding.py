@@ -19,7 +19,7 @@ def brute(rows, shards=24, seed=17):
     keyed = []
     for r in rows:
         raw = (r.text or "").encode()
-        draw = hashlib.md5(f"{seed}:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13]
+        draw = hashlib.md5(f"{seed}:{'null' if r.doc_id is None else r.doc_id}:{len(raw) + 8}:{zlib.crc32(raw)}".encode()).hexdigest()[:13]
         keyed.append((r.source, draw, r.doc_id, len(raw) + 8, zlib.crc32(raw)))
     last = lambda x: (x is None, x if x is not None else 0)
     name = lambda x: (x is None, x or "")
@@ -81,3 +81,13 @@ def test_many_rows_without_an_id_and_with_equal_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     check(df, bucket_rows=16)
     check(df)
+
+
+def test_different_texts_without_an_id_or_with_one_are_spread(spark):
+    for doc_id in (None, 7):
+        df = spark.range(50_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+        keys = sharding.keyed(df)
+        bucket = F.floor(F.col("draw") * 64)
+        assert keys.select("draw").distinct().count() > 49_900
+        assert keys.groupBy(bucket).count().agg(F.max("count")).first()[0] < 2 * 50_000 / 64
+    check(df.limit(3_000), bucket_rows=100)
