@@ -4,10 +4,11 @@ Words become symbols by a lexicon, which gives insults their weight. Five
 weighted transducers mark insults, threats, negation, reported speech and
 targets; they are composed into one machine, whose arcs carry the sums of
 theirs, and which reads each clause that holds an insult or a verb of harm. A
-verb of harm alone is no threat: it takes an intention or a target. Sums of the
-weights of marked outputs, not single words, are what a logistic
-curve scores. Insult words and stems are learned from labelled documents;
-the other word lists are fixed.
+verb of harm alone is no threat: it takes a target. A document's score is a curve over the weight of
+its clauses' paths, nothing else: an insult weighs what the lexicon says, more if it is aimed, a part of it if negated
+or reported, and a threat weighs more than an aimed insult. Insult words and stems, these weights
+and the curve are learned from labelled documents, the weights within bounds that keep their order and near the
+grammar's own where the documents say nothing; the other word lists are fixed.
 """
 
 from __future__ import annotations
@@ -40,12 +41,20 @@ SEEDS = {
     "N": "not no never nor isn't aren't don't wasn't nicht kein keine nie pas jamais aucun nunca jamás tampoco",
     "R": "said says called calls quoted quotes wrote claimed reported alleged sagte sagt nannte schrieb behauptete dit disait écrit appelé dijo dice llamó escribió",
 }
-SYMBOLS = (*SEEDS, "O")
+#: ``S`` is a word with a learned stem: suspicious, but not a word that is aimed at anyone.
+SYMBOLS = (*SEEDS, "S", "O")
 CLAUSE = re.compile(r"[^.!?;:\n\r,()\[\]\"“”«»]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Words over which a negation, a verb of harm or an insult waits for what it belongs to.
 REACH = 3
-FEATURES = ("plain", "directed", "negated", "reported", "threat", "clause")
+FEATURES = ("insult", "aimed", "negated", "reported", "threat")
+#: The most that one word weighs, and what a seed weighs: alone it stays below the least LEVEL.
+HEAVIEST = 3.0
+#: What a stem weighs at most, as a share of that: it stands for words that no one has seen.
+STEM = 2 / 3
+#: For each feature but insults, whose factor is 1, and for level and slope of the curve: least, own and greatest value. The weight of
+#: one aimed seed, and of a threat with intention and target, passes the greatest level; that of one plain or reported seed doesn't pass the least.
+BOUNDS = {"aimed": (3.0, 3.5, 6.0), "negated": (0.0, 0.2, 0.3), "reported": (0.1, 0.35, 0.4), "threat": (2.0, 2.5, 4.0), "level": (3.05, 5.0, 5.95), "slope": (1.0, 4.0, 12.0)}
 
 
 @dataclass(frozen=True)
@@ -97,19 +106,19 @@ def threats() -> Transducer:
         moves[state, "F"], moves[state, "W"] = (meant[REACH], "F", 0.0), (meant[REACH], "W", 0.0)
     for state in meant:
         idle[state] = meant[state[1] - 1] if state[1] else 0
-        moves[state, "H"] = (("sure", REACH), "H!", 1.0)
+        moves[state, "H"] = (("sure", REACH), "H!", 0.0)
     moves[0, "H"] = (("bare", REACH), "H", 0.0)
-    for kind, weight in (("sure", 2.0), ("bare", 1.5)):
+    for kind, weight in (("sure", 3.0), ("bare", 1.0)):
         for k in range(1, REACH + 1):
             state = (kind, k)
             idle[state] = (kind, k - 1) if k > 1 else 0
             moves[state, "T"] = (0, "T!", weight)
-            moves[state, "H"] = ((kind, REACH), "H!", 1.0) if kind == "sure" else ((kind, REACH), "H", 0.0)
+            moves[state, "H"] = ((kind, REACH), "H!", 0.0) if kind == "sure" else ((kind, REACH), "H", 0.0)
     return Transducer(moves, idle)
 
 
 #: Outputs of the first two machines that say something toxic.
-MARKS = ("I", "H!", "T!")
+MARKS = ("I", "S", "H!", "T!")
 
 
 def negations() -> Transducer:
@@ -128,7 +137,7 @@ def reports() -> Transducer:
 def targets() -> Transducer:
     """Insults after a target get ``+``; a target soon after an insult without one becomes ``T+``."""
     said = [f"I{n}{r}" for n in ("", "-") for r in ("", "r")]
-    moves: dict = {("aimed", m): ("aimed", f"{m}+", 0.5) for m in said}
+    moves: dict = {("aimed", m): ("aimed", f"{m}+", 1.0) for m in said}
     for x in ("T", "T!", "T!-", "T!r", "T!-r"):
         moves[0, x] = ("aimed", x, 0.0)
     for m in said:
@@ -140,7 +149,7 @@ def targets() -> Transducer:
     for m in said:
         for k in range(1, REACH + 1):
             idle[m, k] = (m, k - 1) if k > 1 else 0
-            moves[(m, k), "T"] = ("aimed", f"T{m[1:]}+", 0.5)
+            moves[(m, k), "T"] = ("aimed", f"T{m[1:]}+", 1.0)
     return Transducer(moves, idle)
 
 
@@ -156,10 +165,10 @@ def grammar() -> Transducer:
 
 
 def kind_of(out: str) -> str | None:
-    """The feature that an output of the grammar counts for."""
-    if out[0] != "I" and not out.endswith("+") and "!" not in out:
+    """The feature that an output of the grammar counts for; of an aimed insult, its arc does, and the word as an insult."""
+    if out[0] not in "IS" and not out.endswith("+") and "!" not in out:
         return None
-    return "negated" if "-" in out else "reported" if "r" in out else "threat" if "!" in out else "directed" if "+" in out else "plain"
+    return "negated" if "-" in out else "reported" if "r" in out else "threat" if "!" in out else "aimed" if "+" in out else "insult"
 
 
 @dataclass
@@ -179,7 +188,7 @@ class Lexicon:
 
     def charged(self) -> list[str]:
         """Terms that make a clause worth reading."""
-        return [t for part in (self.words, self.stems) for t, (s, _) in part.items() if s in "IH"]
+        return [t for part in (self.words, self.stems) for t, (s, _) in part.items() if s in "IHS"]
 
 
 class Reader:
@@ -213,31 +222,38 @@ class Reader:
             for m in CLAUSE.finditer(low):
                 k = bisect_left(hits, m.start())
                 if k < len(hits) and hits[k] < m.end():
-                    sums["clause"] = max(sums["clause"], self._clause(m[0], sums))
-        return [math.log1p(max(sums[k], 0.0)) for k in FEATURES]
+                    self._clause(m[0], sums)
+        return [max(sums[k], 0.0) for k in FEATURES]
 
-    def _clause(self, clause: str, sums: dict[str, float]) -> float:
-        state, total = self.machine.start, 0.0
+    def _clause(self, clause: str, sums: dict[str, float]) -> None:
+        state = self.machine.start
         for word in WORD.findall(clause):
             symbol, own = self.lexicon.look(word)
             state, out, weight = self.machine.step(state, symbol)
             if kind := kind_of(out):
                 # an insult weighs what the lexicon says, the rest what the arcs say
-                value = weight + (own if symbol == "I" else 0.0)
-                sums[kind] += value
-                total += value * (0.5 if kind in ("negated", "reported") else 1.0)
-        return total
+                own = own if symbol in "IS" else 0.0
+                if kind == "aimed":
+                    sums["insult"] += own
+                    sums["aimed"] += 1.0
+                else:
+                    sums[kind] += weight + own
 
 
 @dataclass
 class Model:
+    """Lexicon, and the values of BOUNDS by name."""
+
     lexicon: Lexicon
-    intercept: float
-    weights: list[float]
+    weights: dict[str, float]
+
+    def factors(self) -> list[float]:
+        """The factor of each of FEATURES in a path's weight."""
+        return [1.0, *(self.weights[f] for f in FEATURES[1:])]
 
 
 def clause_features(text: Column, lexicon: Lexicon) -> Column:
-    """Array of log(1 + sum) for the sums in ``FEATURES``; a null text counts as empty."""
+    """Array of the sums in ``FEATURES``; a null text counts as empty."""
 
     @F.arrow_udf("array<double>")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -268,8 +284,8 @@ def _prefixes(words: Column, size: int) -> Column:
 
 
 def seed_lexicon() -> Lexicon:
-    """The seed words alone; insults among them weigh 2."""
-    return Lexicon({w: (s, 2.0 if s == "I" else 0.0) for s, words in SEEDS.items() for w in words.split()})
+    """The seed words alone; insults among them weigh HEAVIEST."""
+    return Lexicon({w: (s, HEAVIEST if s == "I" else 0.0) for s, words in SEEDS.items() for w in words.split()})
 
 
 def _bound(histogram: dict[int, int], base: float) -> float:
@@ -294,7 +310,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     Terms are judged by a log-likelihood ratio against a bound that allows for
     the number of terms tried, over documents that aren't near copies of each
     other. A seed that clean documents use as much loses its place. What is
-    learned is bounded by the words of the sample.
+    learned is bounded by the words of the sample, and weighs its log odds, between 0.5 and HEAVIEST, for stems STEM of that.
     """
     documents = cut(_apart(sample))
     totals = documents.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
@@ -302,7 +318,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     lexicon = seed_lexicon()
     if not 0 < toxic < n:
         return lexicon
-    word = F.transform(F.filter("words", lambda w: F.char_length(w).between(3, 30)), lambda w: F.concat(w, F.lit("$")))
+    word = F.transform(F.filter("words", lambda w: F.char_length(w) >= 3), lambda w: F.concat(w, F.lit("$")))
     stems = [_prefixes(F.col("words"), k) for k in STEMS]
     seen = documents.select("label", F.explode(F.array_distinct(F.concat(word, *stems))).alias("term"))
     counts = cut(seen.groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n")))
@@ -321,52 +337,65 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     words = {r["term"][:-1]: r for r in rows if r["term"].endswith("$")}
     for word, r in words.items():
         if lexicon.words.get(word, ("I",))[0] == "I":
-            lexicon.words[word] = ("I", float(min(max(r["odds"], 0.5), 6.0)))
+            lexicon.words[word] = ("I", float(min(max(r["odds"], 0.5), HEAVIEST)))
     # a stem stands for many words: one word must not make most of it; of nested stems the most telling is taken, the longest of equals
     for r in sorted((r for r in rows if not r["term"].endswith("$")), key=lambda r: (-r["evidence"], -len(r["term"]))):
         stem = r["term"]
         top = max((w["pos"] for t, w in words.items() if t.startswith(stem)), default=0)
         if top < 0.6 * r["pos"] and not any(stem.startswith(s) or s.startswith(stem) for s in lexicon.stems):
-            lexicon.stems[stem] = ("I", float(min(max(r["odds"], 0.5), 6.0)))
+            lexicon.stems[stem] = ("S", float(min(max(r["odds"], 0.5), HEAVIEST * STEM)))
     return lexicon
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """Ridge logistic weights, intercept first, by Newton steps on few columns."""
-    design = np.column_stack([np.ones(len(x)), x])
-    w, keep = np.zeros(design.shape[1]), ridge * np.eye(design.shape[1])
-    keep[0, 0] = 1e-6
+def weight_of(x: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+    """Path weights of documents from their FEATURES."""
+    return x[:, 0] + sum(weights[f] * x[:, k] for k, f in enumerate(FEATURES) if k)
+
+
+def learn_weights(x: np.ndarray, y: np.ndarray, pull: float = 0.5, rounds: int = 40) -> dict[str, float]:
+    """The values within BOUNDS that make the labels likeliest, less ``pull`` times the squared distance from the grammar's own, in shares of the bounds.
+
+    One value after the other moves by steps that shrink, so documents without, say, a threat leave its weight where it was.
+    """
+    best = {name: own for name, (_, own, _) in BOUNDS.items()}
+
+    def loss(w: dict[str, float]) -> float:
+        z = w["slope"] * (np.log1p(weight_of(x, w)) - math.log1p(w["level"]))
+        return float(np.logaddexp(0.0, np.where(y > 0, -z, z)).sum()) + pull * sum(((w[n] - own) / (high - low)) ** 2 for n, (low, own, high) in BOUNDS.items())
+
+    now, step = loss(best), 0.25
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + keep, design.T @ (y - p) - keep @ w)
-        w = w + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+        moved = False
+        for name, (low, _, high) in BOUNDS.items():
+            for sign in (1, -1):
+                tried = best | {name: min(max(best[name] + sign * step * (high - low), low), high)}
+                if (then := loss(tried)) < now - 1e-9:
+                    best, now, moved = tried, then, True
+                    break
+        step = step if moved else step / 2
+    return best
 
 
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, limit: int = LABELLED, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Learn lexicon and curve from at most ``limit`` labelled documents, of which only the few sums of each reach the driver.
+    """Learn lexicon, weights and curve from at most ``limit`` labelled documents, of which only the few sums of each reach the driver.
 
-    Without toxic or without clean labels the seeds and a fixed curve score.
+    Without toxic or without clean labels the seeds and the grammar's own weights score.
     """
     small_batches(df.sparkSession)
     sample = cut(labelled(df, labels, label, where, limit, text, doc_id))
     lexicon = learn_lexicon(sample)
     rows = sample.select("label", clause_features(F.col("text"), lexicon).alias("x")).collect()
-    y = np.array([r["label"] for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return Model(lexicon, -3.0, [2.0, 3.0, 0.5, 0.5, 3.0, 0.5])
-    w = _logistic(np.array([r["x"] for r in rows], float), y)
-    return Model(lexicon, float(w[0]), [float(v) for v in w[1:]])
+    x, y = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], float)
+    return Model(lexicon, learn_weights(x, y) if len(y) and y.min() < y.max() else {name: own for name, (_, own, _) in BOUNDS.items()})
 
 
 def _with_score(df: DataFrame, model: Model, text: str) -> DataFrame:
     small_batches(df.sparkSession)
     read = df.withColumn("__features", clause_features(F.col(text), model.lexicon))
-    total = F.lit(model.intercept)
-    for k, w in enumerate(model.weights):
+    total = F.lit(0.0)
+    for k, w in enumerate(model.factors()):
         total = total + F.col("__features")[k] * w
+    total = model.weights["slope"] * (F.log1p(total) - math.log1p(model.weights["level"]))
     return read.withColumn("__score", 1.0 / (1.0 + F.exp(-total)))
 
 

@@ -109,10 +109,92 @@ def test_rule_ensemble_on_held_out_rows(spark, sf, labels, documents):
     assert accuracy(rows, labels, "quality") >= 0.9
 
 
-def test_toxic_grammar_on_held_out_rows(spark, sf, labels, documents):
+def test_toxic_grammar_query(spark, sf, documents):
     rows = queries.op8_toxic_grammar(spark, sf).collect()
-    assert len(rows) == documents.count() and all(0 <= r.score <= 1 for r in rows)
-    assert accuracy(rows, labels, "toxic") >= 0.9
+    assert len(rows) == documents.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    """As the query fits it, on the documents of a folder whose labels tell more than a few toxic ones."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    return docs, labels, toxicity.fit(docs, labels, where=remainder(F.col("doc_id"), 5) != 0)
+
+
+def test_toxic_documents_are_found_and_clean_ones_left(toxic_model):
+    docs, labels, model = toxic_model
+    scored = toxicity.score(docs, model).join(labels.where("toxic IS NOT NULL"), "doc_id").withColumn("held", remainder(F.col("doc_id"), 5) == 0)
+    held = {r["toxic"]: (r["n"], r["flagged"]) for r in scored.where("held").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("flagged")).collect()}
+    assert held[0][1] == 0 and held[1][1] >= 4 and held[1][0] == 6
+    everything = {r["toxic"]: r["share"] for r in scored.groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert everything[0] == 0.0 and everything[1] >= 0.6
+
+
+def test_scores_follow_the_grammar(spark, toxic_model):
+    model = toxic_model[2]
+    texts = ["I will kill you", "You are an idiot", "You stupid idiot", "I will kill the process", "You are not an idiot", "The stupid bug is gone", "He said you are an idiot", "I will never kill you", "We are going to shoot the movie", "", None]
+    at = {r.text: r.score for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    assert all(at[t] >= 0.5 for t in texts[:3]) and all(at[t] < 0.5 for t in texts[3:])
+    assert at["I will kill you"] > at["I will never kill you"] > at[""]
+    assert at["You are an idiot"] > at["The stupid bug is gone"] > at["He said you are an idiot"] > at[""] == at[None]
+    for name, (low, _, high) in toxicity.BOUNDS.items():
+        assert low <= model.weights[name] <= high
+
+
+@pytest.mark.parametrize("kind", ["any", "no threats", "one word decides", "few"])
+def test_weights_keep_their_order_whatever_the_labels_say(kind):
+    draw = np.random.default_rng(8)
+    n = 12 if kind == "few" else 400
+    x = draw.poisson(0.5, (n, 5)).astype(float) * 3.0
+    y = draw.integers(0, 2, n).astype(float)
+    if kind == "no threats":
+        x[:, 4], y = 0.0, (x[:, 0] > 4).astype(float)
+    if kind == "one word decides":
+        x[:, 1:], y = 0.0, (x[:, 0] > 0).astype(float)
+    w = toxicity.learn_weights(x, y)
+    assert w["threat"] * 3.0 > w["level"] and toxicity.HEAVIEST + w["aimed"] > w["level"] > toxicity.HEAVIEST
+    assert w["negated"] < w["reported"] + 0.3 < 1.0 and w["reported"] * (toxicity.HEAVIEST + 1.0) < w["level"]
+    if kind == "no threats":
+        assert w["threat"] == toxicity.BOUNDS["threat"][1]
+
+
+def plain_score(model, text):
+    """Every clause of a text through the five machines, one after another."""
+    stages, sums = [make() for make in toxicity.MACHINES], dict.fromkeys(toxicity.FEATURES, 0.0)
+    for clause in re.split("[.!?;:\n\r,()\\[\\]\"“”«»]", (text or "").lower()):
+        states = [m.start for m in stages]
+        words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", clause)
+        known = [model.lexicon.words.get(w) or next((model.lexicon.stems[w[:k]] for k in toxicity.STEMS if len(w) >= k and w[:k] in model.lexicon.stems), ("O", 0.0)) for w in words]
+        for symbol, own in known:
+            out, total = symbol, 0.0
+            for k, m in enumerate(stages):
+                states[k], out, weight = m.step(states[k], out)
+                total += weight
+            mark = out[0] in "IS" or "!" in out or out.endswith("+")
+            own = own if symbol in ("I", "S") else 0.0
+            if mark and "-" in out:
+                sums["negated"] += total + own
+            elif mark and "r" in out:
+                sums["reported"] += total + own
+            elif mark and "!" in out:
+                sums["threat"] += total
+            elif mark and "+" in out:
+                sums["aimed"], sums["insult"] = sums["aimed"] + 1.0, sums["insult"] + own
+            elif mark:
+                sums["insult"] += total + own
+    w, at = model.weights, {k: max(v, 0.0) for k, v in sums.items()}
+    whole = at["insult"] + sum(w[k] * at[k] for k in ("aimed", "negated", "reported", "threat"))
+    return 1 / (1 + np.exp(-w["slope"] * (np.log1p(whole) - np.log1p(w["level"]))))
+
+
+def test_scores_are_those_of_every_clause_read_plainly(spark, toxic_model, messy):
+    docs, _, model = toxic_model
+    texts = ["You fool, he said: you idiot! Not an idiot; I will strangle them all. They kill you", "Idiot-moron (you) and the stupid's", "ich werde dich umbringen\nje vais te tuer", "DU ARSCHLOCH\x00du, trottel_x idiot3 Éidiot idiots"]
+    made = messy.select("text").union(docs.select("text")).union(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for r in toxicity.score(made, model).collect():
+        assert r.score == pytest.approx(plain_score(model, r.text), abs=1e-12), (r.text or "")[:80]
 
 
 def test_decision_list_query(spark, sf, labels, documents):
@@ -191,7 +273,7 @@ def test_a_threat_takes_an_intention_or_a_target():
     reader = toxicity.Reader(toxicity.seed_lexicon())
     score = lambda text: dict(zip(toxicity.FEATURES, reader.features(text), strict=True))["threat"]
     assert score("You kill the process and restart it") == 0.0
-    assert score("I will kill you") > score("kill you") > 0.0
+    assert score("I will kill you") > score("kill you") > 0.0 == score("I will kill the process") == score("We are going to shoot the movie")
 
 
 @given(st.lists(st.sampled_from(toxicity.SYMBOLS), max_size=12))
@@ -211,7 +293,7 @@ def test_the_composed_machine_is_the_five_one_after_another(symbols):
 def test_clauses_are_scored_not_words():
     reader = toxicity.Reader(toxicity.Lexicon({"fool": ("I", 2.0), "you": ("T", 0.0), "not": ("N", 0.0), "said": ("R", 0.0)}, {"blarg": ("I", 3.0)}))
     at = dict(zip(toxicity.FEATURES, reader.features("You fool. Not a fool; he said fool! foolish blargun. A fool you are"), strict=True))
-    assert [round(np.expm1(at[k]), 9) for k in ("directed", "negated", "reported", "plain")] == [2.5 + 0.5, 1.5, 1.5, 3.0 + 2.0]
+    assert at == {"insult": 2.0 + 3.0 + 2.0, "aimed": 2.0, "negated": 1.5, "reported": 1.5, "threat": 0.0}
     assert reader.features("nothing here") == [0.0] * len(toxicity.FEATURES)
 
 
@@ -222,7 +304,7 @@ def test_more_insults_always_count_more():
 
 
 def test_stems_are_learned_from_many_words(spark, labels):
-    rows = [(k, f"vor mal {'zurbo' + 'abcdefghijklmnopqrstuvwxyz'[k % 26] * 2 if k % 8 == 0 else 'haus'} w{chr(97 + k % 17)}{chr(97 + k % 11)}x zeile {' '.join(chr(97 + (k * j) % 26) * 4 for j in range(3, 12))}") for k in range(600)]
+    rows = [(k, f"vor mal {' '.join('zurbo' + 'abcdefghijklmnopqrstuvwxyz'[(k + j) % 26] * 2 for j in range(3)) if k % 8 == 0 else 'haus'} w{chr(97 + k % 17)}{chr(97 + k % 11)}x zeile {' '.join(chr(97 + (k * j) % 26) * 4 for j in range(3, 12))}") for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     marks_ = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(600)], "doc_id long, toxic int")
     model = toxicity.fit(df, marks_)

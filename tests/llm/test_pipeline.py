@@ -12,6 +12,7 @@ import corpus_pipeline
 from lamina.llm import queries, secret_scan, toxicity
 from lamina.llm.text_stats import remainder
 
+from test_models import plain_score  # isort: skip
 from test_near_copies import brute_groups  # isort: skip
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -26,12 +27,7 @@ def test_stages_against_plain_versions(spark, sf, documents, labels):
         docs = out
     (_, before, after), (_, b2, a2), (_, b3, a3), (_, b4, a4) = seen
     model = toxicity.fit(before, labels, where=remainder(F.col("doc_id"), 5) != 0)
-    reader = toxicity.Reader(model.lexicon)
-    clean = set()
-    for r in before.collect():
-        total = model.intercept + sum(w * x for w, x in zip(model.weights, reader.features(r.text or ""), strict=True))
-        if total < 0:
-            clean.add(r.doc_id)
+    clean = {r.doc_id for r in before.collect() if plain_score(model, r.text) < 0.5}
     assert {r.doc_id for r in after.collect()} == clean
     assert {r.doc_id for r in a2.collect()} == set(brute_groups({r.doc_id: r.text for r in b2.collect()}).values())
     assert a3.count() == b3.count()
