@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import blank_token, fill_constants, finite, normalize_tokens, null_inf, pct, safe_name
+from ..scratch import cut
 from .profile import numeric_cols
 from .ranks import exact_quantiles
 from .visits import rows_at_group_max, split_last
@@ -67,8 +68,11 @@ def history_by_category(visits: DataFrame, categories: Sequence[str] | None = No
 
     Every subject with a stay has a row; the totals over all categories stay NULL without history, their count is 0.
     The window that finds the last stay and the aggregate share the subject's partitioning, so rows are shuffled once.
+    Without ``categories`` the stays are written once: their values and their rows are read from there.
     """
-    timed = visits.where(F.col("LOS").isNotNull())
+    timed = visits.where(F.col("LOS").isNotNull()).select("USUBJID", "SEQ", "VISIT", "LOS")
+    if categories is None:
+        timed = cut(timed)
     cats = list(categories) if categories is not None else distinct_values(timed, "VISIT")
     before = timed.withColumn("_prev", F.when(F.col("SEQ") < F.max("SEQ").over(Window.partitionBy("USUBJID")), F.col("LOS")))
     quartiles = F.percentile("_prev", F.array(F.lit(0.25), F.lit(0.75)))
@@ -99,11 +103,32 @@ def pivot_stats(df: DataFrame, group: str, code: str, value: str, codes: Sequenc
     return df.groupBy(group).agg(*means, *counts)
 
 
+def finding_cells(findings: DataFrame, code: str = "LBTESTCD", value: str = "LBSTRESN") -> DataFrame:
+    """(USUBJID, code, mean, n) of the numeric records: the mart in long form, for any number of codes. Records without a subject are a group of their own."""
+    numeric = findings.where(finite(F.col(value)).isNotNull() & F.col(code).isNotNull())
+    return numeric.groupBy("USUBJID", F.col(code).alias("code")).agg(F.round(F.avg(value), 6).alias("mean"), F.count("*").alias("n"))
+
+
+def pivot_cells(cells: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """The columns of :func:`pivot_stats` from the long form."""
+    mine = {c: F.col("code") == c for c in codes}
+    means = [F.max(F.when(m, F.col("mean"))).alias(f"LAB_{safe_name(c)}_MEAN") for c, m in mine.items()]
+    counts = [F.max(F.when(m, F.col("n"))).alias(f"LAB_{safe_name(c)}_count") for c, m in mine.items()]
+    return cells.groupBy("USUBJID").agg(*means, *counts)
+
+
 def finding_features(findings: DataFrame, top: int = 25, code: str = "LBTESTCD", value: str = "LBSTRESN", codes: Sequence[str] | None = None) -> DataFrame:
-    """Mean and count of the ``top`` most recorded codes per subject, wide."""
-    chosen = list(codes) if codes is not None else [r["code"] for r in top_codes(findings, code, n=top, value=value).collect()]
-    kept = findings.where(F.col(code).isin(*sorted(chosen)) & finite(F.col(value)).isNotNull() & F.col("USUBJID").isNotNull())
-    return pivot_stats(kept, "USUBJID", code, value, sorted(chosen))
+    """Mean and count of the ``top`` most recorded codes per subject, wide.
+
+    Findings are read once: their cells by subject and code are written, the top codes come from the cells' counts, and so do the columns.
+    """
+    if codes is not None:
+        kept = findings.where(F.col(code).isin(*sorted(codes)) & finite(F.col(value)).isNotNull() & F.col("USUBJID").isNotNull())
+        return pivot_stats(kept, "USUBJID", code, value, sorted(codes))
+    cells = cut(finding_cells(findings, code, value))
+    ranked = cells.groupBy("code").agg(F.sum("n").alias("n_records")).orderBy(F.desc("n_records"), "code").limit(top)
+    chosen = sorted(r["code"] for r in ranked.collect())
+    return pivot_cells(cells.where(F.col("code").isin(*chosen) & F.col("USUBJID").isNotNull()), chosen)
 
 
 def feature_coverage(df: DataFrame, id_col: str = "USUBJID") -> DataFrame:

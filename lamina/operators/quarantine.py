@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_diff, drop_cols, first_reason, project, resolve_col
+from ..scratch import cut
 from .references import orphans  # noqa: F401  the third of the splits, found with references
 
 REASON = "reject_reason"
@@ -123,9 +124,10 @@ def orphans_multi(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str,
     return ri_flag(child, parents).where(F.col(REASON).isNotNull())
 
 
-def ri_split(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(clean, rejects) by one flag: exact for every row, whatever keys it repeats."""
-    return drop_cols(ri_flag(child, parents).where(F.col(REASON).isNull()), [REASON]), orphans_multi(child, parents)
+def ri_split(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str, str]], stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(clean, rejects) by one flag: exact for every row, whatever keys it repeats. ``stored`` writes the flagged rows once, for callers that read both sides."""
+    flagged = cut(ri_flag(child, parents)) if stored else ri_flag(child, parents)
+    return drop_cols(flagged.where(F.col(REASON).isNull()), [REASON]), flagged.where(F.col(REASON).isNotNull())
 
 
 def dup_groups(df: DataFrame, keys: Sequence[Column], drop_null: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ results and the category and code lists that name mart columns are collected.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 
@@ -122,7 +123,7 @@ def check_staged(spark: SparkSession, staged: Mapping[str, DataFrame], run_id: s
     return found.frame()
 
 
-def curate(staged: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def curate(staged: Mapping[str, DataFrame], stored: bool = False) -> dict[str, DataFrame]:
     """``cur_*`` and ``rej_*`` tables, and their ``_ri`` splits."""
     dates = (PROCEDURE_START, PROCEDURE_END)
     out: dict[str, DataFrame] = {}
@@ -140,7 +141,7 @@ def curate(staged: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     visit = (out["cur_encounters"], "encounter_id", "encounter_id", "missing_in_cur_encounters")
     for name in ("encounters", "conditions", "medications", "procedures", "observations"):
         parents = [patient, visit] if name == "conditions" else [patient]
-        out[f"cur_{name}_ri"], out[f"rej_{name}_ri"] = quarantine.ri_split(out[f"cur_{name}"], parents)
+        out[f"cur_{name}_ri"], out[f"rej_{name}_ri"] = quarantine.ri_split(out[f"cur_{name}"], parents, stored)
     return out
 
 
@@ -237,10 +238,10 @@ def archive(spark: SparkSession, tables: Mapping[str, DataFrame], salt: str, out
     return found
 
 
-def run_chain(spark: SparkSession, folder: str, run_id: str, strict: bool = True, vitals: Sequence[str] = domains.VITAL_CODES, out: str | None = None, salt: str | None = None, trees: int = TREES) -> dict[str, DataFrame]:
+def run_chain(spark: SparkSession, folder: str, run_id: str, strict: bool = True, vitals: Sequence[str] = domains.VITAL_CODES, out: str | None = None, salt: str | None = None, trees: int = TREES, buckets: int = S.BUCKETS) -> dict[str, DataFrame]:
     """All layers' frames by table name, with the staged checks under ``meta_dq_results``; the gate stops a strict run on hard failures.
 
-    ``out`` is the folder that layers are written to. With a ``salt`` the marts are archived without identities.
+    ``out`` is the folder that layers are written to, those of standard and analysis tables in ``buckets`` buckets by subject. With a ``salt`` the marts are archived without identities.
     """
 
     def keep(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -250,6 +251,13 @@ def run_chain(spark: SparkSession, folder: str, run_id: str, strict: bool = True
             df.write.mode("overwrite").parquet(f"{out}/{name}")
         return {name: spark.read.parquet(f"{out}/{name}") for name in frames}
 
+    def bucketed(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """As ``keep``, by subject: what the marts make of these layers then needs no exchange."""
+        if not out:
+            return frames
+        mark = uuid.uuid4().hex
+        return {name: S.write_layer(df, f"lamina_{mark}_{name}", "USUBJID", f"{out}/{name}", buckets) for name, df in frames.items()}
+
     log = S.load_tables(spark, {n: f"{folder}/{n}.csv" for n in CORE_TABLES}, CORE_TABLES, run_id, f"{out}/meta_stg_load" if out else None)
     staged = stage(read_sources(spark, folder), run_id)
     if out:
@@ -260,10 +268,10 @@ def run_chain(spark: SparkSession, folder: str, run_id: str, strict: bool = True
     found = {"meta_stg_load": log} | kept | keep({"meta_dq_results": checks})
     if strict:
         quality.gate(checks)
-    curated = keep(curate(staged))
+    curated = keep(curate(staged, stored=bool(out)))
     sizes = S.layer_counts({n: df for n, df in curated.items() if n.startswith("cur_")})
-    standard = keep(standardise(curated, vitals))
-    analysis = keep(analyse(standard))
+    standard = bucketed(standardise(curated, vitals))
+    analysis = bucketed(analyse(standard))
     made = keep(marts(standard, analysis))
     found |= curated | standard | analysis | made
     found |= keep({"meta_layer_counts": sizes, "meta_domain_counts": domains.domain_counts(standard)} | check_domains(standard) | check_analysis(spark, analysis, run_id))

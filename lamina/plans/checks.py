@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import deid, features, model, profile, quality
 from ..scratch import cut
 from ..sources import fixity
-from .layers import ORACLE, RUN, blob, query, scratch_path
+from .layers import ORACLE, RUN, blob, query, scratch_path, store
 from .roles import Roles, sql
 
 # profiling
@@ -405,6 +405,13 @@ def merged_features(r: Roles) -> DataFrame:
     return _merged(r)
 
 
+@query(sql(MERGED, *MERGED_NEED))
+def merged_features_stored(r: Roles) -> DataFrame:
+    """As :func:`merged_features`, over layers that are stored by subject: joins and windows without an exchange."""
+    long, subjects, findings = (store(r, df) for df in (r.long(), r.adsl(), _all_findings(r)))
+    return features.merged_features(features.last_visit_target(long), features.subject_demo(subjects), features.finding_features(findings, codes=CODES))
+
+
 NUMBERS = ["LAST_SEQ", "LOS_LAST", "AGE", *LAB_COLS]
 NULLS, BAD = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in NUMBERS), " + ".join(f"count(*) FILTER (WHERE {c} IS NULL OR lower(trim({c})) IN ('', 'nan', 'none', 'null', 'na', 'n/a', 'nat'))" for c in ("LAST_CAT", "SEX", "RACE"))
 

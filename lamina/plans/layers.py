@@ -381,6 +381,16 @@ def visits_wide(r: Roles) -> DataFrame:
     return visits.visits_wide(r.sv())
 
 
+def store(r: Roles, df: DataFrame) -> DataFrame:
+    return S.write_layer(df, f"lamina_layer_{uuid.uuid4().hex}", "USUBJID", scratch_path(r.spark, "layer"), 8)
+
+
+@query(_wide_sql({"VISIT": "VISITID", "START_TS": "START", "END_TS": "ENDE"}))
+def visits_wide_stored(r: Roles) -> DataFrame:
+    """As :func:`visits_wide`, over visits that are stored by subject."""
+    return visits.visits_wide(store(r, r.sv()))
+
+
 @query(_wide_sql({"round(LOS, 6)": "VISITID", "START_TS": "START", "END_TS": "ENDE"}))
 def visits_wide_los(r: Roles) -> DataFrame:
     return visits.visits_wide_los(r.sv())

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from .fixity import source_digest
 
+#: Buckets of stored layers: the same for all, so that their tables fit each other. Each is read by one task.
+BUCKETS = 64
 LOG = "run_id string, table_name string, stg_table string, source_file string, source_sha256 string, ingested_at timestamp, row_count bigint, status string, message string"
 
 
@@ -34,6 +36,24 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def write_layer(df: DataFrame, name: str, key: str, path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Store a layer table in ``buckets`` buckets of ``key``, each one sorted file, and return it.
+
+    Tables of one number of buckets need no exchange on the key any more: windows, pivots and joins of a subject's rows read
+    bucket by bucket. With ``path`` the files lie there (what was there goes), else in the warehouse; without the key as a column the table is plain.
+    """
+    spark = df.sparkSession
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    writer = df.write
+    if key in df.columns:
+        writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer = writer.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def with_lineage(df: DataFrame, run_id: str, ingested_at: str | None = None) -> DataFrame:
     """Add ``_run_id``, ``_ingested_at`` and the source file's name; the frame must be a file scan."""
     at = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()

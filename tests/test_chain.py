@@ -56,7 +56,7 @@ def test_chain_reaches_the_archive(spark, folder, tmp_path):
     (folder / "patients.csv").write_text(FILES["patients"] + "".join(f"p{k},1980-01-01,,{'MF'[k % 2]},r{k % 3},x,C,S,1,10,1,1\n" for k in many))
     visits = "".join(f"a{k},2020-01-0{1 + k % 5}T00:00:00Z,2020-01-0{2 + k % 5}T0{k % 9}:00:00Z,p{k},o,r,y,wellness,1,d,5,5,1\nb{k},2020-03-01T00:00:00Z,2020-03-01T0{1 + k % 7}:{k % 60:02}:00Z,p{k},o,r,y,wellness,1,d,5,5,1\n" for k in many)
     (folder / "encounters.csv").write_text(FILES["encounters"] + visits)
-    t = run_chain(spark, str(folder), "r1", out=out, salt="s", trees=2)
+    t = run_chain(spark, str(folder), "r1", out=out, salt="s", trees=2, buckets=3)
     log = {r.table_name: r for r in spark.read.parquet(f"{out}/meta_stg_load").collect()}
     assert log["patients"].row_count == 102 and len(log["patients"].source_sha256) == 64 and log["patients"].stg_table == "stg_patients"
     assert {r.table_name: r.n_rows for r in t["meta_layer_counts"].collect()}["cur_encounters"] == 203
