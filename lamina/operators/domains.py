@@ -27,13 +27,13 @@ def map_dm(subjects: DataFrame, study: str = STUDY) -> DataFrame:
     return _domain(subjects, study, "DM", sex.alias("SEX"), iso_text(F.col("birth_date")).alias("BRTHDTC"), iso_text(F.col("death_date")).alias("DTHDTC"), F.col("race").alias("RACE"), F.col("ethnicity").alias("ETHNIC"))
 
 
-def map_sv(visits: DataFrame, study: str = STUDY) -> DataFrame:
+def map_sv(visits: DataFrame, study: str = STUDY, spread: bool = False) -> DataFrame:
     """Visits, numbered per subject by start and id.
 
-    Numbers are dealt by the mapped subject id, so that later windows over it need no further shuffle.
+    Numbers are dealt by the mapped subject id, so that later windows over it need no further shuffle; with ``spread`` in ranges, for subjects of any size.
     """
     named = visits.withColumn("USUBJID", subject_id(F.col("patient_id")))
-    numbered = number_visits(named, "USUBJID", "start_ts", "encounter_id")
+    numbered = number_visits(named, "USUBJID", "start_ts", "encounter_id", spread=spread)
     return numbered.select(F.lit(study).alias("STUDYID"), F.lit("SV").alias("DOMAIN"), "USUBJID", "VISITNUM", F.col("encounter_class").alias("VISIT"), iso_text(F.col("start_ts")).alias("SVSTDTC"), iso_text(F.col("stop_ts")).alias("SVENDTC"))
 
 

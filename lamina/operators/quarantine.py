@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import day_diff, drop_cols, first_reason, project, resolve_col
 from ..scratch import cut
+from .duplicates import repeats
 from .references import orphans  # noqa: F401  the third of the splits, found with references
 
 REASON = "reject_reason"
@@ -136,7 +137,7 @@ def dup_groups(df: DataFrame, keys: Sequence[Column], drop_null: bool = False) -
     cols = named.columns
     if drop_null:
         named = named.dropna(subset=cols)
-    return named.groupBy(*cols).count().where("count > 1").agg(F.count("*").alias("n_dup_groups"))
+    return repeats(named).agg(F.count("*").alias("n_dup_groups"))
 
 
 def dup_report(specs: Mapping[str, tuple[DataFrame, Sequence[Column]]]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import los_days, los_minutes
+from .spread import along
 
 
 def _ordered(group: Sequence[str], order: Sequence[str]):
@@ -15,11 +16,16 @@ def _ordered(group: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order])
 
 
-def number_visits(df: DataFrame, subject: str, start: str, tie: str, out: str = "VISITNUM") -> DataFrame:
+def number_visits(df: DataFrame, subject: str, start: str, tie: str, out: str = "VISITNUM", spread: bool = False) -> DataFrame:
+    """``spread`` is for subjects with more rows than a task should hold."""
+    if spread:
+        return along(df, subject, [start, tie], out)
     return df.withColumn(out, F.row_number().over(_ordered([subject], [start, tie])).cast("bigint"))
 
 
-def with_next_start(df: DataFrame, subject: str, start: str, tie: str, out: str = "NEXT_START") -> DataFrame:
+def with_next_start(df: DataFrame, subject: str, start: str, tie: str, out: str = "NEXT_START", spread: bool = False) -> DataFrame:
+    if spread:
+        return along(df, subject, [start, tie], ahead={start: out})
     return df.withColumn(out, F.lead(start).over(_ordered([subject], [start, tie])))
 
 
@@ -33,8 +39,13 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame
     return first_per(df, keys, order)
 
 
-def sequence(df: DataFrame, group: str, order: Sequence[str], cap: int = 20, out: str = "SEQ") -> DataFrame:
+def sequence(df: DataFrame, group: str, order: Sequence[str], cap: int | None = 20, out: str = "SEQ", spread: bool = False) -> DataFrame:
     """Number rows within the group, up to ``cap`` of each."""
+    if spread:
+        numbered = along(df, group, order, out)
+        return numbered.where(F.col(out) <= cap) if cap else numbered
+    if not cap:
+        return df.withColumn(out, F.row_number().over(_ordered([group], order)).cast("bigint"))
     return df.withColumn(out, F.row_number().over(_ordered([group], order)).cast("bigint")).where(F.col(out) <= cap)
 
 
@@ -48,14 +59,14 @@ def rows_at_group_max(df: DataFrame, group: str, seq: str) -> DataFrame:
     return split_last(df, group, seq)[0]
 
 
-def visit_los(sv: DataFrame) -> DataFrame:
+def visit_los(sv: DataFrame, spread: bool = False) -> DataFrame:
     """Days of stay of each visit; a missing end is taken from the next visit's start.
 
     END_IMPUTEDFL says that the end was missing, END_MISSING_UNRESOLVEDFL that no next visit could give one.
-    One window per subject serves both the order and the look-ahead.
+    One window per subject serves both the order and the look-ahead; ``spread`` works on ranges of visits instead, for subjects of any size.
     """
     start, end = F.col("SVSTDTC").try_cast("timestamp_ntz"), F.col("SVENDTC").try_cast("timestamp_ntz")
-    timed = with_next_start(sv.withColumns({"START_TS": start, "END_TS": end}), "USUBJID", "START_TS", "VISITNUM")
+    timed = with_next_start(sv.withColumns({"START_TS": start, "END_TS": end}), "USUBJID", "START_TS", "VISITNUM", spread=spread)
     imputed = F.coalesce("END_TS", "NEXT_START")
     return timed.withColumn("END_IMP", imputed).select(
         "USUBJID",

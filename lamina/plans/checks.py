@@ -19,6 +19,16 @@ def profile_dup_rows(r: Roles) -> DataFrame:
     return profile.duplicate_rows(r.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
 
 
+TWICE = "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 50 = 0"
+
+
+@query(f"SELECT CAST((SELECT count(*) FROM ({TWICE}) a) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({TWICE}) b) c) AS BIGINT) AS duplicate_rows")
+def profile_dup_rows_wide(r: Roles) -> DataFrame:
+    """Whole rows, some of them twice: unique ones travel as digests only."""
+    lines = r.table("lineitem")
+    return profile.duplicate_rows(lines.union(lines.where("l_orderkey % 50 = 0")))
+
+
 @query(
     sql(
         """SELECT column_name, missing_rate FROM (SELECT 'patient_id' AS column_name, round(avg(CAST(patient_id IS NULL AS DOUBLE)), 6) AS missing_rate FROM r_event UNION ALL

@@ -371,6 +371,34 @@ def visits_long(r: Roles) -> DataFrame:
     return r.long().withColumn("LOS", F.round("LOS", 6))
 
 
+#: Nine of ten visits are one subject's: what a window over the subject would put into one task.
+HOT_SV = """SELECT 'SYN-' || s AS USUBJID, row_number() OVER (PARTITION BY s ORDER BY start_ts NULLS LAST, encounter_id NULLS LAST) AS VISITNUM, encounter_class AS VISIT, start_ts AS START_TS, stop_ts AS END_TS
+    FROM (SELECT *, CASE WHEN patient_id % 10 <> 0 THEN 0 ELSE patient_id END AS s FROM c_visit) h"""
+
+
+def _hot_sv(r: Roles) -> DataFrame:
+    hot = r.clean_visit().withColumn("patient_id", F.when(F.col("patient_id") % 10 != 0, F.lit(0)).otherwise(F.col("patient_id")))
+    return domains.map_sv(hot, spread=True)
+
+
+@query(
+    sql(
+        f"""SELECT USUBJID, VISITNUM, VISIT, START_TS, END_TS, coalesce(END_TS, n) AS END_IMP, CAST(END_TS IS NULL AS INTEGER) AS END_IMPUTEDFL, CAST(END_TS IS NULL AND n IS NULL AS INTEGER) AS END_MISSING_UNRESOLVEDFL,
+        round(CASE WHEN START_TS IS NOT NULL AND coalesce(END_TS, n) IS NOT NULL THEN greatest(0.0::DOUBLE, date_diff('second', START_TS, coalesce(END_TS, n)) / 86400.0::DOUBLE) END, 6) AS LOS_DAYS
+        FROM (SELECT *, lead(START_TS) OVER (PARTITION BY USUBJID ORDER BY START_TS NULLS LAST, VISITNUM) AS n FROM ({HOT_SV}) v) t""",
+        "c_visit",
+    )
+)
+def visit_los_spread(r: Roles) -> DataFrame:
+    return visits.visit_los(_hot_sv(r), spread=True).withColumn("LOS_DAYS", F.round("LOS_DAYS", 6))
+
+
+@query(sql(f"SELECT USUBJID, row_number() OVER (PARTITION BY USUBJID ORDER BY START_TS NULLS LAST, VISITNUM) AS SEQ, VISITNUM, VISIT FROM ({HOT_SV}) v", "c_visit"))
+def visit_sequence_spread(r: Roles) -> DataFrame:
+    timed = _hot_sv(r).withColumn("START_TS", F.col("SVSTDTC").try_cast("timestamp_ntz"))
+    return visits.sequence(timed, "USUBJID", ["START_TS", "VISITNUM"], None, spread=True).select("USUBJID", "SEQ", "VISITNUM", "VISIT")
+
+
 def _wide_sql(cols: dict[str, str]) -> str:
     cells = ", ".join(f"max(CASE WHEN SEQ = {k} THEN {c} END) AS {stem}_{k}" for k in range(1, 21) for c, stem in cols.items())
     return sql(f"SELECT USUBJID, {cells} FROM vlong GROUP BY USUBJID", "vlong")
