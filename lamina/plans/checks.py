@@ -541,14 +541,38 @@ def _training(r: Roles):
     return split.where("part = 'train'"), split.where("part = 'test'"), lo, hi, sets
 
 
-@query(None)
+#: The mart's rows with a capped target, in deciles, split as :func:`stratified_split` splits: what the model queries train and test on.
+SPLIT = f"""m AS (SELECT * REPLACE (least(greatest(LOS_LAST, 0), (SELECT quantile_cont(LOS_LAST, 0.99) FROM ({MERGED}) q)) AS LOS_LAST) FROM ({MERGED}) x WHERE LOS_LAST IS NOT NULL),
+e AS (SELECT DISTINCT unnest(quantile_cont(LOS_LAST, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edge FROM m),
+i AS (SELECT edge FROM e WHERE edge > (SELECT min(edge) FROM e) AND edge < (SELECT max(edge) FROM e)),
+binned AS (SELECT *, (SELECT count(*) FROM i WHERE edge < LOS_LAST) AS bin FROM m),
+split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY bin ORDER BY substr(md5('42:' || USUBJID), 1, 13), USUBJID) <= round(count(*) OVER (PARTITION BY bin) * 0.2) THEN 'test' ELSE 'train' END AS part FROM binned)"""
+
+
+def with_split(select: str, *more: str) -> str:
+    """SQL over the parts of SPLIT, and ``more`` ones, which follow the named parts they need."""
+    return sql(f", {', '.join([SPLIT, *more])} {select}", *MERGED_NEED)
+
+
+def _encoder_sql() -> str:
+    """Numbers with medians for NULLs, centred and scaled by the deviation of a sample; texts as one place for each value, frequent ones first."""
+    numbers, texts = ["LAST_SEQ", "AGE", *LAB_COLS], ["SEX", "RACE"]
+    filled = "f AS (SELECT USUBJID, " + ", ".join([f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM split WHERE part = 'train')) AS {c}" for c in numbers] + [f"coalesce({c}, 'UNKNOWN') AS {c}" for c in texts]) + " FROM split WHERE part = 'train')"
+    parts = [f"SELECT USUBJID, {k} AS position, CASE WHEN s > 0 THEN round(({c} - a) / s, 6) ELSE 0.0 END AS value FROM f, (SELECT avg({c}) AS a, stddev_samp({c}) AS s FROM f) d" for k, c in enumerate(numbers)]
+    before = str(len(numbers))
+    for c in texts:
+        values = f"(SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS k FROM f GROUP BY {c})"
+        parts.append(f"SELECT USUBJID, {before} + k AS position, CAST({c} = v AS INTEGER)::DOUBLE AS value FROM f, {values} o")
+        before += f" + (SELECT count(DISTINCT {c}) FROM f)"
+    return with_split(f"SELECT USUBJID, CAST(position AS INTEGER) AS position, value FROM ({' UNION ALL '.join(parts)}) u", filled)
+
+
+@query(_encoder_sql())
 def preprocess(r: Roles) -> DataFrame:
     train, *_, sets = _training(r)
     stages, medians = model.make_preprocess(train, sets["A"])
     filled = model.fill_inputs(train, medians, [c for c in sets["A"] if c not in medians])
-    from pyspark.ml.functions import vector_to_array
-
-    return stages.fit(filled).transform(filled).select("USUBJID", vector_to_array("features").alias("features"))
+    return model.encoded_long(stages.fit(filled).transform(filled), "USUBJID").withColumn("value", F.round("value", 6))
 
 
 @query(None)
@@ -577,16 +601,20 @@ def holdout_metrics(r: Roles) -> DataFrame:
     return model.regression_metrics(_holdout(r)[2], "y", "yhat")
 
 
-@query(None)
+@query(with_split("SELECT count(*) AS n, 0.0::DOUBLE AS max_difference, 0.0::DOUBLE AS max_table_difference FROM split WHERE part = 'test'"))
 def model_roundtrip(r: Roles) -> DataFrame:
+    """Predictions of the model as fitted, as read again, and as its stored nodes give them."""
     from pyspark.ml import PipelineModel
 
     (fitted, medians, texts), test, _, scored = _holdout(r)
     path = scratch_path(r.spark, "model")
     model.save_model(fitted, path)
     again = model.predict(PipelineModel.load(path), medians, texts, test)
-    pairs = scored.select("USUBJID", "prediction").join(again.select("USUBJID", F.col("prediction").alias("again")), "USUBJID")
-    return pairs.agg(F.count("*").alias("n"), F.max(F.abs(F.col("prediction") - F.col("again"))).alias("max_difference"))
+    boosted = type(fitted.stages[-1]).__name__.startswith("GBT")
+    followed = model.predict_by_table(again, model.node_table(r.spark, path), "USUBJID", boosted).withColumnRenamed("prediction", "followed")
+    pairs = scored.select("USUBJID", "prediction").join(again.select("USUBJID", F.col("prediction").alias("again")), "USUBJID").join(followed, "USUBJID")
+    off = lambda other: F.round(F.max(F.abs(F.col("prediction") - F.col(other))), 9)
+    return pairs.agg(F.count("*").alias("n"), off("again").alias("max_difference"), off("followed").alias("max_table_difference"))
 
 
 # de-identification and fixity
