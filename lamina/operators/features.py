@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import blank_token, fill_constants, finite, normalize_tokens, null_inf, pct, safe_name
 from ..scratch import cut
+from .frequent import top_counts
 from .profile import numeric_cols
 from .ranks import exact_quantiles
 from .visits import rows_at_group_max, split_last
@@ -89,9 +90,13 @@ def history_by_category(visits: DataFrame, categories: Sequence[str] | None = No
     return out.fillna(0, subset=[c for c in out.columns if c.startswith(("LOS_MEAN_PREV_", "LOS_MAX_PREV_"))])
 
 
-def top_codes(findings: DataFrame, code: str = "LBTESTCD", label: str = "LBTEST", value: str = "LBSTRESN", n: int = 25) -> DataFrame:
-    """Codes with the most numeric records; ties go by code."""
+def top_codes(findings: DataFrame, code: str = "LBTESTCD", label: str = "LBTEST", value: str = "LBSTRESN", n: int = 25, bounded: bool = False) -> DataFrame:
+    """Codes with the most numeric records; ties go by code. ``bounded`` is for more codes than a shuffle should have groups."""
     numeric = findings.where(finite(F.col(value)).isNotNull() & F.col(code).isNotNull())
+    if bounded:
+        best = cut(top_counts(numeric, [code], n, "n_records"))
+        labels = numeric.join(F.broadcast(best), code).groupBy(code, "n_records").agg(F.min(label).alias("label"))
+        return labels.select(F.col(code).alias("code"), "label", "n_records")
     return numeric.groupBy(code).agg(F.count("*").alias("n_records"), F.min(label).alias("label")).orderBy(F.desc("n_records"), code).limit(n).select(F.col(code).alias("code"), "label", "n_records")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_effectively_missing, iso_text, pct
 from ..sources.tables import contract_check
+from .frequent import top_counts
 from .quarantine import dup_groups
 from .references import reference_counts
 
@@ -190,13 +191,15 @@ def group_count(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
     return df.groupBy(*[c.alias(k) for k, c in exprs.items()]).agg(F.count("*").alias("n"))
 
 
-def top_unmapped(specs: Sequence[tuple[str, DataFrame, str, str]], k: int = 200) -> DataFrame:
-    """Most frequent (domain, code, label) whose code or label is missing, and which of them is."""
+def top_unmapped(specs: Sequence[tuple[str, DataFrame, str, str]], k: int = 200, bounded: bool = False) -> DataFrame:
+    """Most frequent (domain, code, label) whose code or label is missing, and which of them is. ``bounded`` is for more of them than a shuffle should have groups."""
     parts = []
     for domain, df, code, label in specs:
         no_code, no_label = is_effectively_missing(F.col(code)), is_effectively_missing(F.col(label))
         what = F.when(no_code & no_label, "CODE+LABEL").when(no_code, "CODE").otherwise("LABEL")
         parts.append(df.where(no_code | no_label).select(F.lit(domain).alias("domain"), iso_text(F.col(code)).alias("code"), iso_text(F.col(label)).alias("label"), what.alias("missing_what")))
+    if bounded:
+        return top_counts(union_all(parts), ["domain", "code", "label", "missing_what"], k)
     counted = group_count(union_all(parts), {c: F.col(c) for c in ("domain", "code", "label", "missing_what")})
     return top_n(counted, [F.desc("n"), F.col("domain"), F.col("code").asc_nulls_last(), F.col("label").asc_nulls_last()], k)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import deid, features, model, profile, quality
+from ..operators import deid, features, model, profile, quality, sketches
+from ..operators.ranks import exact_quantiles
 from ..scratch import cut
 from ..sources import fixity
 from .layers import ORACLE, RUN, blob, query, scratch_path, store
@@ -85,6 +86,29 @@ def target_histogram(r: Roles) -> DataFrame:
     return profile.histogram(r.table("orders"), "o_totalprice")
 
 
+def _profile_sql() -> str:
+    numbers, texts = ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority")
+    parts = [f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_null, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, TRUE AS distinct_close, TRUE AS median_close FROM orders" for c in numbers]
+    parts += [f"SELECT '{c}', count(*), count(*) - count({c}), NULL, NULL, TRUE, NULL FROM orders" for c in texts]
+    return " UNION ALL ".join(parts)
+
+
+@query(_profile_sql())
+def sketch_profiles(r: Roles) -> DataFrame:
+    """Profiles of four runs, stored and merged: exact counts and ends, and whether the sketches are within their bounds of what the whole table gives."""
+    cols = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+    orders, path = r.table("orders").select(*cols), scratch_path(r.spark, "profiles")
+    for k in range(4):
+        sketches.sketch_profile(orders.where(F.pmod("o_orderkey", F.lit(4)) == k), "orders", f"run-{k}").write.mode("append").parquet(path)
+    merged = sketches.read_profile(sketches.merge_profiles(r.spark.read.parquet(path)), [0.5])
+    true = orders.agg(*[F.countDistinct(c).alias(c) for c in cols]).unpivot([], cols, "column_name", "true_distinct")
+    medians = {c: v[0] for c, v in exact_quantiles(orders, cols[:3], [0.45, 0.5]).items()}
+    highs = {c: v[0] for c, v in exact_quantiles(orders, cols[:3], [0.55]).items()}
+    close = F.create_map(*[x for c in cols[:3] for x in (F.lit(c), F.array(F.lit(medians[c]), F.lit(highs[c])))])
+    ends = F.try_element_at(close, F.col("column_name"))
+    return merged.join(true, "column_name").select("column_name", "n", "n_null", "low", "high", (F.abs(F.col("n_distinct") / F.col("true_distinct") - 1) <= 0.08).alias("distinct_close"), F.when(F.col("at").isNotNull(), F.col("at")[0].between(ends[0], ends[1])).alias("median_close"))
+
+
 # checks
 
 
@@ -361,6 +385,12 @@ def top_codes(r: Roles) -> DataFrame:
     return features.top_codes(_all_findings(r), n=3)
 
 
+@query("SELECT l_partkey AS code, min(l_returnflag) AS label, count(*) AS n_records FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_partkey ORDER BY n_records DESC, code LIMIT 25")
+def top_codes_bounded(r: Roles) -> DataFrame:
+    """Parts as codes: more of them than event types, found by way of buckets."""
+    return features.top_codes(r.table("lineitem"), "l_partkey", "l_returnflag", "l_quantity", bounded=True)
+
+
 #: The event types of the test tables.
 CODES = ("click", "error", "purchase", "signup", "view")
 LABS = "SELECT USUBJID, " + ", ".join([f"round(avg(CASE WHEN TESTCD = '{c}' THEN STRESN END), 6) AS LAB_{c}_MEAN" for c in CODES] + [f"nullif(count(CASE WHEN TESTCD = '{c}' THEN STRESN END), 0) AS LAB_{c}_count" for c in CODES]) + " FROM findings WHERE STRESN IS NOT NULL GROUP BY USUBJID"
