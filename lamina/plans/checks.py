@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import deid, features, model, profile, quality, sketches
+from ..operators import deid, features, model, profile, quality, sketches, sparse
 from ..operators.ranks import exact_quantiles
 from ..scratch import cut
 from ..sources import fixity
@@ -405,6 +405,16 @@ def finding_features(r: Roles) -> DataFrame:
     return _labs(r)
 
 
+@query("SELECT 'C-' || o_custkey AS USUBJID, l_partkey AS code, round(avg(l_quantity), 6) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def sparse_mart(r: Roles) -> DataFrame:
+    """Parts as codes, too many for columns: sparse vectors by customer, given in long form."""
+    lines = r.table("lineitem").join(r.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = lines.select(F.concat(F.lit("C-"), "o_custkey").alias("USUBJID"), F.col("l_partkey").alias("LBTESTCD"), F.col("l_quantity").alias("LBSTRESN"))
+    cells = cut(features.finding_cells(named))
+    dictionary = sparse.code_dictionary(cells)
+    return sparse.as_cells(sparse.sparse_features(cells, dictionary), dictionary)
+
+
 LAB_COLS = [f"LAB_{c}_{s}" for s in ("MEAN", "count") for c in CODES]
 
 
