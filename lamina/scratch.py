@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches hold at most so many rows and about so many bytes, whole texts included.
 BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
-_runs: dict[str, tuple[str, object]] = {}
+_runs: dict[str, tuple[str, object, object]] = {}
 _local: list[str] = []
 
 
@@ -27,9 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
-def _delete(jvm, path: str) -> None:
+def _delete(jvm, conf, path: str) -> None:
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    at.getFileSystem(conf).delete(at, True)
 
 
 def run_dir(spark: SparkSession) -> str:
@@ -38,16 +38,16 @@ def run_dir(spark: SparkSession) -> str:
     if app not in _runs:
         if not _runs:
             atexit.register(clear)
-        _runs[app] = (f"{shared_dir(spark)}/lamina-{app}-{uuid.uuid4().hex}", spark._jvm)
+        _runs[app] = (f"{shared_dir(spark)}/lamina-{app}-{uuid.uuid4().hex}", spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     return _runs[app][0]
 
 
 def clear() -> None:
     """Remove the scratch tables of all applications of this driver; frames that read them can't be used afterwards."""
     while _runs:
-        path, jvm = _runs.popitem()[1]
+        path, jvm, conf = _runs.popitem()[1]
         try:
-            _delete(jvm, path)
+            _delete(jvm, conf, path)
         except Exception:  # noqa: BLE001,S110  a driver that is ending may have lost its file system: the folder then stays
             pass
 
@@ -74,7 +74,7 @@ def drop(df: DataFrame) -> None:
     """Delete the table that :func:`cut` wrote for ``df``, which nothing may read any more."""
     path = df.__dict__.get("_scratch")
     if path:
-        _delete(df.sparkSession._jvm, path)
+        _delete(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), path)
 
 
 def small_batches(spark: SparkSession) -> None:
