@@ -157,3 +157,19 @@ def test_redaction_of_many_spans_over_many_blocks(spark):
     df = spark.createDataFrame([(text,)], "text string")
     check(df)
     assert secret_scan.redact(df).first().text == want + text[at:]
+
+
+def test_random_strings_of_each_class_are_found(spark):
+    """Recall beyond the base patterns, by class and length: 20 characters are few for an entropy, 40 are nearly always found."""
+    import random
+    import string
+
+    draw, rows = random.Random(4), []
+    classes = {"hex": "0123456789abcdef", "alphanumeric": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_"}
+    for name, letters in classes.items():
+        for size in (20, 24, 32, 40):
+            rows += [(name, size, f"see {''.join(draw.choice(letters) for _ in range(size))} there") for _ in range(150)]
+    df = spark.createDataFrame(rows, "kind string, size int, text string").coalesce(4).withColumn("doc_id", F.monotonically_increasing_id())
+    found = secret_scan.scan(df).groupBy("kind", "size").agg(F.avg((F.size("spans") > 0).cast("double")).alias("share")).collect()
+    least = {20: 0.72, 24: 0.88, 32: 0.93, 40: 0.97}
+    assert len(found) == 16 and all(r["share"] >= least[r["size"]] for r in found), found
