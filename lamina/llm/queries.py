@@ -37,9 +37,9 @@ def op3_target_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = telephony.store_texts(table(spark, sf_dir, "documents"))
     read = stored.select("doc_id", "n_bytes", telephony.read_back(F.col("media")).alias("r")).select("doc_id", "n_bytes", "r.*")
-    # the resampled sound is a stored file of its own: the query names it by size and digest
+    # the resampled sound is stored beside it, with its own size and digest
     digests = [F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256")]
-    return read.select(*[c for c in read.columns if c != "pcm"], *digests)
+    return read.select(*[c for c in read.columns if c != "pcm"], *digests, "pcm")
 
 
 def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
