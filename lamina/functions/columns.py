@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 #: Texts that mean "missing".
 MISSING_TOKENS = ("", "nan", "none", "null", "na", "n/a", "nat")
 UNKNOWN_TOKENS = ("UNKNOWN", "UNK")
+#: Parts of column names that mean a date.
 DATE_HINTS = ("date", "dt", "start", "stop", "birth", "death")
 
 
