@@ -12,7 +12,8 @@ from lamina.llm.sql import ORACLE
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found, df = con.sql(ORACLE[name]), queries()[name](spark, sf)
     columns = sorted(df.columns)
     assert columns == sorted(found.columns)
