@@ -4,7 +4,7 @@ Token totals of source x language x topic cells are raked to the target
 marginals, never beyond what a cell holds; documents are then sampled with the
 calibrated probability of their cell, systematically: a cell's documents in the order of their draws, up to its share of
 tokens, so cells meet their totals to within a document. Topics are clusters of hashed token
-counts, fitted on a bounded sample; tokens are those of the packing vocabulary.
+counts, fitted on all different texts; tokens are those of the packing vocabulary.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Share of all tokens to sample, and exponents that temper observed shares where no target is given.
 RATE, TEMPER = 0.7, {"source": 0.7, "lang": 0.8, "topic": 1.0}
 SEED = 11
-#: Topics, the places that token ids are hashed to, and the texts that topics are fitted on, at most.
+#: Topics, the places that token ids are hashed to, and the texts that give the centres' starting points, at most.
 TOPICS, PLACES, SAMPLE = 12, 512, 4_000
 EMPTY = "empty"
-#: Runs of the clustering from other starts, of which the tightest counts.
+#: Seeded runs over the texts of the starting points, of which the tightest is where the fit over all texts starts.
 STARTS = 6
+#: Rounds over all texts, at most; they end before if no centre moves.
+SWEEPS = 40
 #: Parts of [0, 1) that a cell's tokens are summed in, to find the draw where its share is reached.
 PARTS = 1_024
 #: Up to so many cells are raked in memory, more as a Spark table by the same steps.
@@ -77,7 +79,11 @@ def cluster(counts: np.ndarray, langs: list[str | None], topics: int = TOPICS, r
         means[lang] = x[[v == lang for v in langs]].mean(0)
     if len(x) < topics:
         return Topics(weights, means, np.zeros((0, PLACES)))
-    x = _unit(x - np.stack([means[v] for v in langs]))
+    return Topics(weights, means, _started(_unit(x - np.stack([means[v] for v in langs])), topics, rounds))
+
+
+def _started(x: np.ndarray, topics: int, rounds: int = 40) -> np.ndarray:
+    """Centres of the tightest of STARTS seeded runs over unit rows."""
     best, tightest = None, -np.inf
     for start in range(STARTS):
         seeded = np.random.default_rng([SEED, start])
@@ -98,43 +104,125 @@ def cluster(counts: np.ndarray, langs: list[str | None], topics: int = TOPICS, r
         tight = (x @ centres.T).max(1).sum()
         if tight > tightest:
             best, tightest = centres, tight
-    return Topics(weights, means, best)
+    return best
 
 
-def fit_topics(df: DataFrame, text: str = "text", limit: int = SAMPLE, topics: int = TOPICS, tokenizer: str | None = None) -> Topics:
-    """Topics from at most ``limit`` different texts, those with the smallest digests; only their place counts reach the driver."""
-    small_batches(df.sparkSession)
-    share = min(1.0, 4.0 * limit / max(df.count(), 1))
-    drawn = df.select(text_tag(F.col(f"`{text}`")).alias("tag"), F.col(f"`{text}`").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text") != "")
-    if share < 1:
-        drawn = drawn.where(F.col("tag") <= int(-(2**63) + share * 2**64))
-    drawn = drawn.groupBy("tag").agg(F.first("text").alias("text"), F.min("lang").alias("lang"))
-
-    @F.arrow_udf("array<int>")
-    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = worker_encoder(tokenizer).ids
-        for texts in batches:
-            yield pa.array([np.bincount(places(ids(x.as_py())), minlength=PLACES).astype(np.int32) for x in texts], pa.list_(pa.int32()))
+def packed(counts: np.ndarray) -> bytes:
+    """Place counts in one byte each, or in four each if one is above 255."""
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpacked(cells: pa.Array) -> np.ndarray:
+    """A row of place counts for each of ``cells``."""
+    rows = [np.frombuffer(x, "u1" if len(x) == PLACES else "<u4") for x in cells.to_pylist()]
+    return np.stack(rows).astype(float) if rows else np.zeros((0, PLACES))
+
 
-    counts = cut(drawn.select("tag", "lang", counted(F.col("text")).alias("counts")))
-    rows = counts.orderBy("tag").limit(limit).select("counts", "lang").toArrow()
-    return cluster(np.asarray(rows.column("counts").combine_chunks().flatten(), dtype=float).reshape(len(rows), PLACES), rows.column("lang").to_pylist(), topics)
+def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return _unit(np.log1p(counts) * weights)
 
 
-def read_texts(text: Column, lang: Column, topics: Topics, tokenizer: str | None = None) -> Column:
-    """Struct of ``topic`` and ``n_tokens``, at least 1: a row weighs something however short it is. Null texts are empty."""
+def _less_means(x: np.ndarray, langs: list[str | None], means: Mapping[str | None, np.ndarray]) -> np.ndarray:
+    """Rows less the mean of their language, of all where that is unknown."""
+    out = x - means[None]
+    for lang in {v for v in langs if v is not None and v in means}:
+        own = [k for k, v in enumerate(langs) if v == lang]
+        out[own] = x[own] - means[lang]
+    return out
 
-    @F.arrow_udf("struct<topic: string, n_tokens: long>")
-    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+
+def _totals(texts: DataFrame, keyed) -> dict[str | None, tuple[int, np.ndarray]]:
+    """Rows and sums by key of what ``keyed`` (counts, langs) gives for each batch: pairs of a key and rows. Tasks add up their own; only sums reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                for key, x in keyed(unpacked(batch.column("counts")), batch.column("lang").to_pylist()):
+                    n, total = sums.get(key, (0, 0.0))
+                    sums[key] = (n + len(x), total + x.sum(0))
+        names = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k][0] for k in names], pa.int64()), pa.array([sums[k][1].tobytes() for k in names], pa.binary())], names=["key", "n", "total"])
+
+    out: dict = {}
+    for r in texts.select("counts", "lang").mapInArrow(add, "key string, n long, total binary").collect():
+        n, total = out.get(r["key"], (0, 0.0))
+        out[r["key"]] = (n + r["n"], total + np.frombuffer(r["total"]))
+    return out
+
+
+def _fit(counted: DataFrame, limit: int = SAMPLE, topics: int = TOPICS, sweeps: int = SWEEPS) -> Topics:
+    """Topics from all different texts of ``counted`` (tag, lang, counts, tokens): weights, means and centres are sums over all of them.
+
+    The ``limit`` texts with the smallest digests only give the centres' starting points.
+    """
+    texts = cut(counted.where("tokens > 0").groupBy("tag").agg(F.first("counts").alias("counts"), F.min("lang").alias("lang")))
+    seen = _totals(texts, lambda counts, langs: [(None, (counts > 0).astype(float))])
+    n, places_in = seen.get(None, (0, np.zeros(PLACES)))
+    weights = np.log((1 + n) / (1 + places_in)) + 0.1
+
+    def by_lang(counts: np.ndarray, langs: list[str | None]) -> list[tuple]:
+        x = _weighted(counts, weights)
+        return [(v, x[[y == v for y in langs]]) for v in set(langs)]
+
+    found = _totals(texts, by_lang)
+    whole = sum((total for _, total in found.values()), np.zeros(PLACES)) / max(n, 1)
+    means = {None: whole} | {v: total / m for v, (m, total) in sorted((k, x) for k, x in found.items() if k is not None)}
+    if n < topics:
+        return Topics(weights, means, np.zeros((0, PLACES)))
+    rows = texts.orderBy("tag").limit(max(limit, topics)).select("counts", "lang").toArrow()
+    centres = _started(_unit(_less_means(_weighted(unpacked(rows.column("counts").combine_chunks()), weights), rows.column("lang").to_pylist(), means)), topics)
+    for _ in range(sweeps):
+        now = centres
+
+        def by_topic(counts: np.ndarray, langs: list[str | None], now: np.ndarray = now) -> list[tuple]:
+            x = _unit(_less_means(_weighted(counts, weights), langs, means))
+            own = np.argmax(x @ now.T, 1)
+            return [(str(k), x[own == k]) for k in np.unique(own)]
+
+        sums = _totals(texts, by_topic)
+        centres = _unit(np.stack([sums[str(k)][1] if str(k) in sums else now[k] for k in range(topics)]))
+        if np.abs(centres - now).max() < 1e-9:
+            break
+    drop(texts)
+    return Topics(weights, means, centres)
+
+
+def read_counts(text: Column, tokenizer: str | None = None) -> Column:
+    """Struct of ``tokens`` and packed place ``counts``. Null texts are empty."""
+
+    @F.arrow_udf("struct<tokens: long, counts: binary>")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids_of = worker_encoder(tokenizer).ids
-        for texts, langs in batches:
+        for texts in batches:
             rows = []
-            for x, y in zip(texts, langs, strict=True):
+            for x in texts:
                 ids = ids_of(x.as_py() or "")
-                rows.append({"topic": topics.of(ids, y.as_py()), "n_tokens": max(1, len(ids))})
-            yield pa.array(rows, pa.struct([("topic", pa.string()), ("n_tokens", pa.int64())]))
+                rows.append({"tokens": len(ids), "counts": packed(np.bincount(places(ids), minlength=PLACES))})
+            yield pa.array(rows, pa.struct([("tokens", pa.int64()), ("counts", pa.binary())]))
+
+    return read(text.cast("string"))
+
+
+def fit_topics(df: DataFrame, text: str = "text", limit: int = SAMPLE, topics: int = TOPICS, tokenizer: str | None = None) -> Topics:
+    """Topics from all different texts of ``df`` with tokens, started from at most ``limit``; only sums and the starting texts' counts reach the driver."""
+    small_batches(df.sparkSession)
+    own = F.col(f"`{text}`")
+    return _fit(cut(df.select(text_tag(own).alias("tag"), F.col("lang").cast("string").alias("lang"), read_counts(own, tokenizer).alias("r")).select("tag", "lang", "r.*")), limit, topics)
+
+
+def topic_of(counts: Column, tokens: Column, lang: Column, topics: Topics) -> Column:
+    """The topic of packed counts, as :meth:`Topics.of` gives it."""
+
+    @F.arrow_udf("string")
+    def near(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for held, sizes, langs in batches:
+            own = np.zeros(len(held), int)
+            if len(topics.centres) and len(held):
+                own = np.argmax(_less_means(_weighted(unpacked(held), topics.weights), langs.to_pylist(), topics.means) @ topics.centres.T, 1)
+            yield pa.array([f"topic_{k}" if n else EMPTY for k, n in zip(own, sizes.to_pylist(), strict=True)], pa.string())
 
-    return read(text.cast("string"), lang.cast("string"))
+    return near(counts, tokens, lang)
 
 
 def tempered(shares: Mapping[str, float], exponent: float) -> dict[str, float]:
@@ -262,13 +350,18 @@ def cutoffs(marked: DataFrame, solved: DataFrame, parts: int = PARTS) -> DataFra
 
 
 def _with_cells(df: DataFrame, targets, rate: float, temper: Mapping[str, float], seed: int, text: str, doc_id: str, columns: list[str], in_memory: int) -> DataFrame:
-    # the texts are tokenized once; raking and sampling read what is kept
+    # the texts are tokenized once; the fit, raking and sampling read what is kept
     small_batches(df.sparkSession)
-    topics = fit_topics(df, text)
     held = [F.col(f"`{c}`") for c in columns]
     keys = [F.col(c).cast("string").alias(f"__{c}") for c in ("source", "lang")]
-    number = draw(F.col(f"`{doc_id}`"), text_tag(F.col(f"`{text}`")), seed)
-    marked = cut(df.select(*held, *keys, number.alias("__draw"), read_texts(F.col(f"`{text}`"), F.col("lang"), topics).alias("__read")).select("*", F.col("__read.topic").alias("__topic"), F.col("__read.n_tokens").alias("__n_tokens")).drop("__read"))
+    tag = text_tag(F.col(f"`{text}`"))
+    number = draw(F.col(f"`{doc_id}`"), tag, seed)
+    counted = cut(df.select(*held, *keys, tag.alias("__tag"), number.alias("__draw"), read_counts(F.col(f"`{text}`")).alias("__read")).select("*", F.col("__read.tokens").alias("__tokens"), F.col("__read.counts").alias("__counts")).drop("__read"))
+    topics = _fit(counted.select(F.col("__tag").alias("tag"), F.col("__lang").alias("lang"), F.col("__tokens").alias("tokens"), F.col("__counts").alias("counts")))
+    named = topic_of(F.col("__counts"), F.col("__tokens"), F.col("__lang"), topics).alias("__topic")
+    # a row weighs something however short it is
+    marked = cut(counted.select(*held, *[f"__{c}" for c in ("source", "lang", "draw")], named, F.greatest(F.col("__tokens"), F.lit(1)).alias("__n_tokens")))
+    drop(counted)
     cells = cut(marked.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__n_tokens").alias("held")))
     solved = cut(probabilities(cells, targets, rate, temper, in_memory).select(*[F.col(d).alias(f"__c_{d}") for d in DIMENSIONS], F.col("probability").alias("__probability")))
     on = F.lit(True)

@@ -137,3 +137,40 @@ def test_clusters_part_unlike_texts():
     topics = mixing.cluster(counts, [None] * 300, 3)
     own = [topics.of(np.repeat(ids, x[mixing.places(ids)].astype(int))) for x in counts]
     assert all(own[k] == own[k % 3] for k in range(300)) and len(set(own)) == 3
+
+
+def test_topics_are_fitted_on_all_texts(documents):
+    topics = mixing.fit_topics(documents, limit=50)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    langs = {}
+    for r in documents.collect():
+        if r.text:
+            langs[r.text] = min(langs.get(r.text, r.lang), r.lang)
+    texts = list(langs)
+    counts = np.zeros((len(texts), mixing.PLACES))
+    for k, x in enumerate(texts):
+        for i in t.encode(x, add_special_tokens=False).ids:
+            counts[k, (i * 0x9E3779B97F4A7C15 % 2**64) >> 55] += 1
+    assert len(texts) > 100
+    assert np.allclose(topics.weights, np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 0.1)
+    x = np.log1p(counts) * topics.weights
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    for lang, mean in topics.means.items():
+        assert np.allclose(mean, x[[lang is None or langs[v] == lang for v in texts]].mean(0))
+    x = x - np.stack([topics.means[langs[v]] for v in texts])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    own = np.argmax(x @ topics.centres.T, 1)
+    # centres are those of the texts that are nearest to them
+    for k in np.unique(own):
+        centre = x[own == k].sum(0)
+        assert np.allclose(centre / np.sqrt(centre @ centre), topics.centres[k], atol=1e-6)
+
+
+def test_counts_of_one_and_four_bytes():
+    import pyarrow as pa
+
+    rows = np.zeros((2, mixing.PLACES), int)
+    rows[0, 3], rows[1, 4] = 255, 70_000
+    cells = pa.array([mixing.packed(x) for x in rows], pa.binary())
+    assert [len(x.as_py()) for x in cells] == [mixing.PLACES, 4 * mixing.PLACES]
+    assert (mixing.unpacked(cells) == rows).all()
