@@ -2,10 +2,12 @@
 
 A page is read into blocks of text, each with the zone its markup puts it in.
 Blocks in zones that markup names as furniture (menus, headers, footers,
-adverts, forms, scripts, comments) go. A page with an article element gives
-the blocks in it. On other pages, lines that the nearest other pages by URL
-path on the same host also show, aligned by longest common subsequence, are
-template text and go.
+adverts, forms, scripts, comments) go. Every page is compared with the nearest
+other pages by URL path on the same host: lines that they also show, aligned by
+longest common subsequence, are template text. On pages without an article
+element all of it goes. A page with one gives the blocks in it, less template
+lines that are nothing but links (share bars, lists of related pages): a
+sentence of an article that its neighbours repeat is still its text.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 PART = re.compile(r"[\s_-]+")
+WORD = re.compile(r"[^\W_]")
 
 
 def _named(value: str, marks: frozenset[str]) -> bool:
@@ -142,15 +145,21 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
-    """``(text, in_article)`` of each text block outside furniture, in page order.
+    """``(text, in_article)`` of each text block outside furniture, in page order, as :func:`linked_blocks` reads them."""
+    return [x[:2] for x in linked_blocks(page)]
+
+
+def linked_blocks(page: str) -> list[tuple[str, bool, bool]]:
+    """``(text, in_article, linked)`` of each text block outside furniture, in page order; ``linked`` if all its letters and digits, and there are some, are those of links.
 
     Inside an article, header elements that hold its heading are part of it, text elements stay whatever their names,
     and containers go by compound names and a few single ones. Labels of controls and titles of drawings are no text. Hidden elements are read like others.
     Unclosed and stray tags are tolerated; character references are decoded and
     white space within a block becomes one space.
     """
-    found: list[tuple[str, bool]] = []
+    found: list[tuple[str, bool, bool]] = []
     piece: list[str] = []
+    words: list[bool] = []  # of each piece with letters or digits: whether it is a link's
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
     opened: dict[str, int] = {}
     gone = within = False
@@ -160,12 +169,17 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             text = " ".join(entities.unescape("".join(piece)).split())
             piece.clear()
             if text:
-                found.append((text, within))
+                found.append((text, within, bool(words) and all(words)))
+        words.clear()
 
     for kind, tag, rest in _tokens(page):
         if kind == "text":
             if not gone:
                 piece.append(rest)
+                link = bool(opened.get("a"))
+                # text beside links decides by its first word; what has none, like bars between links, doesn't count
+                if link not in words and WORD.search(entities.unescape(rest)):
+                    words.append(link)
             continue
         if tag not in INLINE:
             close()
@@ -247,19 +261,19 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
 
 
-READ = T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("guarded", T.ArrayType(T.BooleanType()))])
+READ = T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("guarded", T.ArrayType(T.BooleanType())), T.StructField("linked", T.ArrayType(T.BooleanType()))])
 
 
 def read_blocks(page: Column) -> Column:
-    """Texts of the blocks of a page and whether an article holds each; null pages have none."""
+    """Texts of the blocks of a page, whether an article holds each and whether it is all links; null pages have none."""
 
     @F.arrow_udf(READ)
     def read(pages: pa.Array) -> pa.Array:
         rows = []
         for x in pages:
-            found = blocks(x.as_py() or "")
-            rows.append({"texts": [t for t, _ in found], "guarded": [g for _, g in found]})
-        return pa.array(rows, pa.struct([("texts", pa.list_(pa.string())), ("guarded", pa.list_(pa.bool_()))]))
+            found = linked_blocks(x.as_py() or "")
+            rows.append({"texts": [t for t, _, _ in found], "guarded": [g for _, g, _ in found], "linked": [k for _, _, k in found]})
+        return pa.array(rows, pa.struct([("texts", pa.list_(pa.string())), ("guarded", pa.list_(pa.bool_())), ("linked", pa.list_(pa.bool_()))]))
 
     return read(page)
 
@@ -297,7 +311,7 @@ def _runs(placed: DataFrame, group: int, near: float) -> tuple[DataFrame, DataFr
         own = [at // group == number for at in places]
         return part.append_column("begins", pa.array(begins, pa.bool_())).filter(pa.array(own))
 
-    marked = cut(dealt.groupBy("task").applyInArrow(mark, "host string, lines array<long>, sizes array<int>, at long, task long, begins boolean"))
+    marked = cut(dealt.groupBy("task").applyInArrow(mark, "host string, lines array<long>, sizes array<int>, open boolean, at long, task long, begins boolean"))
     # a run is known by the place it begins at: for each task the last beginning before it, then the end of the run that crosses its border
     tasks = marked.groupBy("task").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min(F.when(F.col("begins"), F.col("at"))).alias("opens"), F.max(F.when(F.col("begins"), F.col("at"))).alias("opened"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -308,20 +322,20 @@ def _runs(placed: DataFrame, group: int, near: float) -> tuple[DataFrame, DataFr
 
 
 def template_lines(pages: DataFrame, group: int = GROUP, near: float = NEAR) -> DataFrame:
-    """``(host, lines, gone)``: positions of the lines that neighbours share, of pages with any.
+    """``(host, lines, gone)``: positions of the lines that neighbours share, of ``open`` pages with any.
 
-    ``pages`` has host, path, url, lines (hashes) and sizes. Pages of a host with equal lines are
+    ``pages`` has host, path, url, lines (hashes), sizes and open; all of them are compared. Pages of a host with equal lines are
     one page, at the place of the first URL among theirs, so copies are no neighbours. The order is that of host, path and
     whole URL, whatever the size of a host. Near copies in a row are one run, of any length, whose pages all have the pages just
     before and just after it as their neighbours. Tasks take ``group`` pages in a row and those beside their first and last runs.
     """
     first = F.min(F.struct("path", "url")).alias("first")
-    single = pages.groupBy("host", "lines").agg(first, F.first("sizes").alias("sizes")).select("host", "first.*", "lines", "sizes")
-    placed = _numbered(single.withColumn("mark", F.xxhash64("lines")), ["host", "path", "url", "mark"], group).select("host", "lines", "sizes", "at")
+    single = pages.groupBy("host", "lines").agg(first, F.first("sizes").alias("sizes"), F.bool_or("open").alias("open")).select("host", "first.*", "lines", "sizes", "open")
+    placed = _numbered(single.withColumn("mark", F.xxhash64("lines")), ["host", "path", "url", "mark"], group).select("host", "lines", "sizes", "open", "at")
     marked, sides = _runs(placed, group, near)
     wanted = sides.select(F.col("task").alias("for"), F.explode(F.array_compact(F.array("left", "right"))).alias("place"))
-    beside = wanted.join(marked, F.col("place") == F.col("at")).select("host", "lines", "sizes", "at", F.col("for").alias("task"), "begins")
-    dealt = marked.select("host", "lines", "sizes", "at", "task", "begins").unionByName(beside)
+    beside = wanted.join(marked, F.col("place") == F.col("at")).select("host", "lines", "sizes", "open", "at", F.col("for").alias("task"), "begins")
+    dealt = marked.select("host", "lines", "sizes", "open", "at", "task", "begins").unionByName(beside)
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.sort_by("at")
@@ -333,7 +347,8 @@ def template_lines(pages: DataFrame, group: int = GROUP, near: float = NEAR) ->
         for a, b in zip(runs, runs[1:], strict=False):
             sides = [rows[k] for k in (a - 1, b) if 0 <= k < len(rows)]
             gone |= {k: template_of(rows[k], sides, near) for k in range(a, b)}
-        kept = [k for k in own if len(gone[k])]
+        loose = part.column("open").to_pylist()
+        kept = [k for k in own if loose[k] and len(gone[k])]
         hosts, lines = part.column("host").take(pa.array(kept, pa.int64())), part.column("lines").take(pa.array(kept, pa.int64()))
         return pa.table({"host": hosts, "lines": lines, "gone": pa.array([gone[k].astype(np.int32) for k in kept], pa.list_(pa.int32()))})
 
@@ -343,10 +358,11 @@ def template_lines(pages: DataFrame, group: int = GROUP, near: float = NEAR) ->
 def extract_pages(df: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", group: int = GROUP, near: float = NEAR) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``df``.
 
-    Pages with an ``article`` or ``main`` element give its text; other pages give
-    their unfurnished blocks less the lines shared with their neighbours. Null
+    All pages are compared with their neighbours. Pages with an ``article`` or ``main`` element give
+    its text less the shared lines that are all links; other pages give
+    their unfurnished blocks less all shared lines. Null
     html gives an empty text; null URLs form a host of their own. Repeated
-    rows each give a row, and equal pages of a host share one decision. Pages are read once,
+    rows each give a row, and equal pages of a host share one comparison. Pages are read once,
     and their blocks kept in the scratch folder. An empty table gives no rows; other columns of ``df`` are not read.
     """
     small_batches(df.sparkSession)
@@ -354,15 +370,14 @@ def extract_pages(df: DataFrame, html: str = "html", url: str = "url", page_id:
     at = F.coalesce(F.col("url").cast("string"), F.lit(""))
     read = cut(pages.select("page_id", "url", url_host(at).alias("host"), url_path(at).alias("path"), read_blocks(F.col("html")).alias("b")).select("page_id", "url", "host", "path", "b.*"))
     closed = F.exists("guarded", lambda g: g)
-    inside = F.transform(F.filter(F.arrays_zip("texts", "guarded"), lambda x: x["guarded"]), lambda x: x["texts"])
-    whole = read.where(closed).select("page_id", "url", F.array_join(inside, " ").alias("text"))
-    rest = read.where(~closed).withColumn("lines", F.transform("texts", lambda t: F.xxhash64(t)))
-    if rest.isEmpty():
-        texts = whole
-    else:
-        marked = rest.where(F.size("texts") > 0).select("host", "path", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), "lines", F.transform("texts", F.char_length).alias("sizes"))
-        drops = cut(template_lines(marked, group, near).select(F.col("host").alias("h"), F.col("lines").alias("l"), "gone"))
-        joined = rest.join(drops, (F.col("host") == F.col("h")) & (F.col("lines") == F.col("l")), "left")
-        kept = F.filter("texts", lambda _, k: ~F.array_contains(F.coalesce("gone", F.expr("cast(array() as array<int>)")), k))
-        texts = whole.union(joined.select("page_id", "url", F.array_join(kept, " ").alias("text")))
-    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+    # blocks that go if neighbours share them: all of a page without an article, those that are all links in an article
+    loose = F.when(closed, F.zip_with("guarded", "linked", lambda g, k: g & k)).otherwise(F.transform("guarded", lambda _: F.lit(True)))
+    lined = read.withColumns({"lines": F.transform("texts", lambda t: F.xxhash64(t)), "loose": loose})
+    shown = F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")
+    marked = lined.where(F.size("texts") > 0).select("host", "path", shown, "lines", F.transform("texts", F.char_length).alias("sizes"), F.exists("loose", lambda x: x).alias("open"))
+    # only pages that may lose a line are looked up, or all texts would travel to the lines that their articles keep
+    drops = cut(template_lines(marked, group, near).select(F.col("host").alias("h"), F.col("lines").alias("l"), "gone"))
+    joined = lined.join(drops, (F.col("host") == F.col("h")) & (F.col("lines") == F.col("l")), "left")
+    gone = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
+    stays = lambda _, k: ~(F.array_contains(gone, k) & F.get("loose", k)) & (~closed | F.get("guarded", k))
+    return joined.select("page_id", "url", F.array_join(F.filter("texts", stays), " ").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

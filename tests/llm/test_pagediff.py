@@ -181,3 +181,25 @@ def test_alignment_is_a_longest_common_subsequence(a, b):
     mask = pagediff.shared_lines(np.array(a, np.int64), np.array(b, np.int64))
     kept, rest = [x for x, k in zip(a, mask, strict=True) if k], iter(b)
     assert len(kept) == best[-1][-1] and all(x in rest for x in kept)
+
+
+def article(before, after, *lines):
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    return f"<html><body>{before}<article>{body}</article>{after}</body></html>"
+
+
+def test_pages_with_an_article_are_compared_too(spark):
+    share, own = '<a href="/f">Share</a> | <a href="/m">Mail</a>', lambda k: f'<a href="/{k}">source {k}</a>'
+    rows = [(k, f"http://h/{k}", article("<p>Menu</p>", "<p>Imprint</p>", f"story {k} " * 9, "a sentence of all articles", share, own(k), 'with a <a href="/x">link</a>')) for k in range(5)]
+    # its neighbours are pages with an article
+    rows.append((9, "http://h/2x", page("Menu", "a page without an article but with a text of its own", "Imprint")))
+    rows.append((10, "http://alone/", article("", "", "story", share)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wanted = {k: f"story {k} " * 9 + f"a sentence of all articles source {k} with a link" for k in range(5)} | {9: "a page without an article but with a text of its own", 10: "story Share | Mail"}
+    for group in (1, 3, 2000):
+        assert {r.page_id: r.text for r in pagediff.extract_pages(df, group=group).collect()} == wanted
+
+
+def test_blocks_of_links_alone():
+    inside = '<article><p><a>one</a> &middot; <a>two</a></p><p>see <a>three</a></p><p><a>four</a> too</p><p>&mdash;</p><p><a><b>five</b></a></p><p>six</p></article>'
+    assert [(t, k) for t, _, k in pagediff.linked_blocks(inside)] == [("one · two", True), ("see three", False), ("four too", False), ("—", False), ("five", True), ("six", False)]
