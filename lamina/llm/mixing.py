@@ -32,6 +32,8 @@ EMPTY = "empty"
 STARTS = 6
 #: Rounds over all texts, at most; they end before if no centre moves.
 SWEEPS = 40
+#: Texts of one row of the table that the rounds read.
+BLOCK = 32
 #: Parts of [0, 1) that a cell's tokens are summed in, to find the draw where its share is reached.
 PARTS = 1_024
 #: Up to so many cells are raked in memory, more as a Spark table by the same steps.
@@ -118,27 +120,44 @@ def unpacked(cells: pa.Array) -> np.ndarray:
     return np.stack(rows).astype(float) if rows else np.zeros((0, PLACES))
 
 
-def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return _unit(np.log1p(counts) * weights)
+LOGS = np.log1p(np.arange(256.0))
 
 
-def _less_means(x: np.ndarray, langs: list[str | None], means: Mapping[str | None, np.ndarray]) -> np.ndarray:
-    """Rows less the mean of their language, of all where that is unknown."""
-    out = x - means[None]
-    for lang in {v for v in langs if v is not None and v in means}:
-        own = [k for k, v in enumerate(langs) if v == lang]
-        out[own] = x[own] - means[lang]
+def _logs(cells: pa.Array) -> np.ndarray:
+    """The logarithms of one more than each place count, a row for each of ``cells``."""
+    rows = cells.to_pylist()
+    wide = np.array([len(x) != PLACES for x in rows], bool)
+    out = np.empty((len(rows), PLACES))
+    out[~wide] = LOGS[np.frombuffer(b"".join([x for x in rows if len(x) == PLACES]), "u1")].reshape(-1, PLACES)
+    if wide.any():
+        out[wide] = np.log1p(unpacked(cells.filter(pa.array(wide))))
     return out
 
 
+def _scales(logs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What makes each weighted row a unit vector."""
+    return 1.0 / np.maximum(np.sqrt((logs * logs) @ (weights * weights)), 1e-12)
+
+
+def _codes(langs: list[str | None], means: Mapping[str | None, np.ndarray]) -> np.ndarray:
+    """The place of each language among ``means``, that of all texts (the first) where it is unknown."""
+    place = {v: k for k, v in enumerate(means)}
+    return np.array([place.get(v, place[None]) for v in langs], "<i4")
+
+
+def _nearest(logs: np.ndarray, scales: np.ndarray, codes: np.ndarray, centres: np.ndarray, weights: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """The centre nearest by angle to each unit row less the mean of its language."""
+    return np.argmax(logs @ (centres * weights).T * scales[:, None] - (means @ centres.T)[codes], 1)
+
+
 def _totals(texts: DataFrame, keyed) -> dict[str | None, tuple[int, np.ndarray]]:
-    """Rows and sums by key of what ``keyed`` (counts, langs) gives for each batch: pairs of a key and rows. Tasks add up their own; only sums reach the driver."""
+    """Rows and sums by key of what ``keyed`` (logs, langs) gives for each batch: pairs of a key and rows. Tasks add up their own; only sums reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
             if batch.num_rows:
-                for key, x in keyed(unpacked(batch.column("counts")), batch.column("lang").to_pylist()):
+                for key, x in keyed(_logs(batch.column("counts")), batch.column("lang").to_pylist()):
                     n, total = sums.get(key, (0, 0.0))
                     sums[key] = (n + len(x), total + x.sum(0))
         names = list(sums)
@@ -151,40 +170,86 @@ def _totals(texts: DataFrame, keyed) -> dict[str | None, tuple[int, np.ndarray]]
     return out
 
 
+def _blocks(texts: DataFrame, weights: np.ndarray, means: Mapping[str | None, np.ndarray]) -> DataFrame:
+    """The texts in rows of up to BLOCK: place counts (all of one width), codes of languages, and what makes unit vectors of the weighted counts and of those less their means.
+
+    What doesn't change from round to round is worked out once. Rows are small, for Spark reads thousands of them at a time.
+    """
+    table = np.stack(list(means.values()))
+    names = ["counts", "codes", "scales", "leans"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("counts")
+            logs, codes = _logs(cells), _codes(batch.column("lang").to_pylist(), means)
+            scales = _scales(logs, weights)
+            rest = logs * weights * scales[:, None] - table[codes]
+            leans = 1.0 / np.maximum(np.sqrt((rest * rest).sum(1)), 1e-12)
+            rows, found = cells.to_pylist(), []
+            for width, most in ((PLACES, BLOCK), (4 * PLACES, BLOCK // 4)):
+                own = [k for k, x in enumerate(rows) if len(x) == width]
+                for at in range(0, len(own), most):
+                    some = own[at : at + most]
+                    found.append((b"".join([rows[k] for k in some]), *[x[some].tobytes() for x in (codes, scales, leans)]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in range(len(names))], names=names)
+
+    return cut(texts.select("counts", "lang").mapInArrow(gather, ", ".join(f"{c} binary" for c in names)))
+
+
+def _moved(blocks: DataFrame, centres: np.ndarray, weights: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """The centres of the texts nearest to each of ``centres``: unit sums of unit vectors. Tasks add up their own; a centre without texts stays."""
+    shape, held = centres.shape, (len(centres), len(means))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, less = np.zeros(shape), np.zeros(held)
+        for batch in batches:
+            for counts, *facts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                codes, scales, leans = (np.frombuffer(x, kind) for x, kind in zip(facts, ("<i4", "f8", "f8"), strict=True))
+                narrow = len(counts) == len(codes) * PLACES
+                logs = (LOGS[np.frombuffer(counts, "u1")] if narrow else np.log1p(np.frombuffer(counts, "<u4").astype(float))).reshape(-1, PLACES)
+                own = _nearest(logs, scales, codes, centres, weights, means)
+                part = np.zeros((len(centres), len(codes)))
+                part[own, np.arange(len(codes))] = scales * leans
+                sums += part @ logs
+                np.add.at(less, (own, codes), leans)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sums, less)], names=["sums", "less"])
+
+    rows = blocks.mapInArrow(add, "sums binary, less binary").collect()
+    sums = sum((np.frombuffer(r["sums"]) for r in rows), np.zeros(centres.size)).reshape(shape)
+    less = sum((np.frombuffer(r["less"]) for r in rows), np.zeros(held[0] * held[1])).reshape(held)
+    return np.where((less > 0).any(1)[:, None], _unit(sums * weights - less @ means), centres)
+
+
 def _fit(counted: DataFrame, limit: int = SAMPLE, topics: int = TOPICS, sweeps: int = SWEEPS) -> Topics:
     """Topics from all different texts of ``counted`` (tag, lang, counts, tokens): weights, means and centres are sums over all of them.
 
     The ``limit`` texts with the smallest digests only give the centres' starting points.
     """
     texts = cut(counted.where("tokens > 0").groupBy("tag").agg(F.first("counts").alias("counts"), F.min("lang").alias("lang")))
-    seen = _totals(texts, lambda counts, langs: [(None, (counts > 0).astype(float))])
+    seen = _totals(texts, lambda logs, langs: [(None, (logs > 0).astype(float))])
     n, places_in = seen.get(None, (0, np.zeros(PLACES)))
     weights = np.log((1 + n) / (1 + places_in)) + 0.1
 
-    def by_lang(counts: np.ndarray, langs: list[str | None]) -> list[tuple]:
-        x = _weighted(counts, weights)
-        return [(v, x[[y == v for y in langs]]) for v in set(langs)]
+    def by_lang(logs: np.ndarray, langs: list[str | None]) -> list[tuple]:
+        x, of = logs * weights * _scales(logs, weights)[:, None], np.array(langs, object)
+        return [(v, x[of == v]) for v in set(langs)]
 
     found = _totals(texts, by_lang)
     whole = sum((total for _, total in found.values()), np.zeros(PLACES)) / max(n, 1)
     means = {None: whole} | {v: total / m for v, (m, total) in sorted((k, x) for k, x in found.items() if k is not None)}
     if n < topics:
         return Topics(weights, means, np.zeros((0, PLACES)))
+    table = np.stack(list(means.values()))
     rows = texts.orderBy("tag").limit(max(limit, topics)).select("counts", "lang").toArrow()
-    centres = _started(_unit(_less_means(_weighted(unpacked(rows.column("counts").combine_chunks()), weights), rows.column("lang").to_pylist(), means)), topics)
+    first = _logs(rows.column("counts").combine_chunks())
+    centres = _started(_unit(first * weights * _scales(first, weights)[:, None] - table[_codes(rows.column("lang").to_pylist(), means)]), topics)
+    blocks = _blocks(texts, weights, means)
+    drop(texts)
     for _ in range(sweeps):
-        now = centres
-
-        def by_topic(counts: np.ndarray, langs: list[str | None], now: np.ndarray = now) -> list[tuple]:
-            x = _unit(_less_means(_weighted(counts, weights), langs, means))
-            own = np.argmax(x @ now.T, 1)
-            return [(str(k), x[own == k]) for k in np.unique(own)]
-
-        sums = _totals(texts, by_topic)
-        centres = _unit(np.stack([sums[str(k)][1] if str(k) in sums else now[k] for k in range(topics)]))
-        if np.abs(centres - now).max() < 1e-9:
+        before, centres = centres, _moved(blocks, centres, weights, table)
+        if np.abs(centres - before).max() < 1e-9:
             break
-    drop(texts)
+    drop(blocks)
     return Topics(weights, means, centres)
 
 
@@ -216,10 +281,12 @@ def topic_of(counts: Column, tokens: Column, lang: Column, topics: Topics) -> Co
 
     @F.arrow_udf("string")
     def near(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        table = np.stack(list(topics.means.values()))
         for held, sizes, langs in batches:
             own = np.zeros(len(held), int)
             if len(topics.centres) and len(held):
-                own = np.argmax(_less_means(_weighted(unpacked(held), topics.weights), langs.to_pylist(), topics.means) @ topics.centres.T, 1)
+                logs = _logs(held)
+                own = _nearest(logs, _scales(logs, topics.weights), _codes(langs.to_pylist(), topics.means), topics.centres, topics.weights, table)
             yield pa.array([f"topic_{k}" if n else EMPTY for k, n in zip(own, sizes.to_pylist(), strict=True)], pa.string())
 
     return near(counts, tokens, lang)

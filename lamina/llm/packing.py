@@ -37,22 +37,35 @@ LATIN_PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE
 KEPT_WORDS, LONGEST = 250_000, 40
 
 
+class Letters(dict):
+    """The byte alphabet's spelling of characters, kept as they are met."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        # printable bytes stand for themselves, the others for code points from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in printable)}
+        self.bytes = [chr(others.get(x, x)) for x in range(256)]
+
+    def __missing__(self, char: str) -> str:
+        self[char] = spelled = "".join([self.bytes[x] for x in char.encode()])
+        return spelled
+
+
 class Known(dict):
     """Ids of words, as bytes: a word that is missing is asked of the model and kept, if it is short."""
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        # the byte alphabet: printable bytes stand for themselves, the others for code points from 256 on
-        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.letters = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in printable)}
-        self.space, self.tokenize = chr(self.letters[32]), tokenizer.model.tokenize
+        self.letters, self.tokenize = Letters(), tokenizer.model.tokenize
+        self.space = self.letters[" "]
         self.spelled = [np.array([k], "<u4").tobytes() for k in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
             letters = word.replace(" ", self.space)
         else:
-            letters = word.encode().decode("latin-1").translate(self.letters)
+            letters = "".join(map(self.letters.__getitem__, word))
         spelled = self.spelled
         ids = b"".join([spelled[t.id] for t in self.tokenize(letters)])
         if len(word) <= LONGEST and len(self) < KEPT_WORDS:

@@ -174,3 +174,27 @@ def test_counts_of_one_and_four_bytes():
     cells = pa.array([mixing.packed(x) for x in rows], pa.binary())
     assert [len(x.as_py()) for x in cells] == [mixing.PLACES, 4 * mixing.PLACES]
     assert (mixing.unpacked(cells) == rows).all()
+
+
+def test_a_round_reads_blocks_and_moves_centres_as_a_plain_one(spark):
+    draw = np.random.default_rng(4)
+    counts = draw.poisson(0.3, (150, mixing.PLACES))
+    counts[::7, 5] = 300  # of four bytes
+    langs = [(None, "en", "de", "xx")[k % 4] for k in range(len(counts))]
+    rows = [(mixing.packed(x), v) for x, v in zip(counts, langs, strict=True)]
+    weights, means = draw.random(mixing.PLACES) + 0.1, {None: draw.random(mixing.PLACES) / 90, "de": draw.random(mixing.PLACES) / 90, "en": draw.random(mixing.PLACES) / 90}
+    centres = draw.normal(size=(6, mixing.PLACES))
+    centres = np.concatenate([centres / np.sqrt((centres * centres).sum(1, keepdims=True)), np.full((1, mixing.PLACES), -1.0)])
+    blocks = mixing._blocks(spark.createDataFrame(rows, "counts binary, lang string").coalesce(1), weights, means)
+    assert blocks.count() <= len(rows) / mixing.BLOCK + 2 + 22 / (mixing.BLOCK / 4)
+    got = mixing._moved(blocks, centres, weights, np.stack(list(means.values())))
+    x = np.log1p(counts) * weights
+    x = x / np.sqrt((x * x).sum(1, keepdims=True)) - np.stack([means.get(v, means[None]) for v in langs])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    own = np.argmax(x @ centres.T, 1)
+    assert len(set(own)) > 2 and 6 not in own
+    for k, centre in enumerate(centres):
+        total = x[own == k].sum(0)
+        # a centre without texts stays
+        want = total / np.sqrt(total @ total) if (own == k).any() else centre
+        assert np.allclose(got[k], want, atol=1e-12)
