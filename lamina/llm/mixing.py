@@ -9,7 +9,7 @@ counts, fitted on all different texts; tokens are those of the packing vocabular
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,7 +128,7 @@ def _logs(cells: pa.Array) -> np.ndarray:
     rows = cells.to_pylist()
     wide = np.array([len(x) != PLACES for x in rows], bool)
     out = np.empty((len(rows), PLACES))
-    out[~wide] = LOGS[np.frombuffer(b"".join([x for x in rows if len(x) == PLACES]), "u1")].reshape(-1, PLACES)
+    out[~wide] = LOGS.take(np.frombuffer(b"".join([x for x in rows if len(x) == PLACES]), "u1")).reshape(-1, PLACES)
     if wide.any():
         out[wide] = np.log1p(unpacked(cells.filter(pa.array(wide))))
     return out
@@ -145,21 +145,22 @@ def _codes(langs: list[str | None], means: Mapping[str | None, np.ndarray]) -> n
     return np.array([place.get(v, place[None]) for v in langs], "<i4")
 
 
-def _nearest(logs: np.ndarray, scales: np.ndarray, codes: np.ndarray, centres: np.ndarray, weights: np.ndarray, means: np.ndarray) -> np.ndarray:
-    """The centre nearest by angle to each unit row less the mean of its language."""
-    return np.argmax(logs @ (centres * weights).T * scales[:, None] - (means @ centres.T)[codes], 1)
+def _nearest(centres: np.ndarray, weights: np.ndarray, means: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Gives for logs, scales and codes the centre nearest by angle to each unit row less the mean of its language."""
+    towards, offsets = np.ascontiguousarray((centres * weights).T), means @ centres.T
+    return lambda logs, scales, codes: np.argmax(logs @ towards * scales[:, None] - offsets[codes], 1)
 
 
 def _totals(texts: DataFrame, keyed) -> dict[str | None, tuple[int, np.ndarray]]:
-    """Rows and sums by key of what ``keyed`` (logs, langs) gives for each batch: pairs of a key and rows. Tasks add up their own; only sums reach the driver."""
+    """Rows and sums by key of what ``keyed`` (logs, langs) gives for each batch: key, number of rows and their sum. Tasks add up their own; only sums reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
             if batch.num_rows:
-                for key, x in keyed(_logs(batch.column("counts")), batch.column("lang").to_pylist()):
+                for key, m, x in keyed(_logs(batch.column("counts")), batch.column("lang").to_pylist()):
                     n, total = sums.get(key, (0, 0.0))
-                    sums[key] = (n + len(x), total + x.sum(0))
+                    sums[key] = (n + m, total + x)
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k][0] for k in names], pa.int64()), pa.array([sums[k][1].tobytes() for k in names], pa.binary())], names=["key", "n", "total"])
 
@@ -183,8 +184,10 @@ def _blocks(texts: DataFrame, weights: np.ndarray, means: Mapping[str | None, np
             cells = batch.column("counts")
             logs, codes = _logs(cells), _codes(batch.column("lang").to_pylist(), means)
             scales = _scales(logs, weights)
-            rest = logs * weights * scales[:, None] - table[codes]
-            leans = 1.0 / np.maximum(np.sqrt((rest * rest).sum(1)), 1e-12)
+            logs *= weights
+            logs *= scales[:, None]
+            logs -= table[codes]
+            leans = 1.0 / np.maximum(np.sqrt(np.einsum("ij,ij->i", logs, logs)), 1e-12)
             rows, found = cells.to_pylist(), []
             for width, most in ((PLACES, BLOCK), (4 * PLACES, BLOCK // 4)):
                 own = [k for k, x in enumerate(rows) if len(x) == width]
@@ -201,13 +204,13 @@ def _moved(blocks: DataFrame, centres: np.ndarray, weights: np.ndarray, means: n
     shape, held = centres.shape, (len(centres), len(means))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, less = np.zeros(shape), np.zeros(held)
+        sums, less, nearest = np.zeros(shape), np.zeros(held), _nearest(centres, weights, means)
         for batch in batches:
             for counts, *facts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 codes, scales, leans = (np.frombuffer(x, kind) for x, kind in zip(facts, ("<i4", "f8", "f8"), strict=True))
                 narrow = len(counts) == len(codes) * PLACES
-                logs = (LOGS[np.frombuffer(counts, "u1")] if narrow else np.log1p(np.frombuffer(counts, "<u4").astype(float))).reshape(-1, PLACES)
-                own = _nearest(logs, scales, codes, centres, weights, means)
+                logs = (LOGS.take(np.frombuffer(counts, "u1")) if narrow else np.log1p(np.frombuffer(counts, "<u4").astype(float))).reshape(-1, PLACES)
+                own = nearest(logs, scales, codes)
                 part = np.zeros((len(centres), len(codes)))
                 part[own, np.arange(len(codes))] = scales * leans
                 sums += part @ logs
@@ -226,13 +229,15 @@ def _fit(counted: DataFrame, limit: int = SAMPLE, topics: int = TOPICS, sweeps:
     The ``limit`` texts with the smallest digests only give the centres' starting points.
     """
     texts = cut(counted.where("tokens > 0").groupBy("tag").agg(F.first("counts").alias("counts"), F.min("lang").alias("lang")))
-    seen = _totals(texts, lambda logs, langs: [(None, (logs > 0).astype(float))])
+    seen = _totals(texts, lambda logs, langs: [(None, len(logs), (logs > 0).sum(0))])
     n, places_in = seen.get(None, (0, np.zeros(PLACES)))
     weights = np.log((1 + n) / (1 + places_in)) + 0.1
 
     def by_lang(logs: np.ndarray, langs: list[str | None]) -> list[tuple]:
-        x, of = logs * weights * _scales(logs, weights)[:, None], np.array(langs, object)
-        return [(v, x[of == v]) for v in set(langs)]
+        scales, parts = _scales(logs, weights), {}
+        for k, v in enumerate(langs):
+            parts.setdefault(v, []).append(k)
+        return [(v, len(own), scales[own] @ logs[own] * weights) for v, own in parts.items()]
 
     found = _totals(texts, by_lang)
     whole = sum((total for _, total in found.values()), np.zeros(PLACES)) / max(n, 1)
@@ -281,12 +286,12 @@ def topic_of(counts: Column, tokens: Column, lang: Column, topics: Topics) -> Co
 
     @F.arrow_udf("string")
     def near(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        table = np.stack(list(topics.means.values()))
+        nearest = _nearest(topics.centres, topics.weights, np.stack(list(topics.means.values())))
         for held, sizes, langs in batches:
             own = np.zeros(len(held), int)
             if len(topics.centres) and len(held):
                 logs = _logs(held)
-                own = _nearest(logs, _scales(logs, topics.weights), _codes(langs.to_pylist(), topics.means), topics.centres, topics.weights, table)
+                own = nearest(logs, _scales(logs, topics.weights), _codes(langs.to_pylist(), topics.means))
             yield pa.array([f"topic_{k}" if n else EMPTY for k, n in zip(own, sizes.to_pylist(), strict=True)], pa.string())
 
     return near(counts, tokens, lang)

@@ -35,6 +35,8 @@ LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾",
 LATIN_PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Words whose ids a worker keeps, at most, and the longest one that it keeps.
 KEPT_WORDS, LONGEST = 250_000, 40
+#: Beyond half of them a word is kept when it is met so often again, counted by its hash in so many places.
+AGAIN, MARKS = 2, 1 << 22
 
 
 class Letters(dict):
@@ -53,12 +55,16 @@ class Letters(dict):
 
 
 class Known(dict):
-    """Ids of words, as bytes: a word that is missing is asked of the model and kept, if it is short."""
+    """Ids of words, as bytes: a word that is missing is asked of the model and kept, if it is short.
+
+    Most different words of a text are met once only: when half of the room is taken, the rest is for those that come again.
+    """
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.letters, self.tokenize = Letters(), tokenizer.model.tokenize
         self.space = self.letters[" "]
+        self.met = bytearray(MARKS)
         self.spelled = [np.array([k], "<u4").tobytes() for k in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: str) -> bytes:
@@ -69,7 +75,11 @@ class Known(dict):
         spelled = self.spelled
         ids = b"".join([spelled[t.id] for t in self.tokenize(letters)])
         if len(word) <= LONGEST and len(self) < KEPT_WORDS:
-            self[word] = ids
+            mark = hash(word) % MARKS
+            if len(self) < KEPT_WORDS // 2 or self.met[mark] >= AGAIN:
+                self[word] = ids
+            else:
+                self.met[mark] += 1
         return ids
 
 

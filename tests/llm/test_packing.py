@@ -114,3 +114,14 @@ def test_hot_length_is_ranked_in_chunks(spark):
     rows = packing.pack(df, chunk=50).collect()
     assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
     assert len({r.sequence_id for r in rows}) == 1000 + 200
+
+
+def test_words_that_come_again_are_kept(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    encoder = packing.Encoder()
+    known = encoder.known
+    first, often, once = [[f" {stem}{chr(97 + k)}" for k in range(n)] for stem, n in (("first", 10), ("often", 5), ("once", 26))]
+    text = "".join(first + often * 3 + once)
+    for _ in range(2):
+        assert encoder.ids(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert set(known) == {*first, *often}
