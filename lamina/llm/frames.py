@@ -18,8 +18,12 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def sized(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys``, a table that was written, marked for broadcast if it has at most ``rows`` rows: the other side then stays where it is."""
-    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+    """``keys``, a table that was written, marked for broadcast if it has at most ``rows`` rows: the other side then stays where it is.
+
+    Larger ones are marked for a sort merge join. Left to itself Spark may broadcast either side by its estimate, which takes an
+    ``explode`` to give one row for each it reads.
+    """
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys.hint("merge")
 
 
 def text_tag(text: Column) -> Column:

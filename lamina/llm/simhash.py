@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import cut, small_batches
 from .components import components
+from .frames import sized
 
 SEGMENTS = 16
 SEED = 42
@@ -87,19 +88,20 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     them, which connects the same fingerprints with bounded groups.
     """
     spread = _lattice(fps)
-    cells = spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(spread.join(cells, "cell"))
+    # Spark sizes what follows an explode at a 33rd or less of its rows and would broadcast it: joins are marked
+    cells = cut(spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    met = cut(spread.join(sized(cells), "cell"))
     few, many = met.where(f"n <= {crowded}").drop("n"), met.where(f"n > {crowded}")
     left = few.select("cell", F.col("fp").alias("a"), F.col("move").alias("ma"))
     right = few.select("cell", F.col("fp").alias("b"), F.col("move").alias("mb"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     once = (F.col("ma") == 0) | ((F.col("mb") != 0) & (F.col("ma") != F.col("mb")))
-    pairs = left.join(right, "cell").where((F.col("a") < F.col("b")) & once & close).select("a", "b")
+    pairs = left.join(right.hint("merge"), "cell").where((F.col("a") < F.col("b")) & once & close).select("a", "b")
     flips = F.explode(F.sequence(F.lit(-1), F.lit(63)))
     point = F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end")
     points = many.select("fp").distinct().select("fp", flips.alias("bit")).select("fp", point.alias("point"))
     first = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    chained = points.join(first, "point").where("fp <> a").select("a", F.col("fp").alias("b"))
+    chained = points.join(first.hint("merge"), "point").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(chained)
 
 

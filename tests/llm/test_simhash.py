@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import simhash
 from lamina.llm.components import components
+from lamina.llm.frames import sized
 
 
 def brute_fingerprint(text):
@@ -111,3 +112,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (1, 0)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(found.values()) == {0, 100} and len(found) == 41 + 60
+
+
+def test_no_join_of_exploded_rows_is_broadcast_by_estimate(spark):
+    """Spark takes the 33 cells or 65 points of a fingerprint for one row: whether a side is sent to all is never left to that."""
+    df = chains(spark)[1]
+    plan = simhash.links(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    keys = spark.range(50).withColumnRenamed("id", "k")
+    joined = lambda rows: df.withColumn("k", F.col("fp") % 50).join(sized(keys, rows), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in joined(50) and "BroadcastExchange" not in joined(49)
